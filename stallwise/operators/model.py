@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import time
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark.ml.regression import (
@@ -35,12 +36,13 @@ def create_regressor(model_type: str = "xgboost", params: dict | None = None):
     """``xgboost`` samples rows and columns, ``gradient_boosting`` neither."""
     params = params or {}
     common = {"featuresCol": "features", "labelCol": TARGET, "predictionCol": "raw_prediction",
-              "cacheNodeIds": True, "checkpointInterval": 10}
+              "checkpointInterval": 25}
     if model_type == "random_forest":
         p = {**FOREST, **params}
         return RandomForestRegressor(
             numTrees=p["n_estimators"], maxDepth=p["max_depth"], featureSubsetStrategy="all",
-            minInstancesPerNode=max(1, p["min_samples_split"] // 2), seed=p["random_state"], **common)
+            minInstancesPerNode=max(1, p["min_samples_split"] // 2), seed=p["random_state"],
+            cacheNodeIds=True, **common)
     if model_type not in MODEL_TYPES:
         raise ValueError(f"unknown model type {model_type!r}")
     p = {**BOOSTING, **params}
@@ -210,17 +212,20 @@ class DiscountModel:
     def cross_validate(self, data: DataFrame, key: str, folds: int = FOLDS) -> DataFrame:
         """One row: mean and population deviation of the fold RMSEs, and their list.
 
-        Predictions are not clipped here. One fit per fold, each a distributed job.
+        Predictions are not clipped here. One fit per fold, each a distributed job;
+        the fits are submitted together so that they share the cluster.
         """
         spark = data.sparkSession
         shared_folder(spark)
         stored = materialise(data.select("features", TARGET, fold_of(F.col(key), folds).alias("fold")), "folds")
-        scores = []
-        for fold in range(folds):
+
+        def score(fold: int) -> tuple[int, float]:
             fitted = create_regressor(self.model_type, self.params).fit(stored.filter(F.col("fold") != fold))
             scored = fitted.transform(stored.filter(F.col("fold") == fold))
-            rmse = regression_metrics(scored, prediction="raw_prediction", prefix="cv").first()["cv_rmse"]
-            scores.append((fold, rmse))
+            return fold, regression_metrics(scored, prediction="raw_prediction", prefix="cv").first()["cv_rmse"]
+
+        with ThreadPoolExecutor(folds) as pool:
+            scores = list(pool.map(score, range(folds)))
         table = spark.createDataFrame(scores, "fold int, rmse double")
         return table.agg(
             F.avg("rmse").alias("cv_rmse_mean"), F.stddev_pop("rmse").alias("cv_rmse_std"),

@@ -526,7 +526,7 @@ _BODIES = {
     "A12_message_ranking": """SELECT session_id, message_count AS msg_count FROM sess
         ORDER BY message_count DESC, session_id LIMIT 10""",
     "A13_totals": "SELECT * FROM tot",
-    "A14_latency_stats": f"SELECT endpoint, {columns(['avg', 'p50', 'p95', 'p99'])}, count FROM lat",
+    "A14_latency_stats": f"SELECT endpoint, {columns(['avg', 'p50', 'p95', 'p99'], 9)}, count FROM lat",
     "A15_error_rate": """SELECT total_predictions, total_errors, round(total_errors / total_predictions, 6) AS error_rate,
         total_errors / total_predictions > 0.05 AS high_error_rate FROM tot""",
     "A16_reference_stats": f"""SELECT {columns(['pred_mean', 'pred_std', 'pred_min', 'pred_max'])}, pred_count FROM ref""",

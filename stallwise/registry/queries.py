@@ -99,13 +99,18 @@ def matrix(spark, folder):
         fitted(spark, folder).transform(features(spark, folder), keep=["product_id", TARGET]), "matrix"))
 
 
-def boosted(spark, folder) -> D.DiscountModel:
+def trained(spark, folder, model_type: str, params: dict | None = None) -> D.DiscountModel:
     def fit():
         fit_on, held_out = D.hash_split(matrix(spark, folder), "product_id")
-        model = D.DiscountModel("xgboost")
+        model = D.DiscountModel(model_type, params or {})
         model.train(fit_on, held_out, FEATURES, NOW)
         return model
-    return stored(spark, folder, "boosted", fit)
+    return stored(spark, folder, f"{model_type} {params}", fit)
+
+
+def boosted(spark, folder) -> D.DiscountModel:
+    """The model that the queries about models share: 30 rounds."""
+    return trained(spark, folder, "xgboost", {"n_estimators": 30})
 
 
 def index(spark, folder):
@@ -696,7 +701,7 @@ def _(spark, folder):
 
 @query("A14_latency_stats")
 def _(spark, folder):
-    return rounded(M.latency_stats(events(spark, folder)))
+    return rounded(M.latency_stats(events(spark, folder)), 9)
 
 
 @query("A15_error_rate")
@@ -932,18 +937,14 @@ def _(spark, folder):
 
 @query("M3_boosted_trees")
 def _(spark, folder):
-    model = boosted(spark, folder)
+    """The full default model: 200 rounds of depth 6."""
+    model = trained(spark, folder, "xgboost")
     return rounded(model.predict(matrix(spark, folder)).select("product_id", "prediction"))
 
 
 @query("M4_random_forest")
 def _(spark, folder):
-    def fit():
-        model = D.DiscountModel("random_forest")
-        fit_on, held_out = D.hash_split(matrix(spark, folder), "product_id")
-        model.train(fit_on, held_out, FEATURES, NOW)
-        return model
-    model = stored(spark, folder, "forest", fit)
+    model = trained(spark, folder, "random_forest")
     return rounded(model.predict(matrix(spark, folder)).select("product_id", "prediction"))
 
 
