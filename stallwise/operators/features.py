@@ -12,7 +12,7 @@ from stallwise.operators.joins import lookup_join
 from stallwise.operators.ordered import label_index
 from stallwise.operators.quantiles import exact_median
 from stallwise.schemas import CATEGORICAL_FEATURES, FEATURES, NUMERIC_FEATURES
-from stallwise.session import scratch_path
+from stallwise.session import materialise, scratch_path
 
 
 def row_features(cleaned: DataFrame) -> DataFrame:
@@ -38,8 +38,8 @@ def with_popularity(df: DataFrame, cleaned: DataFrame, spread: str = "product_id
 
 
 def with_engagement_flag(df: DataFrame, cleaned: DataFrame) -> DataFrame:
-    median = exact_median(cleaned, "rating_count_clean").scalar()
-    return df.withColumn("high_engagement", (F.col("rating_count_clean") > median).cast("int"))
+    median = exact_median(cleaned, "rating_count_clean")
+    return df.withColumn("high_engagement", (F.col("rating_count_clean") > F.lit(median)).cast("int"))
 
 
 def engineer_features(cleaned: DataFrame, spread: str = "product_id") -> DataFrame:
@@ -88,22 +88,32 @@ class FittedFeatures:
 
     @classmethod
     def fit(cls, features: DataFrame, spread: str = "product_id") -> "FittedFeatures":
-        """Learn from ``features`` (read three times: hand in a stored table)."""
+        """Learn from ``features`` (read several times: hand in a stored table)."""
+        return cls.fit_transform(features, spread)[0]
+
+    @classmethod
+    def fit_transform(
+        cls, features: DataFrame, spread: str = "product_id", keep: list[str] | None = None
+    ) -> tuple["FittedFeatures", DataFrame]:
+        """(fitted, model matrix of the training rows).
+
+        The coded rows are stored once; scaling is learned from them and applied to them.
+        """
         spark = features.sparkSession
         gaps = features.agg(*[
             F.count_if(F.col(c).isNull()).alias(c) for c in CATEGORICAL_FEATURES
         ]).first()
-        fills = {}
-        for column in CATEGORICAL_FEATURES:
-            if gaps[column]:
-                fills[column] = mode_value(features, column).first()["value"]
+        fills = {c: mode_value(features, c).first()["value"] for c in CATEGORICAL_FEATURES if gaps[c]}
         filled = features.na.fill(fills) if fills else features
         path = scratch_path(spark, "label-tables")
         label_table(filled, CATEGORICAL_FEATURES).write.partitionBy("feature").parquet(path)
         fitted = cls(spark, path, fills, {})
-        stats = scaling_stats(fitted.encode(filled, spread)).first()
+        keep = keep if keep is not None else fitted._others(features)
+        needed = filled.select(*dict.fromkeys([*keep, spread, *FEATURES]))
+        coded = materialise(fitted.encode(needed, spread), "coded")
+        stats = scaling_stats(coded).first()
         fitted.scaling = {c: (stats[f"{c}_mean"], stats[f"{c}_std"]) for c in FEATURES}
-        return fitted
+        return fitted, fitted.scale(coded, keep)
 
     def labels(self, feature: str | None = None) -> DataFrame:
         table = self.spark.read.schema("label string, code bigint, feature string").parquet(self.labels_path)
@@ -123,13 +133,20 @@ class FittedFeatures:
         mean, std = self.scaling[column]
         return (F.col(column) - F.lit(mean)) / F.lit(std if std else 1.0)
 
-    def transform(self, features: DataFrame, spread: str = "product_id", keep: list[str] | None = None) -> DataFrame:
-        """Codes and numbers, scaled, plus the 16-wide ``features`` vector in fixed order."""
-        keep = keep if keep is not None else [c for c in features.columns if c not in FEATURES]
-        coded = self.encode(features.select(*dict.fromkeys([*keep, spread, *FEATURES])), spread)
+    @staticmethod
+    def _others(features: DataFrame) -> list[str]:
+        return [c for c in features.columns if c not in FEATURES]
+
+    def scale(self, coded: DataFrame, keep: list[str]) -> DataFrame:
         scaled = coded.select(*keep, *[self.scaled(c).alias(c) for c in FEATURES])
         return scaled.withColumn("features", array_to_vector(F.array(*FEATURES)))
 
+    def transform(self, features: DataFrame, spread: str = "product_id", keep: list[str] | None = None) -> DataFrame:
+        """Codes and numbers, scaled, plus the 16-wide ``features`` vector in fixed order."""
+        keep = keep if keep is not None else self._others(features)
+        needed = features.select(*dict.fromkeys([*keep, spread, *FEATURES]))
+        return self.scale(self.encode(needed, spread), keep)
+
     def save(self, path: str) -> None:
         """Label tables and a one-row-per-column statistics table below ``path``."""
         self.labels().write.mode("overwrite").partitionBy("feature").parquet(f"{path}/labels")

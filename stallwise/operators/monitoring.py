@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from stallwise.functions import scoring as S, text as X
 from stallwise.operators.ordered import last_rows
+from stallwise.session import local_copy
 
 # Windows, limits, histogram edges.
 ORDER = ["ts", "event_id"]
@@ -34,32 +35,44 @@ UNHEALTHY_P95, DEGRADED_P95 = 5, 2
 ENDPOINTS = {"prediction": "predict", "query": "query"}
 
 
-def prediction_records(rows: DataFrame) -> DataFrame:
-    """Columns of a prediction record out of ``event_id, ts, prediction, latency``."""
-    return _record(rows, "prediction", "predict", prediction="prediction", latency="latency")
+#: Fields that a record of each kind keeps.
+FIELDS = {
+    "prediction": ["prediction", "latency"],
+    "query": ["query", "latency", "confidence", "session_id"],
+    "error": ["error_type", "message"],
+    "retrain": ["message"],
+}
 
 
-def query_records(rows: DataFrame) -> DataFrame:
-    cut = rows.withColumn("query", X.query_excerpt(F.col("query")))
-    return _record(cut, "query", "query", query="query", latency="latency",
-                   confidence="confidence", session_id="session_id")
+def records(rows: DataFrame) -> DataFrame:
+    """Metric events out of rows that carry ``event_id, ts, kind`` and the kind's fields.
 
+    One pass for all kinds; fields that a kind does not keep are NULL.
+    """
+    types = {"prediction": "double", "latency": "double"}
+    fields = ["prediction", "latency", "query", "confidence", "session_id", "error_type", "message"]
 
-def error_records(rows: DataFrame) -> DataFrame:
-    return _record(rows, "error", None, error_type="error_type", message="message")
+    def kept(field: str) -> Column:
+        if field not in rows.columns:
+            return F.lit(None).cast(types.get(field, "string")).alias(field)
+        value = X.query_excerpt(F.col(field)) if field == "query" else F.col(field)
+        kinds = [kind for kind, names in FIELDS.items() if field in names]
+        return F.when(F.col("kind").isin(kinds), value.cast(types.get(field, "string"))).alias(field)
 
+    endpoint = F.when(F.col("kind") == "prediction", "predict").when(F.col("kind") == "query", "query")
+    return rows.select("event_id", "kind", "ts", endpoint.alias("endpoint"), *[kept(f) for f in fields])
 
-def retrain_records(rows: DataFrame) -> DataFrame:
-    return _record(rows, "retrain", None, message="message")
 
+def prediction_records(rows: DataFrame) -> DataFrame:
+    return records(rows.withColumn("kind", F.lit("prediction")))
+
+
+def query_records(rows: DataFrame) -> DataFrame:
+    return records(rows.withColumn("kind", F.lit("query")))
 
-def _record(rows: DataFrame, kind: str, endpoint: str | None, **columns: str) -> DataFrame:
-    types = {"prediction": "double", "latency": "double"}
-    fields = ["prediction", "latency", "query", "confidence", "session_id", "error_type", "message"]
-    return rows.select(
-        "event_id", F.lit(kind).alias("kind"), "ts", F.lit(endpoint).cast("string").alias("endpoint"),
-        *[(F.col(columns[f]) if f in columns else F.lit(None)).cast(types.get(f, "string")).alias(f)
-          for f in fields])
+
+def error_records(rows: DataFrame) -> DataFrame:
+    return records(rows.withColumn("kind", F.lit("error")))
 
 
 def totals(events: DataFrame) -> DataFrame:
@@ -213,47 +226,54 @@ def bin_of(value: Column, mean: Column, std: Column) -> Column:
         F.least(F.floor((value - low) / width).cast("int"), F.lit(BINS - 1)))
 
 
-def drift_histogram(current: DataFrame, reference: DataFrame) -> DataFrame:
-    """Ten rows: reference share and current share of every bin.
+def window_figures(current: DataFrame, reference: DataFrame) -> DataFrame:
+    """One row: mean, std, n, the counts of the ten bins, and the reference row as ``ref``.
+
+    ``current`` is the drift window, ``reference`` the one row of ``reference_stats``,
+    read as a scalar subquery. Moments and bin counts share one pass.
+    """
+    ref = reference.select(F.struct("pred_mean", "pred_std", "pred_count").alias("r")).scalar()
+    placed = current.withColumn("ref", ref).withColumn(
+        "bin", bin_of(F.col("prediction"), F.col("ref.pred_mean"), F.col("ref.pred_std")))
+    return placed.agg(
+        F.avg("prediction").alias("mean"), F.stddev_pop("prediction").alias("std"), F.count("*").alias("n"),
+        F.array(*[F.count_if(F.col("bin") == i) for i in range(BINS)]).alias("counts"),
+    ).withColumn("ref", ref)
+
+
+def _shares() -> Column:
+    """Bins of the reference matched with the window's: an absent bin counts 0.
 
-    ``current`` is the drift window, ``reference`` the one row of ``reference_stats``.
     Values outside all bins count in the denominator only.
     """
-    ref = reference.select(F.struct("pred_mean", "pred_std").alias("r")).scalar()
-    size = current.agg(F.count("*").alias("n")).scalar()
-    counts = (
-        current.withColumn("_ref", ref)
-        .groupBy(bin_of(F.col("prediction"), F.col("_ref.pred_mean"), F.col("_ref.pred_std")).alias("bin_id"))
-        .agg(F.count("*").alias("n"))
-    )
-    spark = current.sparkSession
-    shares = F.array(*[F.lit(s) for s in NORMAL_SHARES])
-    bins = spark.range(BINS).select(
-        F.col("id").cast("int").alias("bin_id"), F.get(shares, F.col("id").cast("int")).alias("reference_share"))
-    joined = F.broadcast(bins).join(counts, "bin_id", "left")  # ten rows
-    floor = F.lit(SHARE_FLOOR)
-    share = F.coalesce(F.col("n"), F.lit(0)) / (size + F.lit(1e-10))
-    return joined.select(
-        "bin_id", S.clip(F.col("reference_share"), SHARE_FLOOR, 1.0).alias("reference_share"),
-        F.coalesce(S.clip(share, SHARE_FLOOR, 1.0), floor).alias("current_share"))
-
-
-def psi(histogram: DataFrame) -> DataFrame:
+    reference = F.array(*[F.lit(float(s)) for s in NORMAL_SHARES])
+    return F.transform(F.col("counts"), lambda count, i: F.struct(
+        i.alias("bin_id"),
+        S.clip(F.get(reference, i), SHARE_FLOOR, 1.0).alias("reference_share"),
+        S.clip(count / (F.col("n") + F.lit(1e-10)), SHARE_FLOOR, 1.0).alias("current_share")))
+
+
+def drift_histogram(current: DataFrame, reference: DataFrame) -> DataFrame:
+    """Ten rows: reference share and current share of every bin."""
+    return window_figures(current, reference).select(F.inline(_shares()))
+
+
+def _index(shares: Column) -> Column:
+    parts = F.transform(shares, lambda s: (s["current_share"] - s["reference_share"])
+                        * F.log(s["current_share"] / s["reference_share"]))
+    return F.greatest(F.aggregate(parts, F.lit(0.0), lambda total, x: total + x), F.lit(0.0))
+
+
+def psi(current: DataFrame, reference: DataFrame) -> DataFrame:
     """One row: population stability index, never below 0."""
-    change = F.col("current_share") - F.col("reference_share")
-    part = change * F.log(F.col("current_share") / F.col("reference_share"))
-    return histogram.agg(F.greatest(F.sum(part), F.lit(0.0)).alias("psi"))
+    return window_figures(current, reference).select(_index(_shares()).alias("psi"))
 
 
 def check_drift(current: DataFrame, reference: DataFrame, threshold: float = DRIFT_THRESHOLD) -> DataFrame:
     """One status row from the drift window and the reference statistics row."""
-    ref = reference.select(F.struct("pred_mean", "pred_std", "pred_count").alias("r")).scalar()
-    index = psi(drift_histogram(current, reference)).scalar()
-    now = current.agg(
-        F.avg("prediction").alias("mean"), F.stddev_pop("prediction").alias("std"), F.count("*").alias("n"))
-    figures = now.withColumns({"ref": ref, "psi_raw": index})
     deviation = F.col("ref.pred_std") + 1e-10
-    figures = figures.withColumns({
+    figures = window_figures(current, reference).withColumns({
+        "psi_raw": _index(_shares()),
         "mean_drift": F.abs(F.col("mean") - F.col("ref.pred_mean")) / deviation,
         "std_drift": F.abs(F.col("std") - F.col("ref.pred_std")) / deviation})
     known = F.coalesce(F.col("ref.pred_count"), F.lit(0)) > 0
@@ -297,9 +317,10 @@ def retrain_decision(events: DataFrame, drift: DataFrame, last_retrain: Column,
         F.col("drift.status").alias("drift_status"), "last_retrain")
 
 
-def health(events: DataFrame, drift: DataFrame) -> DataFrame:
+def health(events: DataFrame, drift: DataFrame, latencies: DataFrame | None = None) -> DataFrame:
     """One row: healthy, degraded or unhealthy, with the figures behind it."""
-    p95 = latency_stats(events).filter(F.col("endpoint") == "all").select("p95").scalar()
+    latencies = latencies if latencies is not None else latency_stats(events)
+    p95 = latencies.filter(F.col("endpoint") == "all").select("p95").scalar()
     status = drift.select(F.struct("status", "drift_detected").alias("d")).scalar()
     row = totals(events).withColumns({"latency_p95": p95, "drift": status})
     bad = F.col("drift.drift_detected") | (F.col("total_errors") > UNHEALTHY_ERRORS) | (
@@ -311,10 +332,12 @@ def health(events: DataFrame, drift: DataFrame) -> DataFrame:
         "latency_p95", "total_predictions", "total_queries")
 
 
-def summary(events: DataFrame) -> DataFrame:
-    """One row: totals, latency structs and the last errors."""
+def summary(events: DataFrame, latencies: DataFrame | None = None) -> DataFrame:
+    """One row: totals, latency structs and the last errors, oldest first."""
+    latencies = latencies if latencies is not None else latency_stats(events)
+
     def latency(name: str) -> Column:
-        return latency_stats(events).filter(F.col("endpoint") == name).select(
+        return latencies.filter(F.col("endpoint") == name).select(
             F.struct("avg", "p50", "p95", "p99", "count").alias("s")).scalar()
 
     errors = recent_errors(events).agg(F.array_sort(
@@ -325,14 +348,20 @@ def summary(events: DataFrame) -> DataFrame:
 
 
 def full_report(events: DataFrame, reference: DataFrame, last_retrain: Column, now: Column) -> DataFrame:
-    """One nested row: health, metrics, drift and retrain status."""
-    drift = check_drift(last_predictions(events), reference)
+    """One nested row: health, metrics, drift and retrain status.
+
+    The figures shared by the four parts (three latency rows, one reference row,
+    one drift row) are computed once, up front.
+    """
+    latencies = local_copy(latency_stats(events), 3)
+    window = local_copy(last_predictions(events), DRIFT_WINDOW)
+    drift = local_copy(check_drift(window, local_copy(reference, 1)), 1)
 
     def nested(part: DataFrame) -> Column:
         return part.select(F.struct(*part.columns).alias("s")).scalar()
 
-    return summary(events).select(F.struct("*").alias("metrics")).select(
-        nested(health(events, drift)).alias("health"), "metrics", nested(drift).alias("drift"),
+    return summary(events, latencies).select(F.struct("*").alias("metrics")).select(
+        nested(health(events, drift, latencies)).alias("health"), "metrics", nested(drift).alias("drift"),
         nested(retrain_decision(events, drift, last_retrain, now)).alias("retrain_status"),
         now.alias("exported_at"))
 

@@ -72,23 +72,27 @@ def check_pages(requests: DataFrame) -> DataFrame:
 
 
 def known_or_default(
-    requests: DataFrame, column: str, catalogue: DataFrame, default: str, spread: str
+    requests: DataFrame, column: str, known: DataFrame, default: str, spread: str
 ) -> DataFrame:
-    """Replace values that the catalogue does not have.
+    """Replace values that were not seen in training.
 
-    The fixed default is used where the catalogue has it, else its smallest value;
-    with an empty catalogue the value stays.
+    ``known`` has one row per seen ``value``. The fixed default is used where it was
+    seen, else the smallest seen value; when nothing was seen the value stays.
     """
-    known = catalogue.select(column).filter(F.col(column).isNotNull()).distinct()
     fallback = known.agg(
-        F.coalesce(F.max(F.when(F.col(column) == default, F.col(column))), F.min(column)).alias("value")
+        F.coalesce(F.max(F.when(F.col("value") == default, F.col("value"))), F.min("value")).alias("value")
     ).scalar()
-    marked = lookup_join(requests, known.withColumn("_known", F.lit(True)), column, spread)
+    marked = lookup_join(
+        requests, known.select(F.col("value").alias(column), F.lit(True).alias("_known")), column, spread)
     return marked.withColumn(
         column, F.when(F.col("_known"), F.col(column)).otherwise(F.coalesce(fallback, F.col(column)))
     ).drop("_known")
 
 
+def seen_values(catalogue: DataFrame, column: str) -> DataFrame:
+    return catalogue.select(F.col(column).alias("value")).filter("value IS NOT NULL").distinct()
+
+
 def _level_or(category: Column, level: int, default: str) -> Column:
     part = F.get(F.split(category, r"\|", -1), F.lit(level))
     return F.when(F.length(part) > 0, part).otherwise(F.lit(default))
@@ -146,22 +150,24 @@ def training_row(requests: DataFrame, catalogue: DataFrame, median: Column, spre
 
 
 def serving_features(
-    requests: DataFrame, catalogue: DataFrame, spread: str, mode: str = "reference",
-    median: Column | None = None,
+    requests: DataFrame, known: dict[str, DataFrame], spread: str, mode: str = "reference",
+    catalogue: DataFrame | None = None, median: float | None = None,
 ) -> DataFrame:
     """Model inputs for request rows.
 
-    ``reference`` follows the serving rules, whose buckets, popularity and
-    engagement cut differ from training; ``consistent`` uses the training rules.
+    ``known`` gives the seen values of main category, sub category and brand.
+    ``reference`` follows the serving rules, whose buckets, popularity and engagement
+    cut differ from training; ``consistent`` uses the training rules and so needs the
+    catalogue and its median rating count.
     """
     if mode == "reference":
         rows = serving_row(requests)
     elif mode == "consistent":
-        rows = training_row(requests, catalogue, median, spread)
+        rows = training_row(requests, catalogue, F.lit(median), spread)
     else:
         raise ValueError(f"unknown mode {mode!r}")
     for column, default in (
         ("main_category", DEFAULT_CATEGORY), ("sub_category", DEFAULT_SUB_CATEGORY), ("brand", DEFAULT_BRAND),
     ):
-        rows = known_or_default(rows, column, catalogue, default, spread)
+        rows = known_or_default(rows, column, known[column], default, spread)
     return rows

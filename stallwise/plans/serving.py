@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.ml import PipelineModel
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from stallwise.operators import answers as A, requests as Q, retrieval as R
 from stallwise.operators.features import FittedFeatures
@@ -15,13 +15,19 @@ RESULT_COLUMNS = ["predicted_discount", "confidence_lower", "confidence_upper",
                   "explanation", "recommendation", "top_factors"]
 
 
+def known_values(fitted: FittedFeatures) -> dict[str, DataFrame]:
+    """Values seen in training: the label tables, not another pass over the catalogue."""
+    return {c: fitted.labels(c).select(F.col("label").alias("value"))
+            for c in ("main_category", "sub_category", "brand")}
+
+
 def predict_discounts(
-    requests: DataFrame, catalogue: DataFrame, fitted: FittedFeatures, model: DiscountModel,
-    key: str = "request_id", mode: str = "reference", median: Column | None = None,
+    requests: DataFrame, fitted: FittedFeatures, model: DiscountModel, key: str = "request_id",
+    mode: str = "reference", catalogue: DataFrame | None = None, median: float | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """(result rows, rejected requests with reasons)."""
     valid, rejected = Q.split_valid(Q.check_products(requests))
-    rows = Q.serving_features(valid, catalogue, key, mode, median)
+    rows = Q.serving_features(valid, known_values(fitted), key, mode, catalogue, median)
     scored = model.explain(fitted.transform(rows, spread=key, keep=[key]))
     return scored.select(key, *RESULT_COLUMNS), rejected
 

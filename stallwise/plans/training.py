@@ -35,8 +35,7 @@ def prepare(raw: DataFrame) -> Prepared:
     """
     cleaned = materialise(load_and_clean(raw), "cleaned")
     features = materialise(engineer_features(cleaned), "features")
-    fitted = FittedFeatures.fit(features)
-    matrix = materialise(fitted.transform(features, keep=["product_id", TARGET]), "matrix")
+    fitted, matrix = FittedFeatures.fit_transform(features, keep=["product_id", TARGET])
     return Prepared(cleaned, features, fitted, matrix)
 
 

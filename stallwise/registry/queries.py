@@ -21,6 +21,7 @@ from stallwise.operators import (
     requests as Q,
     retrieval as R,
 )
+from stallwise.operators.quantiles import exact_median
 from stallwise.plans import monitoring as PM, serving as PS, training as PT
 from stallwise.schemas import CATEGORICAL_FEATURES, FEATURES, NUMERIC_FEATURES, TARGET
 from stallwise.session import materialise, scratch_path
@@ -90,22 +91,26 @@ def features(spark, folder):
         E.engineer_features(cleaned(spark, folder)), "features"))
 
 
+def fit(spark, folder):
+    return stored(spark, folder, "fitted", lambda: E.FittedFeatures.fit_transform(
+        features(spark, folder), keep=["product_id", TARGET]))
+
+
 def fitted(spark, folder):
-    return stored(spark, folder, "fitted", lambda: E.FittedFeatures.fit(features(spark, folder)))
+    return fit(spark, folder)[0]
 
 
 def matrix(spark, folder):
-    return stored(spark, folder, "matrix", lambda: materialise(
-        fitted(spark, folder).transform(features(spark, folder), keep=["product_id", TARGET]), "matrix"))
+    return fit(spark, folder)[1]
 
 
 def trained(spark, folder, model_type: str, params: dict | None = None) -> D.DiscountModel:
-    def fit():
+    def run():
         fit_on, held_out = D.hash_split(matrix(spark, folder), "product_id")
         model = D.DiscountModel(model_type, params or {})
         model.train(fit_on, held_out, FEATURES, NOW)
         return model
-    return stored(spark, folder, f"{model_type} {params}", fit)
+    return stored(spark, folder, f"{model_type} {params}", run)
 
 
 def boosted(spark, folder) -> D.DiscountModel:
@@ -604,7 +609,7 @@ def _(spark, folder):
 @query("J9_known_values")
 def _(spark, folder):
     valid, _ = Q.split_valid(Q.check_products(T.product_requests(spark, folder)))
-    rows = Q.serving_features(valid, cleaned(spark, folder), "request_id")
+    rows = Q.serving_features(valid, PS.known_values(fitted(spark, folder)), "request_id")
     return rows.select("request_id", "main_category", "sub_category", "brand")
 
 
@@ -732,7 +737,7 @@ def _(spark, folder):
 
 @query("A19_psi")
 def _(spark, folder):
-    return rounded(M.psi(M.drift_histogram(current_window(spark, folder), reference(spark, folder))), 4)
+    return rounded(M.psi(current_window(spark, folder), reference(spark, folder)), 4)
 
 
 @query("A20_model_drift")
@@ -966,18 +971,15 @@ def _(spark, folder):
 @query("M7_prediction_results")
 def _(spark, folder):
     return PS.predict_discounts(
-        T.product_requests(spark, folder), cleaned(spark, folder), fitted(spark, folder),
-        boosted(spark, folder))[0]
+        T.product_requests(spark, folder), fitted(spark, folder), boosted(spark, folder))[0]
 
 
 @query("M7_consistent_results")
 def _(spark, folder):
-    from stallwise.operators.quantiles import exact_median
-
     table = cleaned(spark, folder)
     return PS.predict_discounts(
-        T.product_requests(spark, folder), table, fitted(spark, folder), boosted(spark, folder),
-        mode="consistent", median=exact_median(table, "rating_count_clean").scalar())[0]
+        T.product_requests(spark, folder), fitted(spark, folder), boosted(spark, folder),
+        mode="consistent", catalogue=table, median=exact_median(table, "rating_count_clean"))[0]
 
 
 @query("M10_text_vectors")

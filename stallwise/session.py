@@ -62,3 +62,14 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def local_copy(df: DataFrame, rows: int) -> DataFrame:
+    """A result of at most ``rows`` rows as a table that is not computed again.
+
+    For figures whose number is fixed by their meaning, such as one-row aggregates.
+    """
+    found = df.limit(rows + 1).collect()
+    if len(found) > rows:
+        raise ValueError(f"expected at most {rows} rows")
+    return df.sparkSession.createDataFrame(found, df.schema)

@@ -25,9 +25,11 @@ def raw_products(spark: SparkSession, folder: str, with_text: bool = True) -> Da
     """
     lines = table(spark, folder, "lineitem").groupBy("l_partkey").agg(
         F.count("*").alias("n"),
-        F.sum(F.round(F.col("l_discount") * 100).cast("bigint")).alias("d"),
+        F.sum(F.floor(F.col("l_discount") * 100 + 0.5)).alias("d"),
         F.sum("l_quantity").cast("bigint").alias("q"))
-    part = table(spark, folder, "part").withColumnRenamed("p_partkey", "k")
+    # Partitioned as the join on the part key needs it, and no longer by input file.
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    part = table(spark, folder, "part").withColumnRenamed("p_partkey", "k").repartition(parts, "k")
     rows = part.join(lines, part["k"] == lines["l_partkey"], "left")
 
     def every(n: int, rest: int = 0) -> Column:
@@ -131,20 +133,15 @@ def product_requests(spark: SparkSession, folder: str) -> DataFrame:
 
 def metric_events(spark: SparkSession, folder: str) -> DataFrame:
     """``events`` as metric records: purchases are predictions, views are queries."""
-    events = table(spark, folder, "events").withColumns({
-        "latency": F.col("value") / 100, "prediction": F.least(F.col("value"), F.lit(100.0)),
+    kind = (
+        F.when(F.col("event_type") == "purchase", "prediction").when(F.col("event_type") == "view", "query")
+        .when(F.col("event_type") == "error", "error").when(F.col("event_type") == "signup", "retrain"))
+    return M.records(table(spark, folder, "events").withColumns({
+        "kind": kind, "latency": F.col("value") / 100, "prediction": F.least(F.col("value"), F.lit(100.0)),
         "query": F.col("props"), "session_id": F.concat(F.lit("user_"), F.col("user_id").cast("string")),
         "confidence": F.when(F.col("value") > 70, "high").when(F.col("value") > 50, "medium").otherwise("low"),
         "error_type": F.when(F.col("user_id") % 2 == 0, "prediction_error").otherwise("rag_error"),
-        "message": F.col("props")})
-
-    def of(kind: str) -> DataFrame:
-        return events.filter(F.col("event_type") == kind)
-
-    return (
-        M.prediction_records(of("purchase")).unionByName(M.query_records(of("view")))
-        .unionByName(M.error_records(of("error"))).unionByName(M.retrain_records(of("signup")))
-    )
+        "message": F.col("props")}).filter("kind IS NOT NULL"))
 
 
 def split_predictions(events: DataFrame) -> tuple[DataFrame, DataFrame]:
