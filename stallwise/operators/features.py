@@ -11,7 +11,7 @@ from stallwise.functions import scoring as S
 from stallwise.operators.joins import lookup_join
 from stallwise.operators.ordered import label_index
 from stallwise.operators.quantiles import exact_median
-from stallwise.schemas import CATEGORICAL_FEATURES, FEATURES, NUMERIC_FEATURES
+from stallwise.schemas import CATEGORICAL_FEATURES, FEATURES, NUMERIC_FEATURES, TARGET
 from stallwise.session import materialise, scratch_path
 
 
@@ -73,6 +73,12 @@ def scaling_stats(coded: DataFrame) -> DataFrame:
     )
 
 
+def feature_table(cleaned: DataFrame, spread: str = "product_id") -> DataFrame:
+    """The derived columns with the key and the target, without the product texts."""
+    engineered = engineer_features(cleaned, spread)
+    return engineered.select(*dict.fromkeys([spread, "ord", "rating_count_clean", TARGET, *FEATURES]))
+
+
 @dataclass
 class FittedFeatures:
     """Label tables, fill values and scaling learned from the training features.

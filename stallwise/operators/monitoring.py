@@ -197,8 +197,9 @@ def feature_values(features: DataFrame, names: list[str], order: list[str]) -> D
 
 
 def feature_windows(features: DataFrame, names: list[str], order: list[str], n: int = DRIFT_WINDOW) -> DataFrame:
-    """Last ``n`` values of every feature."""
-    return last_rows(feature_values(features, names, order), ["feature"], order, n)
+    """Last ``n`` recorded values of every feature."""
+    recorded = feature_values(features, names, order).filter(F.col("value").isNotNull())
+    return last_rows(recorded, ["feature"], order, n)
 
 
 def reference_stats(predictions: DataFrame, column: str = "prediction") -> DataFrame:

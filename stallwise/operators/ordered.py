@@ -62,10 +62,11 @@ def previous_rows(
 
     inside = Window.partitionBy(*keys, CHUNK).orderBy(*order)
     # One row per chunk at most: only the first group of a chunk can have begun before it.
+    # Without a hint: the rows are already partitioned by these keys for the windows.
     rows = (
         chunks.withColumn("_n", F.row_number().over(inside).cast("int"))
         .withColumns({f"_lag_{j}": F.lag(item, j).over(inside) for j in range(1, n + 1)})
-        .join(F.broadcast(carry), [*keys, CHUNK], "left")
+        .join(carry, [*keys, CHUNK], "left")
     )
     rows = rows.withColumns({
         f"prev_{j}": F.when(F.col("_n") > j, F.col(f"_lag_{j}"))
@@ -93,7 +94,7 @@ def _with_count(rows: DataFrame, chunks: DataFrame, keys: list[str], into: str)
         .filter(F.col("_earlier").isNotNull())  # again one row per chunk at most
     )
     return (
-        rows.join(F.broadcast(earlier), [*keys, CHUNK], "left")
+        rows.join(earlier, [*keys, CHUNK], "left")
         .withColumn(into, F.col("_n").cast("bigint") + F.coalesce("_earlier", F.lit(0)))
         .drop("_earlier")
     )

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from stallwise.functions import text as X, vectors as V
 from stallwise.operators.ordered import first_rows
-from stallwise.session import materialise
+from stallwise.session import materialise, scratch_path
 
 # Vector size, hit count and score threshold.
 DIMENSION = 384
@@ -177,20 +177,27 @@ def top_k(
     out = pa.schema([pa.field("query_id", arrow[query_type.simpleString()]), id_field,
                      pa.field("score", pa.float64())])
 
-    found = None
-    for block in range(blocks):
-        # At most about block_bytes of vectors.
+    def block_hits(block: int):
+        """(hits of one query block, its broadcast); at most about block_bytes of vectors."""
         table = picked.filter(F.col("_block") == block).select("_q", "_v").toArrow().combine_chunks()
         if not table.num_rows:
-            continue
+            return spark.createDataFrame([], schema + ", rank int"), None
         ids = np.asarray(table.column("_q").to_pylist())
-        matrix = _unit_rows(table.column("_v").combine_chunks())
-        sent = spark.sparkContext.broadcast((ids, matrix))
+        sent = spark.sparkContext.broadcast((ids, _unit_rows(table.column("_v").combine_chunks())))
         part = docs.mapInArrow(_partition_top_k(sent, k, id_field, out), schema)
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        found = spark.createDataFrame([], schema)
-    return first_rows(found, ["query_id"], [F.desc("score"), F.col("doc_id")], k, "rank")
+        return first_rows(part, ["query_id"], [F.desc("score"), F.col("doc_id")], k, "rank"), sent
+
+    if blocks == 1:
+        return block_hits(0)[0]
+    # A query lives in one block, so every block's result is final: it is stored and
+    # its vectors are let go before the next block is sent.
+    path = scratch_path(spark, "hits")
+    for block in range(blocks):
+        hits, sent = block_hits(block)
+        hits.write.mode("append").parquet(path)
+        if sent is not None:
+            sent.destroy()
+    return spark.read.schema(schema + ", rank int").parquet(path)
 
 
 def retrieve(hits: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 from stallwise.functions import text as X
 from stallwise.operators import catalog, retrieval as R
 from stallwise.operators.clean import load_and_clean
-from stallwise.operators.features import FittedFeatures, engineer_features
+from stallwise.operators.features import FittedFeatures, feature_table
 from stallwise.operators.model import DiscountModel, hash_split
 from stallwise.schemas import FEATURES, TARGET
 from stallwise.session import materialise
@@ -34,7 +34,7 @@ def prepare(raw: DataFrame) -> Prepared:
     Scaling is learned from all rows before the split.
     """
     cleaned = materialise(load_and_clean(raw), "cleaned")
-    features = materialise(engineer_features(cleaned), "features")
+    features = materialise(feature_table(cleaned), "features")
     fitted, matrix = FittedFeatures.fit_transform(features, keep=["product_id", TARGET])
     return Prepared(cleaned, features, fitted, matrix)
 

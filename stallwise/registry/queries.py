@@ -88,7 +88,7 @@ def clean_only(spark, folder):
 
 def features(spark, folder):
     return stored(spark, folder, "features", lambda: materialise(
-        E.engineer_features(cleaned(spark, folder)), "features"))
+        E.feature_table(cleaned(spark, folder)), "features"))
 
 
 def fit(spark, folder):
