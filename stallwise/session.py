@@ -16,6 +16,8 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Call-site capture on every Column function costs a third of plan building.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
