@@ -179,15 +179,15 @@ def question_sequence(questions: DataFrame, log: DataFrame | None) -> DataFrame:
         .alias("conversation_turns"))
 
 
-def answers(asked: DataFrame, hits: DataFrame, index: DataFrame, include_sources: bool = True) -> DataFrame:
-    """One answer row per question; ``hits`` are the kept hits of ``query_id``.
+def answers(asked: DataFrame, hits: DataFrame, include_sources: bool = True) -> DataFrame:
+    """One answer row per question.
 
-    ``asked`` has ``query_id, session_id, question, conversation_turns``. All joins
-    are one row per question on both sides.
+    ``asked`` has ``query_id, session_id, question, conversation_turns``; ``hits`` are the
+    kept hits with their index fields (``hit_texts``), read three times, so hand in a stored
+    table. All joins are one row per question on both sides.
     """
-    full = hit_texts(hits, index)
     out = (
-        asked.join(question_products(full), "query_id", "left")
+        asked.join(question_products(hits), "query_id", "left")
         .join(mean_scores(hits), "query_id", "left")
         .withColumns({
             "answer": template_answer(F.col("products"), F.col("question")),
@@ -197,7 +197,7 @@ def answers(asked: DataFrame, hits: DataFrame, index: DataFrame, include_sources
         }).drop("products", "mean_score")
     )
     if include_sources:
-        out = out.join(sources(full), "query_id", "left")
+        out = out.join(sources(hits), "query_id", "left")
     return out
 
 

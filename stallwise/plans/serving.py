@@ -53,4 +53,5 @@ def answer_questions(
     hits = R.retrieve(R.top_k(vectors, index, most), threshold)
     hits = hits.join(valid.select("query_id", "top_k"), "query_id").filter(F.col("rank") <= F.col("top_k"))
     hits = materialise(hits.drop("top_k"), "hits")
-    return A.answers(asked, hits, index, include_sources), rejected
+    full = materialise(A.hit_texts(hits, index), "hit-texts")
+    return A.answers(asked, full, include_sources), rejected
