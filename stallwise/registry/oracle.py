@@ -486,10 +486,10 @@ _BODIES = {
     "J4_hit_documents": """SELECT query_id, rank, doc_id, product_name, discounted_price AS price, rating
         FROM hits JOIN clean ON doc_id = product_id""",
     "J6_session_list": f"""SELECT session_id,
-        CASE WHEN length(session_id) % 2 = 0 THEN message_count ELSE least(message_count, 4) END AS message_count,
+        CASE WHEN message_count > 4 THEN message_count ELSE least(message_count, 4) END AS message_count,
         least(message_count, 4) // 2 AS turns,
-        CASE WHEN length(session_id) % 2 = 0 THEN strftime(created_at, {ISO}) END AS created_at,
-        CASE WHEN length(session_id) % 2 = 0 THEN strftime(last_activity, {ISO}) END AS last_activity FROM sess""",
+        CASE WHEN message_count > 4 THEN strftime(created_at, {ISO}) END AS created_at,
+        CASE WHEN message_count > 4 THEN strftime(last_activity, {ISO}) END AS last_activity FROM sess""",
     "J7_unexpired_messages": f"""SELECT id, session_id FROM msgs WHERE session_id NOT IN (
         SELECT session_id FROM sess WHERE last_activity < {NOW} - INTERVAL 30 DAY)""",
     "J8_cleared_messages": f"SELECT id, session_id FROM msgs WHERE NOT ({CLEARED})",
