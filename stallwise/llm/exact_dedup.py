@@ -30,11 +30,10 @@ def exact_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", pr
     rows = plain(docs, id, text)
     full = F.sha2(F.col("body"), 256)
     marks = materialise(rows.select("id", *_sizes(prefix), *([full.alias("sha")] if digest_all else [])), "exact-marks")
-    many = F.count("*") > 1
-    lengths = marks.groupBy("n_bytes").agg(many.alias("many")).where("many").drop("many")
-    shared = marks.join(lengths, "n_bytes", "left_semi")
-    heads = shared.groupBy("n_bytes", "head").agg(many.alias("many")).where("many").drop("many")
     on = ["n_bytes", "head"]
+    pairs = marks.groupBy(*on).agg(F.count("*").alias("n"))  # counted first: a large group is one row from here on
+    lengths = pairs.groupBy("n_bytes").agg(F.sum("n").alias("all")).where("all > 1").select("n_bytes")
+    heads = pairs.where("n > 1").join(lengths, "n_bytes", "left_semi").select(*on)
     alone = marks.join(heads, on, "left_anti").select(
         "id", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"),
         (F.col("sha") if digest_all else F.lit(None).cast("string")).alias("text_sha256"))
