@@ -204,7 +204,7 @@ def replace_personal_data(docs: DataFrame, key: str, id: str = "doc_id", text: s
     tagged = materialise(docs.select(F.col(id).alias("id"), body.alias("body"), F.coalesce(
         found, F.array().cast("array<string>")).alias("found")), "pii-found")
     spread = F.size("found") > 0
-    row = F.xxhash64("id", "body")
+    row = F.md5(F.concat_ws("\x1f", F.col("id").cast("string"), "body"))
     mentions = tagged.where(spread).select(row.alias("row"), F.explode(F.array_distinct("found")).alias("mention"))
     kind = _kind(F.col("mention"))
     known = materialise(mentions.select("mention").distinct().withColumn("kind", kind).withColumn(
@@ -215,10 +215,10 @@ def replace_personal_data(docs: DataFrame, key: str, id: str = "doc_id", text: s
     own = mentions.join(replaced, "mention").groupBy("row").agg(
         F.map_from_entries(F.collect_set(F.struct("mention", "instead"))).alias("instead"),
         F.count_distinct("kind", "value").alias("n_entities"), F.sort_array(F.collect_set("kind")).alias("kinds"))
-    between = F.split("body", ANY, -1)
-    said = F.transform("found", lambda m: F.element_at("instead", m))
-    whole = F.concat(F.element_at(between, 1), F.array_join(F.zip_with(
-        said, F.slice(between, 2, F.greatest(F.size(between) - 1, F.lit(0))), lambda s, b: F.concat(s, b)), ""))
+    # one more part than mentions: part, surrogate, part, ... ; the patterns run once over a text here
+    said = F.concat(F.transform("found", lambda m: F.element_at("instead", m)), F.array(F.lit("")))
+    whole = F.array_join(F.transform(F.arrays_zip(F.split("body", ANY, -1).alias("part"), said.alias("said")),
+                                     lambda z: F.concat(z["part"], z["said"])), "")
     changed = tagged.where(spread).withColumn("row", row).join(own, "row").select(
         "id", whole.alias("text"), F.size("found").cast("long").alias("n_mentions"), "n_entities", "kinds")
     same = tagged.where(~spread).select(
