@@ -43,8 +43,8 @@ def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that the rule of the contract calls contaminated."""
-    found = contamination(docs, table(spark, sf_dir, "benchmark"), keep=tuple(docs.columns))
-    return found.where(~contaminated()).select(*docs.columns)
+    found = contamination(docs, table(spark, sf_dir, "benchmark"), keep=True)
+    return found.where(~contaminated()).select("row.*")
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

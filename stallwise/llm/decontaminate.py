@@ -7,7 +7,6 @@ of the block that ends the pattern names the windows to compare word by word.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -129,8 +128,8 @@ def _scan(frame: DataFrame, found: list[WindowSearch]) -> DataFrame:
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: str = "text",
                   item_id: str = "item_id", item_text: str = "text", length: int = 13,
-                  block_chars: int = 4_000_000, keep: tuple[str, ...] = ()) -> DataFrame:
-    """One row per document: ``id, n_words, spans, items, n_hit`` and the columns named in ``keep``.
+                  block_chars: int = 4_000_000, keep: bool = False) -> DataFrame:
+    """One row per document: ``id, n_words, spans, items, n_hit``, and with ``keep`` the whole input row as ``row``.
 
     ``spans`` are the hit word ranges [start, stop), disjoint and in order; ``items`` the ids (as text, sorted) of
     items with an occurring window. An item shorter than ``length`` words is one window; an item or document with
@@ -138,7 +137,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", tex
     hits or no rows. The documents are scanned once, without a shuffle, for each ``block_chars`` characters of
     benchmark text: that bounds what is sent to executors, and a larger benchmark takes several scans.
     """
-    found = plain(docs, id, text, *[F.col(c).alias(f"_keep_{c}") for c in keep])
+    found = plain(docs, id, text, *([F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if keep else []))
     done = False
     for block in _blocks(benchmark, item_id, item_text, block_chars):
         found = _scan(materialise(found, "benchmark-scan") if done else found, searches(block, length))
@@ -147,7 +146,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", tex
         found = _scan(found, [])
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda total, s: total + s[1] - s[0])
     return found.select(F.col("id").alias(id), "n_words", "spans", "items", n_hit.alias("n_hit"),
-                        *[F.col(f"_keep_{c}").alias(c) for c in keep if c != id])
+                        *(["row"] if keep else []))
 
 
 def contaminated():

@@ -54,11 +54,12 @@ def drop_exact_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text
 
     Of rows that repeat id and text one stays. A null text counts as empty, so of null and empty texts one stays.
     """
-    found = exact_duplicates(docs, id, text, prefix, digest_all=True).select(F.col(id).alias("_id"), "text_sha256", "kept")
-    keys = found.groupBy("_id", "text_sha256").agg(F.first("kept").alias("kept"), F.count("*").alias("rows"))
-    keys = materialise(keys.where("not kept or rows > 1"), "exact-dropped")
+    found = exact_duplicates(docs, id, text, prefix, digest_all=True)
+    keys = found.groupBy(F.col(id).alias("__id"), F.col("text_sha256").alias("__sha256")).agg(
+        F.first("kept").alias("__kept"), F.count("*").alias("__rows"))
+    keys = materialise(keys.where("not __kept or __rows > 1"), "exact-dropped")
     sha = F.sha2(F.coalesce(F.col(text).cast("string"), F.lit("")), 256)
-    same = (sha == F.col("text_sha256")) & F.col(id).eqNullSafe(F.col("_id"))
+    same = (sha == F.col("__sha256")) & F.col(id).eqNullSafe(F.col("__id"))
     once = docs.join(keys, same, "left_anti")
-    again = docs.join(keys.where("kept"), same, "left_semi").withColumn("_sha", sha).dropDuplicates([id, "_sha"])
-    return once.unionByName(again.drop("_sha"))
+    again = docs.join(keys.where("__kept"), same, "left_semi").withColumn("__sha256", sha).dropDuplicates([id, "__sha256"])
+    return once.unionByName(again.drop("__sha256"))

@@ -1,0 +1,75 @@
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from stallwise.llm import pii as P
+
+
+@pytest.fixture(scope="module")
+def texts():
+    return {
+        1: "Mail ann.bo42@mail8.example.com or ANN.BO42@MAIL8.EXAMPLE.COM now.",
+        2: "Call +1 (988) 555-2485, again +1 988 555 2485.",
+        3: "Card 4041894974608795 and 4041-8949-7460-8795 from 42.144.35.254",
+        4: 'token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"### password=b7db7aa4a5fcc78305 end',
+        5: "Mr John Smith met Mrs Maria Lopez; Mr Smith left. Господин Иван Петров. Анна Петрова.",
+        6: "Nothing here, version 1.2 of 2024, 3 apples.", 7: None, 8: "", 9: "42.144.35.254 42.144.35.254 10.0.0.1",
+        10: "Mail ann.bo42@mail8.example.com", 11: "почта иван@почта.рф"}
+
+
+@pytest.fixture(scope="module")
+def found(spark, texts):
+    docs = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    return {r["doc_id"]: r for r in P.replace_personal_data(docs, "k").collect()}
+
+
+def test_nothing_private_is_left_and_the_rest_is_unchanged(found, texts):
+    for needle in ("ann.bo42", "555-2485", "4041894974608795", "42.144.35.254", "24be6443", "b7db7aa4", "Smith", "Lopez",
+                   "Иван", "иван"):
+        assert not any(needle.lower() in (r["text"] or "").lower() for r in found.values())
+    for i in (6, 7, 8):
+        assert found[i]["text"] == texts[i] and found[i]["n_mentions"] == 0
+    assert found[6]["kinds"] == [] and found[5]["kinds"] == ["name"] and found[3]["kinds"] == ["card", "ip"]
+
+
+def test_formats_are_kept(found):
+    one, two = re.findall(r"\S+@\S+", found[1]["text"])
+    assert re.fullmatch(r"[a-z]{3}\.[a-z]{2}\d\d@[a-z]{4}\d\.[a-z]{7}\.com", one) and two == one.upper()
+    phones = re.search(r"Call (\+1 \(\d{3}\) \d{3}-\d{4}), again (\+1 \d{3} \d{3} \d{4})\.", found[2]["text"])
+    assert re.sub(r"\D", "", phones[1]) == re.sub(r"\D", "", phones[2])
+    plain, dashed = re.search(r"Card (\d{16}) and (\d{4}-\d{4}-\d{4}-\d{4}) from \d{2}\.\d{3}\.\d{2}\.\d{3}$", found[3]["text"]).groups()
+    assert dashed.replace("-", "") == plain and plain[0] == "4"
+    digits = [int(c) for c in plain][::-1]
+    assert sum(d if i % 2 == 0 else (2 * d - 9 if d > 4 else 2 * d) for i, d in enumerate(digits)) % 10 == 0
+    assert re.fullmatch(r'token = "[0-9a-f]{40}"### password=[0-9a-f]{18} end', found[4]["text"])
+    assert re.fullmatch(r"почта [а-яё]{4}@[а-яё]{5}\.рф", found[11]["text"])
+
+
+def test_coreference_gender_and_script(found):
+    m = re.fullmatch(r"Mr (\w+) (\w+) met Mrs (\w+) (\w+); Mr (\w+) left\. Господин (\w+) (\w+)\. (\w+) (\w+)\.", found[5]["text"])
+    assert m and m[2] == m[5] and m[1] in P.GIVEN["m", "latin"] and m[3] in P.GIVEN["f", "latin"]
+    assert m[6] in P.GIVEN["m", "cyrillic"] and m[8] in P.GIVEN["f", "cyrillic"] and m[9].endswith("ова")
+    assert found[9]["text"].split()[0] == found[9]["text"].split()[1] and found[9]["n_entities"] == 2
+    assert found[10]["text"].split()[1] == re.findall(r"\S+@\S+", found[1]["text"])[0]
+    assert found[3]["text"].split()[-1] == found[9]["text"].split()[0]
+
+
+def test_surrogates_are_distinct_and_no_real_entity(spark):
+    values = [f"{a}.{b}.1.1" for a in range(1, 10) for b in range(1, 10)] + [f"{a}.1.{b}.1" for a in range(1, 10) for b in range(2, 10)]
+    frame = spark.createDataFrame([("ip", v) for v in values], "kind string, value string")
+    rows = P.entity_surrogates(frame, "k").collect()
+    stands = [r["surrogate"] for r in rows]
+    assert len(rows) == len(set(values)) == len(set(stands)) and not set(stands) & set(values)
+    names = [("name", n) for n in P.GIVEN["f", "latin"]]  # more names than can stand for one another
+    rows = P.entity_surrogates(spark.createDataFrame(names, "kind string, value string"), "k").collect()
+    assert len({r["surrogate"] for r in rows}) == len(names) and not {r["surrogate"] for r in rows} & {n for _, n in names}
+    other = P.entity_surrogates(frame, "another key").collect()
+    assert {r["value"]: r["surrogate"] for r in other} != {r["value"]: r["surrogate"] for r in P.entity_surrogates(frame, "k").collect()}
+
+
+def test_odd_rows_and_plan(odd, none):
+    rows = P.replace_personal_data(odd, "k")
+    assert rows.count() == odd.count() and P.replace_personal_data(none, "k").count() == 0
+    plan = rows._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
