@@ -32,14 +32,16 @@ def plain(docs: DataFrame, id: str, text: str, *more: Column) -> DataFrame:
     return docs.select(F.col(id).alias("id"), whole_text(text).alias("body"), *more)
 
 
-def bounded_sample(rows: DataFrame, by: str, most: int) -> DataFrame:
-    """At most ``most`` rows of each value of ``by`` (not null), chosen by a hash of ``id``.
+def bounded_sample(rows: DataFrame, keys: DataFrame, by: str, most: int) -> DataFrame:
+    """Rows of at most ``most`` ids of each value of ``by`` (neither null), chosen by a hash of the id.
 
-    A count of the small columns sets how much of the hash range to read, so only about that many texts are sorted.
+    ``keys`` holds ``id`` and ``by``, and the choice reads it alone; a count sets how much of the hash range is looked at. The chosen ids, at
+    most ``most`` a value, are broadcast to the texts, which are not shuffled.
     """
-    known = rows.where(F.col(by).isNotNull())
+    known = keys.where(F.col(by).isNotNull() & F.col("id").isNotNull()).select("id", by).distinct()
     rate = known.groupBy(F.col(by).alias("_by")).agg((F.lit(1.3 * most + 20) / F.count("*")).alias("_rate"))
     mark = F.xxhash64(F.lit(by), "id")
     near = known.join(rate, F.col(by) == F.col("_by")).where(F.pmod(mark, F.lit(1_000_000)) < F.col("_rate") * 1e6)
     order = Window.partitionBy(by).orderBy(mark, "id")
-    return near.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= most).drop("_by", "_rate", "_n")
+    chosen = near.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= most).select("id", by)
+    return rows.join(F.broadcast(chosen), "id")

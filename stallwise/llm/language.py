@@ -136,7 +136,7 @@ def fit_language(docs: DataFrame, id: str = "doc_id", text: str = "text", lang:
         for batch in batches:
             yield pd.Series([_vector(space.counts(body, tables), idf).tobytes() for body in batch])
 
-    picked = bounded_sample(rows, "_lang", sample_rows).select("_lang", "id", vectors("body").alias("v")).collect()
+    picked = bounded_sample(rows.drop("_lang"), rows.select("id", "_lang"), "_lang", sample_rows).select("_lang", "id", vectors("body").alias("v")).collect()
     by: dict[str, list] = {}
     for row in sorted(picked, key=lambda r: (r["_lang"], str(r["id"]), r["v"])):
         by.setdefault(row["_lang"], []).append(np.frombuffer(row["v"], np.float32))

@@ -124,9 +124,9 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: st
     """
     known = labels.select(F.col(id).alias("id"), F.col(label).cast("int").alias("_label")).where(
         "_label in (0, 1)").groupBy("id").agg(F.max("_label").alias("_label"))
-    rows = plain(docs, id, text).join(known, "id")
-    share = {r["_label"]: r["n"] for r in known.join(docs.select(F.col(id).alias("id")), "id").groupBy("_label").agg(
-        F.count("*").alias("n")).collect()}
+    rows = plain(docs, id, text)
+    labelled = rows.select("id").join(known, "id")
+    share = {r["_label"]: r["n"] for r in labelled.groupBy("_label").agg(F.count("*").alias("n")).collect()}
     total = sum(share.values())
     if len(share) < 2:
         p = (share.get(1, 0) + 1) / (total + 2)
@@ -143,7 +143,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: st
                 out.append(found[at].tobytes())
             yield pd.Series(out)
 
-    got = bounded_sample(rows, "_label", sample_rows).select("id", "_label", spaced("body").alias("c")).collect()
+    got = bounded_sample(rows, labelled, "_label", sample_rows).select("id", "_label", spaced("body").alias("c")).collect()
     got.sort(key=lambda r: (str(r["id"]), r["c"]))
     y = np.array([r["_label"] for r in got])
     taken = {c: max(1, int((y == c).sum())) for c in (0, 1)}

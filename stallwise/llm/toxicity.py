@@ -167,16 +167,16 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: s
     """
     known = labels.select(F.col(id).alias("id"), F.col(label).cast("int").alias("_label")).where(
         "_label in (0, 1)").groupBy("id").agg(F.max("_label").alias("_label"))
-    rows = plain(docs, id, text).join(known, "id")
-    share = {r["_label"]: r["n"] for r in known.join(docs.select(F.col(id).alias("id")), "id").groupBy("_label").agg(
-        F.count("*").alias("n")).collect()}
+    rows = plain(docs, id, text)
+    labelled = rows.select("id").join(known, "id")
+    share = {r["_label"]: r["n"] for r in labelled.groupBy("_label").agg(F.count("*").alias("n")).collect()}
     total = sum(share.values())
     if len(share) < 2:
         p = (share.get(1, 0) + 1) / (total + 2)
         return ToxicityModel([], np.zeros(0), float(np.log(p / (1 - p))))
 
     signed = F.pandas_udf(lambda bodies: pd.Series([signature(b) for b in bodies], dtype="int64"), "bigint")
-    picked = bounded_sample(rows, "_label", sample_rows).select("id", "_label", "body", signed("body").alias("sign"))
+    picked = bounded_sample(rows, labelled, "_label", sample_rows).select("id", "_label", "body", signed("body").alias("sign"))
     sample = materialise(picked.dropDuplicates(["_label", "sign"]), "toxicity-sample")
     taken = {r["_label"]: r["n"] for r in sample.groupBy("_label").agg(F.count("*").alias("n")).collect()}
 
