@@ -115,11 +115,8 @@ def listed_sessions(table: DataFrame, n: int = LISTED_SESSIONS) -> DataFrame:
 
 
 def recent_session_messages(messages: DataFrame, n: int = RECENT_SESSIONS) -> DataFrame:
-    """Messages and metadata of the latest ``n`` sessions; ``n`` rows are broadcast."""
-    if n > 10_000:
-        raise ValueError("ask for 10,000 sessions or fewer")
-    latest = latest_sessions(sessions(messages), n)
-    return messages.join(F.broadcast(latest), "session_id")
+    """Messages and metadata of the latest ``n`` sessions; Spark broadcasts them where their measured size allows."""
+    return messages.join(latest_sessions(sessions(messages), n), "session_id")
 
 
 def session_messages(messages: DataFrame, session_id: str) -> DataFrame:

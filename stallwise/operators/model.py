@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import time
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
@@ -15,7 +16,6 @@ from pyspark.ml.regression import (
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from stallwise.functions import scoring as S
-from stallwise.operators.ordered import last_rows
 from stallwise.schemas import TARGET
 from stallwise.session import materialise, shared_folder
 
@@ -207,7 +207,10 @@ class DiscountModel:
     def check_drift(self, predictions: DataFrame, order: list[str]) -> DataFrame:
         """``predictions`` is the log of all predictions so far."""
         recent = predictions.orderBy(*[F.desc(c) for c in order]).limit(DRIFT_SAMPLES)
-        return prediction_drift(recent, self.reference_predictions)
+        reference = self.reference_predictions
+        if reference is None:  # trained without validation rows: nothing to compare with
+            reference = recent.select("prediction").limit(0)
+        return prediction_drift(recent, reference)
 
     def cross_validate(self, data: DataFrame, key: str, folds: int = FOLDS) -> DataFrame:
         """One row: mean and population deviation of the fold RMSEs, and their list.
@@ -234,36 +237,24 @@ class DiscountModel:
 
     def save(self, path: str, spark: SparkSession) -> None:
         self.model.write().overwrite().save(f"{path}/model")
-        head = [(self.model_type, {k: str(v) for k, v in self.params.items()},
-                 {k: float(v) for k, v in self.metrics.items()})]
-        schema = "model_type string, params map<string,string>, metrics map<string,double>"
+        parts = [n for n in ("importances", "reference_predictions", "history") if getattr(self, n) is not None]
+        head = [(self.model_type, json.dumps(self.params), {k: float(v) for k, v in self.metrics.items()}, parts)]
+        schema = "model_type string, params string, metrics map<string,double>, parts array<string>"
         spark.createDataFrame(head, schema).coalesce(1).write.mode("overwrite").parquet(f"{path}/head")
-        for name in ("importances", "reference_predictions", "history"):
-            table = getattr(self, name)
-            if table is not None:
-                table.write.mode("overwrite").parquet(f"{path}/{name}")
+        for name in parts:
+            getattr(self, name).write.mode("overwrite").parquet(f"{path}/{name}")
 
     @classmethod
     def load(cls, path: str, spark: SparkSession) -> "DiscountModel":
         head = spark.read.parquet(f"{path}/head").first()
         reader = RandomForestRegressionModel if head["model_type"] == "random_forest" else GBTRegressionModel
-        params = {k: float(v) if "." in v else int(v) for k, v in head["params"].items()}
+        params = json.loads(head["params"])
         out = cls(head["model_type"], params, reader.load(f"{path}/model"), dict(head["metrics"]))
-        for name in ("importances", "reference_predictions", "history"):
-            try:
-                setattr(out, name, spark.read.parquet(f"{path}/{name}"))
-            except Exception as missing:  # the part was not saved
-                if "PATH_NOT_FOUND" not in str(missing):
-                    raise
+        for name in head["parts"]:
+            setattr(out, name, spark.read.parquet(f"{path}/{name}"))
         return out
 
 
 def recent_predictions(predictions: DataFrame, order: list[str], n: int = HISTORY) -> DataFrame:
     """The last ``n`` predictions, kept per map partition first (a top-n sort)."""
     return predictions.orderBy(*[F.desc(c) for c in order]).limit(n)
-
-
-__all__ = [
-    "DiscountModel", "clipped", "create_regressor", "fold_of", "hash_split", "importance_table",
-    "last_rows", "prediction_drift", "recent_predictions", "regression_metrics",
-]

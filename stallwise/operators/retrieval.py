@@ -156,11 +156,17 @@ def top_k(
     blocks of bounded size; each block is sent to the executors once and every
     document partition answers it with a matrix product and its own k best, so
     neither side is shuffled and no (query, document) pair becomes a row. Only
-    the partition winners meet in the final rank. Ties go to the smaller id.
+    the partition winners meet in the final rank. Ties go to the smaller id. Queries and documents whose vector is
+    null, holds a null or is not as wide as the widest query have no hits.
     """
     spark = queries.sparkSession
     size = queries.agg(F.count("*").alias("n"), F.max(F.size(query_vector)).alias("d")).first()
     count, width = size["n"], size["d"] or 1
+
+    def whole(vector: str):
+        return (F.size(vector) == width) & ~F.exists(vector, lambda x: x.isNull())
+
+    queries, documents = queries.where(whole(query_vector)), documents.where(whole(doc_vector))
     blocks = max(1, math.ceil(count * width * 8 / block_bytes))
     picked = queries.select(
         F.col(query_id).alias("_q"), F.col(query_vector).cast("array<float>").alias("_v"),

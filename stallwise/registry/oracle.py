@@ -8,6 +8,7 @@ from __future__ import annotations
 import re
 
 NOW = "TIMESTAMP '2024-02-20 00:00:00'"
+RETENTION_NOW = "TIMESTAMP '2024-02-02 00:00:00'"
 SPLIT = "TIMESTAMP '2024-01-16 00:00:00'"
 ISO = "'%Y-%m-%d %H:%M:%S'"
 ANY_NUMBER = r"[+-]?((\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|(?i:inf|infinity))"
@@ -389,7 +390,7 @@ _BODIES = {
     "S5_session_messages": f"SELECT id, role, content, {iso('ts')} FROM msgs WHERE session_id = 'user_5'",
     "S6_recent_sessions": f"""SELECT m.session_id, id, role, content, {iso('ts')}, {iso('created_at')},
         {iso('last_activity')}, message_count FROM msgs m JOIN
-        (SELECT * FROM sess ORDER BY last_activity DESC, session_id LIMIT 100) s ON s.session_id = m.session_id""",
+        (SELECT * FROM sess ORDER BY last_activity DESC, session_id LIMIT 20) s ON s.session_id = m.session_id""",
     "S7_saved_encoders": None,
     "S9_saved_vectors": """SELECT vec_id, CAST(len(embedding) AS INTEGER) AS dimension,
         round(sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))), 6) AS norm
@@ -472,7 +473,7 @@ _BODIES = {
         strftime(ts, {ISO}) AS time FROM msgs WHERE content ILIKE '%the%' ORDER BY ts DESC, id DESC LIMIT 20""",
     "F7_last_user_message": f"""SELECT session_id, arg_min(content, back) AS last_user_message FROM (
         SELECT *, row_number() {BACK} AS back FROM msgs) WHERE back <= 2 AND role = 'user' GROUP BY session_id""",
-    "F8_expired_sessions": f"SELECT session_id FROM sess WHERE last_activity < {NOW} - INTERVAL 30 DAY",
+    "F8_expired_sessions": f"SELECT session_id FROM sess WHERE last_activity < {RETENTION_NOW} - INTERVAL 30 DAY",
     "F9_rejected_products": "SELECT request_id, reason FROM reqs WHERE reason <> ''",
     "F9_valid_questions": """SELECT query_id, session_id, top_k, true AS include_sources FROM asks
         WHERE length(question) >= 3 AND top_k BETWEEN 1 AND 20""",
@@ -491,7 +492,7 @@ _BODIES = {
         CASE WHEN message_count > 4 THEN strftime(created_at, {ISO}) END AS created_at,
         CASE WHEN message_count > 4 THEN strftime(last_activity, {ISO}) END AS last_activity FROM sess""",
     "J7_unexpired_messages": f"""SELECT id, session_id FROM msgs WHERE session_id NOT IN (
-        SELECT session_id FROM sess WHERE last_activity < {NOW} - INTERVAL 30 DAY)""",
+        SELECT session_id FROM sess WHERE last_activity < {RETENTION_NOW} - INTERVAL 30 DAY)""",
     "J8_cleared_messages": f"SELECT id, session_id FROM msgs WHERE NOT ({CLEARED})",
     "J9_known_values": f"""SELECT request_id, {known('main_category', 'Electronics')},
         {known('sub_category', 'Accessories&Peripherals')}, {known('brand', 'boAt')} FROM serving""",
@@ -582,7 +583,7 @@ _BODIES = {
         strftime(ts, {ISO}) AS last_activity FROM msgs""",
     "W9_feature_windows": " UNION ALL ".join(
         f"SELECT '{c}' AS feature, ord, round({c}, 6) AS value FROM feat QUALIFY row_number() OVER (ORDER BY ord DESC) <= 1000"
-        for c in ("actual_price_clean", "rating_clean", "engagement_score")),
+        for c in NUMERIC),
     "T1_top_k_labels": f"""SELECT label, doc_id, rank FROM (
         SELECT *, row_number() OVER (PARTITION BY label ORDER BY score DESC, doc_id) AS rank FROM (
           SELECT q.label, d.vec_id AS doc_id, {cosine('q.v', 'd.embedding')} AS score FROM (
@@ -590,7 +591,7 @@ _BODIES = {
               SELECT label, i, avg(CAST(x AS DOUBLE)) AS x FROM (SELECT label, unnest(embedding) AS x,
                 generate_subscripts(embedding, 1) AS i FROM embeddings) GROUP BY label, i) GROUP BY label) q,
           embeddings d)) WHERE rank <= 5""",
-    "T2_latest_sessions": "SELECT session_id, message_count FROM sess ORDER BY last_activity DESC, session_id LIMIT 100",
+    "T2_latest_sessions": "SELECT session_id, message_count FROM sess ORDER BY last_activity DESC, session_id LIMIT 20",
     "T3_listed_sessions": f"""SELECT session_id, message_count AS msgs, strftime(created_at, {ISO}) AS created,
         strftime(last_activity, {ISO}) AS last_active FROM sess ORDER BY last_activity DESC, session_id LIMIT 20""",
     "T4_message_preview": f"""SELECT role, substr(content, 1, 80) AS message, strftime(ts, {ISO}) AS time FROM msgs
@@ -631,7 +632,7 @@ _BODIES = {
         least(2 * row_number() OVER (PARTITION BY session_id ORDER BY ts, query_id), 20) // 2 AS conversation_turns
         FROM asks""",
     "G13_retained_sessions": f"""SELECT session_id, message_count FROM sess
-        WHERE NOT last_activity < {NOW} - INTERVAL 30 DAY""",
+        WHERE NOT last_activity < {RETENTION_NOW} - INTERVAL 30 DAY""",
     "R1_metric_events": """SELECT event_id, kind, endpoint, round(prediction, 6) AS prediction, round(latency, 6) AS latency,
         query, confidence, session_id, error_type, message FROM ev""",
     "R2_drift_history": f"""SELECT status, strftime({NOW}, {ISO}) AS timestamp FROM shown WHERE drift_detected""",
@@ -647,8 +648,8 @@ _BODIES = {
           WHEN total_errors > 50 OR p95 > 2 THEN 'degraded' ELSE 'healthy' END AS status, status AS drift_status,
         total_errors AS error_count, round(p95, 6) AS latency_p95, total_predictions, total_queries
         FROM shown, tot, lat WHERE endpoint = 'all'""",
-    "R7_component_health": """SELECT 'healthy' AS status, CASE WHEN (SELECT count(*) FROM lineitem) > 0 THEN 'healthy'
-        ELSE 'unavailable' END AS model, CASE WHEN (SELECT count(*) FROM embeddings) > 0 THEN 'healthy' ELSE 'unavailable' END AS rag,
+    "R7_component_health": """SELECT 'healthy' AS status, CASE WHEN (SELECT count(*) FROM clean) > 0 THEN 'healthy'
+        ELSE 'unavailable' END AS model, CASE WHEN (SELECT count(*) FROM clean) > 0 THEN 'healthy' ELSE 'unavailable' END AS rag,
         CASE WHEN (SELECT count(*) FROM clean) > 0 THEN 'healthy' ELSE 'unavailable' END AS data""",
     "R8_summary": """SELECT total_predictions, total_queries, total_errors,
         round((SELECT p95 FROM lat WHERE endpoint = 'predict'), 6) AS prediction_p95,

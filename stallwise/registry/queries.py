@@ -33,6 +33,8 @@ QUERIES: dict[str, Query] = {}
 _STORED: dict[tuple, object] = {}
 
 NOW = "2024-02-20 00:00:00"
+#: Thirty days before this some sessions are over and others not.
+RETENTION_NOW = "2024-02-02 00:00:00"
 CLEARED = "session_id in ('user_3', 'user_8')"
 SESSION = "user_5"
 
@@ -52,8 +54,8 @@ def stored(spark: SparkSession, folder: str, name: str, build: Callable[[], obje
     return _STORED[key]
 
 
-def now() -> Column:
-    return F.lit(NOW).cast("timestamp_ntz")
+def now(at: str = NOW) -> Column:
+    return F.lit(at).cast("timestamp_ntz")
 
 
 def iso(column: str) -> Column:
@@ -114,8 +116,8 @@ def trained(spark, folder, model_type: str, params: dict | None = None) -> D.Dis
 
 
 def boosted(spark, folder) -> D.DiscountModel:
-    """The model that the queries about models share: 30 rounds."""
-    return trained(spark, folder, "xgboost", {"n_estimators": 30})
+    """The model that the queries about models share: the full default, 200 rounds of depth 6."""
+    return trained(spark, folder, "xgboost")
 
 
 def index(spark, folder):
@@ -233,7 +235,7 @@ def _(spark, folder):
 @query("S6_recent_sessions")
 @query("J5_recent_session_messages")
 def _(spark, folder):
-    return C.recent_session_messages(log(spark, folder)).select(
+    return C.recent_session_messages(log(spark, folder), n=20).select(
         "session_id", "id", "role", "content", iso("ts"), iso("created_at"), iso("last_activity"), "message_count")
 
 
@@ -528,7 +530,7 @@ def _(spark, folder):
 
 @query("F8_expired_sessions")
 def _(spark, folder):
-    return C.expired_sessions(C.sessions(log(spark, folder)), now()).select("session_id")
+    return C.expired_sessions(C.sessions(log(spark, folder)), now(RETENTION_NOW)).select("session_id")
 
 
 @query("F9_rejected_products")
@@ -596,7 +598,7 @@ def _(spark, folder):
 
 @query("J7_unexpired_messages")
 def _(spark, folder):
-    return C.apply_retention(log(spark, folder), now())[0].select("id", "session_id")
+    return C.apply_retention(log(spark, folder), now(RETENTION_NOW))[0].select("id", "session_id")
 
 
 @query("J8_cleared_messages")
@@ -834,8 +836,7 @@ def _(spark, folder):
 
 @query("W9_feature_windows")
 def _(spark, folder):
-    names = ["actual_price_clean", "rating_clean", "engagement_score"]
-    return rounded(M.feature_windows(features(spark, folder), names, ["ord"]).select("feature", "ord", "value"))
+    return rounded(M.feature_windows(features(spark, folder), list(NUMERIC_FEATURES), ["ord"]).select("feature", "ord", "value"))
 
 
 @query("W11_folds")
@@ -861,7 +862,7 @@ def _(spark, folder):
 
 @query("T2_latest_sessions")
 def _(spark, folder):
-    return C.latest_sessions(C.sessions(log(spark, folder))).select("session_id", "message_count")
+    return C.latest_sessions(C.sessions(log(spark, folder)), n=20).select("session_id", "message_count")
 
 
 @query("T3_listed_sessions")
@@ -1053,7 +1054,7 @@ def _(spark, folder):
 
 @query("G13_retained_sessions")
 def _(spark, folder):
-    return C.apply_retention(log(spark, folder), now())[1].select("session_id", "message_count")
+    return C.apply_retention(log(spark, folder), now(RETENTION_NOW))[1].select("session_id", "message_count")
 
 
 # -- monitoring rules ------------------------------------------------------------------------
@@ -1092,7 +1093,7 @@ def _(spark, folder):
 @query("R7_component_health")
 def _(spark, folder):
     return M.component_health({
-        "model": T.table(spark, folder, "lineitem"), "rag": embeddings(spark, folder),
+        "model": boosted(spark, folder).importances, "rag": index(spark, folder)[0],
         "data": clean_only(spark, folder)})
 
 
@@ -1136,9 +1137,9 @@ def _(spark, folder):
 @query("ST3_counts_by_minute")
 def _(spark, folder):
     path, check = scratch_path(spark, "counts"), scratch_path(spark, "counts-checkpoint")
-    source = stream_of(spark, events(spark, folder), "events", files=1)
+    source = stream_of(spark, events(spark, folder), "events")
     finish(SM.keep_counts(source, path, check))
-    return rounded(SS.latest(spark, path, ["minute", "kind"]).select(
+    return rounded(SM.merged_counts(spark, path).select(
         iso("minute"), "kind", "records", "latency_sum", "le_0_5", "le_1_0"))
 
 

@@ -10,32 +10,46 @@ from stallwise.operators import monitoring as M
 from stallwise.operators.model import DiscountModel
 
 WINDOW = "1 minute"
-LATENESS = "10 minutes"
 
 
-def counts_by_minute(events: DataFrame, window: str = WINDOW, lateness: str = LATENESS) -> DataFrame:
+def _edge(value: float) -> str:
+    return f"le_{str(value).replace('.', '_')}"
+
+
+def counts_by_minute(events: DataFrame, window: str = WINDOW) -> DataFrame:
     """Records, latency sum and cumulative latency buckets per minute and kind."""
-    edges = [F.count_if(F.col("latency") <= e).alias(f"le_{str(e).replace('.', '_')}") for e in M.LATENCY_EDGES]
+    edges = [F.count_if(F.col("latency") <= e).alias(_edge(e)) for e in M.LATENCY_EDGES]
     return (
-        events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", lateness)
+        events.withColumn("ts", F.col("ts").cast("timestamp"))
         .groupBy(F.window("ts", window), "kind")
         .agg(F.count("*").alias("records"), F.sum("latency").alias("latency_sum"), *edges)
         .select(F.col("window.start").alias("minute"), "kind", "records", "latency_sum",
-                *[f"le_{str(e).replace('.', '_')}" for e in M.LATENCY_EDGES])
+                *[_edge(e) for e in M.LATENCY_EDGES])
     )
 
 
-def keep_counts(events: DataFrame, path: str, checkpoint: str, window: str = WINDOW, lateness: str = LATENESS):
-    """Changed windows per micro-batch, each batch in its own folder."""
+def keep_counts(events: DataFrame, path: str, checkpoint: str, window: str = WINDOW):
+    """Counts of every micro-batch, each batch in its own folder.
+
+    Counts and sums add up, so no state is held and no record is ever too late; a batch that is run again replaces its
+    folder. ``merged_counts`` adds the batches.
+    """
     def keep(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        counts_by_minute(batch, window).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
     return (
-        counts_by_minute(events, window, lateness).writeStream.outputMode("update").foreachBatch(keep)
+        events.writeStream.foreachBatch(keep)
         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
 
 
+def merged_counts(spark, path: str) -> DataFrame:
+    """All batches of ``keep_counts`` together, one row per minute and kind."""
+    rows = spark.read.parquet(path)
+    added = [c for c in rows.columns if c not in ("minute", "kind", "batch")]
+    return rows.groupBy("minute", "kind").agg(*[F.sum(c).alias(c) for c in added])
+
+
 def watch_drift(events: DataFrame, reference: DataFrame, path: str, checkpoint: str,
                 threshold: float = M.DRIFT_THRESHOLD):
     """Drift status after every micro-batch.

@@ -118,3 +118,10 @@ def test_requests(spark, prepared, model):
     same = Q.serving_features(valid, PS.known_values(prepared.fitted), "request_id", "consistent", prepared.cleaned, 1000.0)
     same = {r["request_id"]: r for r in same.collect()}
     assert (same[5]["price_bucket"], same[1]["category_popularity"], same[2]["brand_popularity"]) == ("very_low", 34, 0)
+
+
+def test_drift_without_reference_and_odd_parameters(spark):
+    model = D.DiscountModel(params={"learning_rate": 1e-05, "note": "text"})
+    predictions = spark.createDataFrame([(i, 40.0 + i) for i in range(150)], "n long, prediction double")
+    row = model.check_drift(predictions, ["n"]).first()
+    assert not row["drift_detected"] and row["reason"] == "Insufficient data"

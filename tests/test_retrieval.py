@@ -62,3 +62,10 @@ def test_text_vectors(spark):
     assert R.top_k(asked, vectors, 1).first()["doc_id"] == "a"
     own = R.encode_with(docs.na.fill(""), lambda s: s.map(lambda t: [float(len(t)), 1.0]))
     assert own.filter("id = 'a'").first()["embedding"] == [13.0, 1.0]
+
+
+def test_top_k_leaves_out_broken_vectors(spark):
+    rows = [(1, [1.0, 0.0]), (2, None), (3, [0.0, 1.0]), (4, [1.0]), (5, [None, 1.0]), (6, [])]
+    table = spark.createDataFrame(rows, "id long, embedding array<float>")
+    hits = R.top_k(table, table, 3, query_id="id")
+    assert {(r["query_id"], r["doc_id"]) for r in hits.collect()} == {(1, 1), (1, 3), (3, 3), (3, 1)}
