@@ -35,8 +35,8 @@ def plain(docs: DataFrame, id: str, text: str, *more: Column) -> DataFrame:
 def bounded_sample(rows: DataFrame, keys: DataFrame, by: str, most: int) -> DataFrame:
     """Rows of at most ``most`` ids of each value of ``by`` (neither null), chosen by a hash of the id.
 
-    ``keys`` holds ``id`` and ``by``, and the choice reads it alone; a count sets how much of the hash range is looked at. The chosen ids, at
-    most ``most`` a value, are broadcast to the texts, which are not shuffled.
+    ``keys`` holds ``id`` and ``by``, and the choice reads it alone; a count sets how much of the hash range is looked
+    at. The chosen ids, at most ``most`` a value, are broadcast to the texts, which are not shuffled.
     """
     known = keys.where(F.col(by).isNotNull() & F.col("id").isNotNull()).select("id", by).distinct()
     rate = known.groupBy(F.col(by).alias("_by")).agg((F.lit(1.3 * most + 20) / F.count("*")).alias("_rate"))

@@ -60,6 +60,7 @@ def drop_exact_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text
     keys = materialise(keys.where("not __kept or __rows > 1"), "exact-dropped")
     sha = F.sha2(F.coalesce(F.col(text).cast("string"), F.lit("")), 256)
     same = (sha == F.col("__sha256")) & F.col(id).eqNullSafe(F.col("__id"))
-    once = docs.join(keys, same, "left_anti")
+    # one plan for every size: the keys grow with the data, so they are merged with the texts and never broadcast
+    once = docs.join(keys.hint("merge"), same, "left_anti")
     again = docs.join(keys.where("__kept"), same, "left_semi").withColumn("__sha256", sha).dropDuplicates([id, "__sha256"])
     return once.unionByName(again.drop("__sha256"))
