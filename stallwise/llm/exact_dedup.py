@@ -2,7 +2,8 @@
 
 Every step looks only at rows whose group still has two members. Steps one and two
 work on a stored table of a few dozen bytes a row; the content itself is hashed
-whole only for rows that share length and prefix with another row.
+whole only for rows that share length and prefix with another row. A group that
+holds much of the table is never moved to one task (``HOT_SHARE``).
 """
 
 from __future__ import annotations
@@ -13,6 +14,15 @@ from stallwise.llm.common import plain
 from stallwise.session import materialise
 
 
+#: A group with more than one in this many of all rows is hot. Fewer than this many groups can be, so the list of them
+#: is broadcast and their rows stay where they are; all other groups are merged by key.
+HOT_SHARE = 1000
+
+
+def _without(rows: DataFrame, hot: DataFrame, on: list[str]) -> DataFrame:
+    return rows.join(F.broadcast(hot), on, "left_anti")
+
+
 def _sizes(prefix: int) -> list[Column]:
     return [F.octet_length("body").alias("n_bytes"), F.xxhash64(F.substring("body", 1, prefix)).alias("head")]
 
@@ -31,19 +41,24 @@ def exact_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", pr
     full = F.sha2(F.col("body"), 256)
     marks = materialise(rows.select("id", *_sizes(prefix), *([full.alias("sha")] if digest_all else [])), "exact-marks")
     on = ["n_bytes", "head"]
+    share = marks.agg(F.count("*") / HOT_SHARE).scalar()
     pairs = marks.groupBy(*on).agg(F.count("*").alias("n"))  # counted first: a large group is one row from here on
     lengths = pairs.groupBy("n_bytes").agg(F.sum("n").alias("all")).where("all > 1").select("n_bytes")
-    heads = pairs.where("n > 1").join(lengths, "n_bytes", "left_semi").select(*on)
-    alone = marks.join(heads, on, "left_anti").select(
+    heads = materialise(pairs.where("n > 1").join(lengths, "n_bytes", "left_semi"), "exact-heads")
+    hot, cold = (heads.where(x).select(*on) for x in (F.col("n") > share, F.col("n") <= share))
+    alone = _without(marks, hot, on).join(cold, on, "left_anti").select(
         "id", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"),
         (F.col("sha") if digest_all else F.lit(None).cast("string")).alias("text_sha256"))
-    if digest_all:
-        left = marks.join(heads, on, "left_semi").select("id", "n_bytes", "sha")
-    else:
-        left = rows.select("id", "body", *_sizes(prefix)).join(heads, on, "left_semi").select(
-            "id", "n_bytes", full.alias("sha"))
-    groups = left.groupBy("n_bytes", "sha").agg(F.max("id").alias("keep_id"), F.count("*").alias("group_size"))
-    grouped = left.join(groups, ["n_bytes", "sha"]).select(
+    read = marks if digest_all else rows.select("id", "body", *_sizes(prefix))
+    shared = read.join(F.broadcast(hot), on, "left_semi").unionByName(
+        _without(read, hot, on).join(cold, on, "left_semi"))
+    left = materialise(shared.select("id", "n_bytes", F.col("sha") if digest_all else full.alias("sha")), "exact-left")
+    same = ["n_bytes", "sha"]
+    groups = materialise(left.groupBy(*same).agg(F.max("id").alias("keep_id"), F.count("*").alias("group_size")),
+                         "exact-groups")
+    hot, cold = (groups.where(x) for x in (F.col("group_size") > share, F.col("group_size") <= share))
+    grouped = left.join(F.broadcast(hot), same).unionByName(
+        _without(left, hot.select(*same), same).join(cold, same)).select(
         "id", "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"),
         F.col("sha").alias("text_sha256"))
     return alone.unionByName(grouped).withColumnRenamed("id", id)

@@ -32,6 +32,19 @@ def test_exact_against_brute_force(spark, odd):
         assert part == {x[:4] for x in brute_exact(rows)}
 
 
+def test_hot_and_cold_groups_against_brute_force(spark):
+    """Of 4,000 rows a third is one text and some texts come five times (both hot), others two or three times."""
+    rows = [(i, "hot text" if i % 3 == 0 else f"five {i % 400 // 2}" if i % 10 == 1 else f"few {i // 6}" if i % 2 else f"one {i}")
+            for i in range(4000)]
+    sizes = collections.Counter(collections.Counter(t for _, t in rows).values())
+    assert any(n > 4 for n in sizes) and any(2 <= n <= 4 for n in sizes)
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert sorted([tuple(r) for r in exact_duplicates(docs, digest_all=True).collect()], key=str) == brute_exact(rows)
+    assert sorted([tuple(r)[:4] for r in exact_duplicates(docs, prefix=4).collect()], key=str) == sorted(
+        [r[:4] for r in brute_exact(rows)], key=str)
+    assert drop_exact_duplicates(docs).count() == len({t for _, t in rows})
+
+
 def test_full_hash_only_where_length_and_prefix_are_shared(spark):
     docs = spark.createDataFrame([(1, "aaaa1"), (2, "aaaa2"), (3, "bbbb3"), (4, "longer text")], "doc_id bigint, text string")
     hashed = {r["doc_id"]: r["text_sha256"] is not None for r in exact_duplicates(docs, prefix=4).collect()}
