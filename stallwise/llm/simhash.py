@@ -22,6 +22,9 @@ from stallwise.session import materialise
 
 #: Shingles whose bits are unpacked at once.
 SLICE = 65_536
+#: A fingerprint with more than one in this many of all rows is hot. Fewer than this many can be, so they are broadcast
+#: to their rows; all others are merged by key.
+HOT_SHARE = 1000
 _HALF = np.uint64(0x7FFFFFFF)
 
 
@@ -241,14 +244,17 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", len
     null id. An empty table gives no rows; further columns are not read.
     """
     marked = materialise(fingerprints(docs, id, text, length), "simhash")
-    nodes = materialise(marked.groupBy("fp").agg(F.min(id).alias("least")), "simhash-nodes")
+    nodes = materialise(marked.groupBy("fp").agg(F.min(id).alias("least"), F.count("*").alias("n")), "simhash-nodes")
     roots = components(links(nodes, bits))
     rooted = nodes.join(roots, nodes["fp"] == roots["node"], "left").select(
-        "fp", "least", F.coalesce("root", "fp").alias("root"))
+        "fp", "least", "n", F.coalesce("root", "fp").alias("root"))
     rooted = materialise(rooted, "simhash-roots")
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    of = materialise(rooted.join(named, "root").select("fp", "component_id"), "simhash-components")
-    return marked.join(of, "fp").select(id, "fp", "component_id")
+    of = materialise(rooted.join(named, "root").select("fp", "n", "component_id"), "simhash-components")
+    share = nodes.agg(F.sum("n") / HOT_SHARE).scalar()
+    hot, cold = (of.where(x).drop("n") for x in (F.col("n") > share, F.col("n") <= share))
+    rest = marked.join(F.broadcast(hot.select("fp")), "fp", "left_anti").join(cold, "fp")
+    return marked.join(F.broadcast(hot), "fp").unionByName(rest).select(id, "fp", "component_id")
 
 
 def hexadecimal(column: str):
