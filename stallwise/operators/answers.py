@@ -179,14 +179,15 @@ def question_sequence(questions: DataFrame, log: DataFrame | None) -> DataFrame:
         .alias("conversation_turns"))
 
 
-def answers(asked: DataFrame, hits: DataFrame, include_sources: bool = True) -> DataFrame:
+def answers(asked: DataFrame, hits: DataFrame, shown: DataFrame | None = None) -> DataFrame:
     """One answer row per question.
 
     ``asked`` has ``query_id, session_id, question, conversation_turns``; ``hits`` are the
     kept hits with their index fields (``hit_texts``), read three times, so hand in a stored
-    table. All joins are one row per question on both sides.
+    table. ``shown`` are the hits that become sources, all when left out. All joins are one row
+    per question on both sides.
     """
-    out = (
+    return (
         asked.join(question_products(hits), "query_id", "left")
         .join(mean_scores(hits), "query_id", "left")
         .withColumns({
@@ -195,10 +196,8 @@ def answers(asked: DataFrame, hits: DataFrame, include_sources: bool = True) ->
             .otherwise(S.score_label(F.col("mean_score"))),
             "num_sources": F.coalesce("num_sources", F.lit(0)),
         }).drop("products", "mean_score")
+        .join(sources(hits if shown is None else shown), "query_id", "left")
     )
-    if include_sources:
-        out = out.join(sources(hits), "query_id", "left")
-    return out
 
 
 def answer_messages(answered: DataFrame) -> DataFrame:

@@ -6,6 +6,8 @@
 
 from __future__ import annotations
 
+from string import ascii_lowercase, ascii_uppercase
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from stallwise.functions import text as X
@@ -130,9 +132,11 @@ def message_preview(messages: DataFrame, session_id: str) -> DataFrame:
 
 
 def search(messages: DataFrame, term: str, n: int = SEARCH_HITS) -> DataFrame:
-    """Newest messages that contain the term, in any case. ``%`` and ``_`` match as in LIKE."""
+    """Newest messages that contain the term; A-Z match a-z, other letters only themselves. ``%`` and ``_`` match as
+    in LIKE, a backslash is a plain character."""
+    folded = term.translate(str.maketrans(ascii_uppercase, ascii_lowercase)).replace("\\", "\\\\")
     return (
-        messages.filter(F.col("content").ilike(f"%{term}%"))
+        messages.filter(F.translate("content", ascii_uppercase, ascii_lowercase).like(f"%{folded}%"))
         .orderBy(F.desc("ts"), F.desc("id")).limit(n)
         .select("session_id", "role", F.substring("content", 1, 100).alias("message_preview"),
                 X.seconds_text(F.col("ts")).alias("time"))

@@ -58,7 +58,8 @@ def label_table(features: DataFrame, columns: list[str]) -> DataFrame:
     pairs = F.explode(F.array(*[
         F.struct(F.lit(c).alias("feature"), F.col(c).cast("string").alias("label")) for c in columns
     ])).alias("p")
-    return label_index(features.select(pairs).select("p.*"), "feature", "label", "code", "labels")
+    labels = features.select(pairs).select("p.*").where("label IS NOT NULL")
+    return label_index(labels, "feature", "label", "code", "labels")
 
 
 def numeric_or_zero(column: str) -> Column:
@@ -84,13 +85,15 @@ class FittedFeatures:
     """Label tables, fill values and scaling learned from the training features.
 
     ``labels_path`` is a Parquet table partitioned by feature, so the planner sees
-    the true size of each label table. The other two are one value per column.
+    the true size of each label table. The next two are one value per column.
+    ``catalogue`` is the one row of figures of the cleaned table, if they were asked for.
     """
 
     spark: SparkSession
     labels_path: str
     fills: dict[str, str]
     scaling: dict[str, tuple[float, float]]
+    catalogue: DataFrame | None = None
 
     @classmethod
     def fit(cls, features: DataFrame, spread: str = "product_id") -> "FittedFeatures":
@@ -109,7 +112,8 @@ class FittedFeatures:
         gaps = features.agg(*[
             F.count_if(F.col(c).isNull()).alias(c) for c in CATEGORICAL_FEATURES
         ]).first()
-        fills = {c: mode_value(features, c).first()["value"] for c in CATEGORICAL_FEATURES if gaps[c]}
+        modes = {c: mode_value(features, c).first() for c in CATEGORICAL_FEATURES if gaps[c]}
+        fills = {c: mode["value"] for c, mode in modes.items() if mode}  # none in a column that is all null
         filled = features.na.fill(fills) if fills else features
         path = scratch_path(spark, "label-tables")
         label_table(filled, CATEGORICAL_FEATURES).write.partitionBy("feature").parquet(path)
@@ -154,10 +158,13 @@ class FittedFeatures:
         return self.scale(self.encode(needed, spread), keep)
 
     def save(self, path: str) -> None:
-        """Label tables and a one-row-per-column statistics table below ``path``."""
+        """Label tables, a one-row-per-column statistics table and the catalogue figures below ``path``."""
         self.labels().write.mode("overwrite").partitionBy("feature").parquet(f"{path}/labels")
-        rows = [(c, self.fills.get(c), *self.scaling[c]) for c in FEATURES]
-        schema = "feature string, fill string, mean double, std double"
+        known = self.catalogue is not None
+        if known:
+            self.catalogue.write.mode("overwrite").parquet(f"{path}/catalogue")
+        rows = [(c, self.fills.get(c), *self.scaling[c], known) for c in FEATURES]
+        schema = "feature string, fill string, mean double, std double, catalogue boolean"
         self.spark.createDataFrame(rows, schema).coalesce(1).write.mode("overwrite").parquet(f"{path}/stats")
 
     @classmethod
@@ -165,4 +172,5 @@ class FittedFeatures:
         rows = spark.read.parquet(f"{path}/stats").collect()  # one row per model input
         fills = {r["feature"]: r["fill"] for r in rows if r["fill"] is not None}
         scaling = {r["feature"]: (r["mean"], r["std"]) for r in rows}
-        return cls(spark, f"{path}/labels", fills, scaling)
+        catalogue = spark.read.parquet(f"{path}/catalogue") if rows[0]["catalogue"] else None
+        return cls(spark, f"{path}/labels", fills, scaling, catalogue)

@@ -24,8 +24,10 @@ THRESHOLD = 0.3
 SERVING_THRESHOLD = 0.0
 #: Bytes of query vectors held by every executor at a time.
 BLOCK_BYTES = 64 * 1024 * 1024
-#: Documents scored in one matrix product.
+#: Documents scored in one matrix product, fewer when there are so many queries that it would have more cells than
+#: the second figure. A task holds about four matrices of that size, 8 bytes a cell.
 DOCUMENT_ROWS = 1024
+SCORE_CELLS = 8 * 1024 * 1024
 #: Scores are compared at this precision, so equal vectors tie and fall back to the id.
 SCORE_DECIMALS = 12
 
@@ -126,9 +128,10 @@ def _partition_top_k(queries, k: int, id_field: pa.Field, out: pa.Schema):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         query_ids, matrix = queries.value
         best = _Best(len(query_ids), k)
+        step = max(1, min(DOCUMENT_ROWS, SCORE_CELLS // len(query_ids)))
         for batch in batches:
-            for start in range(0, batch.num_rows, DOCUMENT_ROWS):
-                piece = batch.slice(start, DOCUMENT_ROWS)
+            for start in range(0, batch.num_rows, step):
+                piece = batch.slice(start, step)
                 ids = np.asarray(piece.column(0).to_pylist())
                 order = np.argsort(ids, kind="stable")
                 scores = matrix @ _unit_rows(piece.column(1))[order].T

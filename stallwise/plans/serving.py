@@ -42,10 +42,12 @@ def answer_questions(
 ) -> tuple[DataFrame, DataFrame]:
     """(answers, rejected questions).
 
-    ``questions`` has ``query_id, session_id, ts, question, top_k``; ``top_k`` may
-    differ per question.
+    ``questions`` has ``query_id, session_id, ts, question, top_k`` and may have ``include_sources``;
+    the last two may differ per question. ``include_sources`` of the call stands for a question that
+    doesn't say; where it is false for a question, its sources are null.
     """
-    checked = Q.check_questions(questions.withColumn("include_sources", F.lit(include_sources)))
+    said = F.col("include_sources") if "include_sources" in questions.columns else F.lit(None).cast("boolean")
+    checked = Q.check_questions(questions.withColumn("include_sources", F.coalesce(said, F.lit(include_sources))))
     valid, rejected = Q.split_valid(checked)
     asked = materialise(A.question_sequence(valid, log), "asked")
     vectors = R.encode(asked.select("query_id", F.col("query").alias("text")), encoder)
@@ -54,4 +56,5 @@ def answer_questions(
     hits = hits.join(valid.select("query_id", "top_k"), "query_id").filter(F.col("rank") <= F.col("top_k"))
     hits = materialise(hits.drop("top_k"), "hits")
     full = materialise(A.hit_texts(hits, index), "hit-texts")
-    return A.answers(asked, full, include_sources), rejected
+    with_sources = valid.filter("include_sources").select("query_id")
+    return A.answers(asked, full, full.join(with_sources, "query_id", "left_semi")), rejected

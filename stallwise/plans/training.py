@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from stallwise.functions import text as X
 from stallwise.operators import catalog, retrieval as R
-from stallwise.operators.clean import load_and_clean
+from stallwise.operators.clean import catalogue_stats, load_and_clean
 from stallwise.operators.features import FittedFeatures, feature_table
 from stallwise.operators.model import DiscountModel, hash_split
 from stallwise.schemas import FEATURES, TARGET
@@ -36,6 +36,7 @@ def prepare(raw: DataFrame) -> Prepared:
     cleaned = materialise(load_and_clean(raw), "cleaned")
     features = materialise(feature_table(cleaned), "features")
     fitted, matrix = FittedFeatures.fit_transform(features, keep=["product_id", TARGET])
+    fitted.catalogue = catalogue_stats(cleaned)
     return Prepared(cleaned, features, fitted, matrix)
 
 

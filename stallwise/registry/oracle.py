@@ -248,7 +248,7 @@ CTES = {
         row_number() OVER (PARTITION BY q.vec_id ORDER BY {cosine('q.embedding', 'd.embedding')} DESC, d.vec_id) AS rank
         FROM embeddings q, embeddings d QUALIFY rank <= 5""",
     "vec_docs": """SELECT t.*, e.embedding FROM texts t JOIN embeddings e
-        ON t.product_id = 'P' || lpad(CAST(e.vec_id AS VARCHAR), 8, '0')""",
+        ON e.vec_id = t.ord % (SELECT count(*) FROM embeddings)""",
     "vec_asks": """SELECT a.*, e.embedding FROM asks a JOIN embeddings e
         ON e.vec_id = a.query_id % (SELECT count(*) FROM embeddings)""",
     "scored": f"""SELECT q.query_id, d.product_id AS doc_id, {cosine('q.embedding', 'd.embedding')} AS score
@@ -430,14 +430,14 @@ _BODIES = {
     "P15_serving_row": f"SELECT request_id, {', '.join(CATEGORICAL)}, {columns(NUMERIC)} FROM serving",
     "P16_first_number": f"""SELECT ord, {first_number("coalesce(actual_price, '')")} AS price_number,
         {first_number("coalesce(product_name, '')")} AS name_number FROM raw""",
-    "P17_field_table": f"""SELECT doc_id, CAST(dense_rank() OVER (PARTITION BY doc_id ORDER BY block) - 1 AS INTEGER) AS record,
+    "P17_field_table": f"""SELECT ord, CAST(dense_rank() OVER (PARTITION BY ord ORDER BY block) - 1 AS INTEGER) AS record,
         field, arg_max(value, i) AS value FROM (
-          SELECT doc_id, block, i, replace(lower(rtrim(substr(line, 1, position(':' IN line) - 1))), ' ', '_') AS field,
+          SELECT ord, block, i, replace(lower(rtrim(substr(line, 1, position(':' IN line) - 1))), ' ', '_') AS field,
             ltrim(substr(line, position(':' IN line) + 1)) AS value
-          FROM (SELECT *, sum(CAST(line = '' AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY i) AS block FROM (
-            SELECT doc_id, i, {stripped('l')} AS line FROM (SELECT doc_id, unnest(str_split(text, chr(10))) AS l,
-              generate_subscripts(str_split(text, chr(10)), 1) AS i FROM documents)))
-          WHERE contains(line, ':')) GROUP BY doc_id, block, field""",
+          FROM (SELECT *, sum(CAST(line = '' AS INTEGER)) OVER (PARTITION BY ord ORDER BY i) AS block FROM (
+            SELECT ord, i, {stripped('l')} AS line FROM (SELECT ord, unnest(str_split(rag_document, chr(10))) AS l,
+              generate_subscripts(str_split(rag_document, chr(10)), 1) AS i FROM texts)))
+          WHERE contains(line, ':')) GROUP BY ord, block, field""",
     "P18_context_line": f"SELECT id, {LINE} AS line FROM msgs",
     "P19_query_excerpt": "SELECT id, substr(content, 1, 100) AS query FROM msgs",
     "P20_previews": f"""SELECT id, substr(content, 1, 80) AS message, substr(content, 1, 100) AS message_preview,
@@ -470,7 +470,8 @@ _BODIES = {
     "F4_category_pattern": "SELECT ord, main_category FROM clean WHERE regexp_matches(main_category, '(?i)econ|^s')",
     "F5_score_threshold": "SELECT query_id, doc_id, rank FROM every_hit WHERE score >= 0.3",
     "F6_message_search": f"""SELECT session_id, role, substr(content, 1, 100) AS message_preview,
-        strftime(ts, {ISO}) AS time FROM msgs WHERE content ILIKE '%the%' ORDER BY ts DESC, id DESC LIMIT 20""",
+        strftime(ts, {ISO}) AS time FROM msgs WHERE translate(content,
+        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') LIKE '%ció%' ORDER BY ts DESC, id DESC LIMIT 20""",
     "F7_last_user_message": f"""SELECT session_id, arg_min(content, back) AS last_user_message FROM (
         SELECT *, row_number() {BACK} AS back FROM msgs) WHERE back <= 2 AND role = 'user' GROUP BY session_id""",
     "F8_expired_sessions": f"SELECT session_id FROM sess WHERE last_activity < {RETENTION_NOW} - INTERVAL 30 DAY",
@@ -484,6 +485,8 @@ _BODIES = {
     "J1_popularity": "SELECT ord, category_popularity, brand_popularity FROM feat",
     "J2_label_codes": f"SELECT ord, {', '.join(CATEGORICAL)} FROM coded",
     "J3_scores": "SELECT query_id, doc_id, round(score, 4) AS score, rank FROM every_hit",
+    "M12_retrieve": """SELECT query_id, doc_id, round(score, 4) AS score, rank FROM hits
+        WHERE rank <= 5 AND score >= 0.3""",
     "J4_hit_documents": """SELECT query_id, rank, doc_id, product_name, discounted_price AS price, rating
         FROM hits JOIN clean ON doc_id = product_id""",
     "J6_session_list": f"""SELECT session_id,
@@ -673,7 +676,6 @@ SAME = {
     "T6_newest_search_hits": "F6_message_search",
     "G5_intent": "F10_keyword_groups",
     "W10_hit_rank": "J3_scores",
-    "M12_retrieve": "J3_scores",
     "G3_all_sessions": "J6_session_list",
     "M1_model_matrix": "A8_standardised",
     "U1_named_totals": "A11_store_totals",

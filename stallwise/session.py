@@ -34,14 +34,14 @@ def build_session(app: str = "stallwise", master: str | None = None, **extra: st
 def shared_folder(spark: SparkSession) -> str:
     """Folder every executor can reach: ``spark.checkpoint.dir`` of the session.
 
-    Only a local master may fall back to a temporary folder.
+    Only a master whose tasks run in this process may fall back to a temporary folder.
     """
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         folder = context.getCheckpointDir()
     if not folder:
-        if not context.master.startswith("local"):
+        if context.master != "local" and not context.master.startswith("local["):  # local-cluster has executors
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="stallwise-")
     if context.getCheckpointDir() is None:

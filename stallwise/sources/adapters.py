@@ -80,9 +80,11 @@ def raw_products(spark: SparkSession, folder: str, with_text: bool = True) -> Da
 
     documents = table(spark, folder, "documents").select("doc_id", "text")
     size = documents.agg(F.count("*").alias("n")).scalar()
+    # Products without a text get keys of their own, below those of all texts, so no task holds all of them.
+    alone = -1 - F.col("ord")
     keyed = rows.withColumn("_docs", size).withColumns({
-        "_about": F.when(F.col("ord") % 11 != 0, F.col("ord") % F.col("_docs")),
-        "_review": F.when(F.col("ord") % 17 != 0, (F.col("ord") * 7 + 3) % F.col("_docs"))})
+        "_about": F.when(F.col("ord") % 11 != 0, F.col("ord") % F.col("_docs")).otherwise(alone),
+        "_review": F.when(F.col("ord") % 17 != 0, (F.col("ord") * 7 + 3) % F.col("_docs")).otherwise(alone)})
     about = documents.select(F.col("doc_id").alias("_about"), F.col("text").alias("about_product"))
     review = documents.select(F.col("doc_id").alias("_review"), F.col("text").alias("review_content"))
     joined = keyed.join(about, "_about", "left").join(review, "_review", "left")

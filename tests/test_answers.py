@@ -83,6 +83,10 @@ def test_questions_end_to_end(spark, sample_products):
     assert len(got[1]["sources"]) == 5 and len(got[2]["sources"]) == 3
     assert (got[1]["conversation_turns"], got[2]["conversation_turns"]) == (1, 2)
     assert got[5]["confidence"] == "low"
+    some, _ = PS.answer_questions(asked.withColumn("include_sources", F.when(F.col("query_id") == 1, False)), index, encoder,
+                                  threshold=0.05)
+    said = {r["query_id"]: r for r in some.collect()}
+    assert said[1]["sources"] is None and said[1]["num_sources"] == 5 and len(said[2]["sources"]) == 3
     pairs = A.answer_messages(answered).filter("session_id = 't'").count()
     assert pairs == 4
     none, _ = PS.answer_questions(asked, index, encoder, threshold=2.0)

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from stallwise.operators import catalog as K
 from stallwise.operators.clean import catalogue_stats, first_per_name, load_and_clean
 from stallwise.operators.features import FittedFeatures, engineer_features, label_table, mode_value
+from stallwise.plans.training import prepare
 from stallwise.schemas import CATEGORICAL_FEATURES, FEATURES, RAW_PRODUCT_COLUMNS, TARGET
 from stallwise.session import materialise
 from stallwise.sources.readers import as_raw_products, load_products, read_products
@@ -98,3 +99,20 @@ def test_csv_by_header_with_quotes_and_breaks(spark, tmp_path):
     assert rows[0]["product_name"] == 'Cable, "2 m"' and rows[0]["about_product"] == "one\ntwo"
     assert rows[0]["rating"] is None and rows[0]["category"] == "category"
     assert load_and_clean(load_products(spark, str(tmp_path / "products.csv"))).count() == 0  # no price
+
+
+def test_a_column_without_any_value(spark, sample_products):
+    features = engineer_features(load_and_clean(sample_products)).withColumn("brand", F.lit(None).cast("string"))
+    fitted, matrix = FittedFeatures.fit_transform(materialise(features, "features"))
+    assert fitted.labels("brand").count() == 0 and "brand" not in fitted.fills
+    assert matrix.count() == 100 and matrix.select("brand").distinct().count() == 1
+
+
+def test_saved_features_keep_the_catalogue_figures(spark, sample_products, tmp_path):
+    prepared = prepare(sample_products)
+    prepared.fitted.save(str(tmp_path / "a"))
+    again = FittedFeatures.load(spark, str(tmp_path / "a"))
+    assert again.catalogue.collect() == catalogue_stats(prepared.cleaned).collect()
+    again.catalogue = None
+    again.save(str(tmp_path / "b"))
+    assert FittedFeatures.load(spark, str(tmp_path / "b")).catalogue is None

@@ -80,3 +80,13 @@ def test_questions_in_one_batch_see_each_other(spark, log):
     asked = spark.createDataFrame(rows, "query_id long, session_id string, question string, ts timestamp_ntz")
     got = {r["query_id"]: (r["query"], r["conversation_turns"]) for r in A.question_sequence(asked, log).collect()}
     assert got == {900: ("Hello Any cables?", 2), 901: ("Any cables? Cheaper?", 3), 902: ("Hi there", 1)}
+
+
+def test_search_folds_ascii_letters_only(spark):
+    said = ["ÖL und ESSIG", "öl UND essig", "a\\b", "a%b"]
+    rows = [(i, "s", "user", text, at(i)) for i, text in enumerate(said)] + [(9, "s", "user", None, at(9))]
+    table = spark.createDataFrame(rows, MESSAGE)
+
+    def found(term):
+        return [said.index(r["message_preview"]) for r in C.search(table, term).collect()]
+    assert (found("essig"), found("öl"), found("ÖL"), found("a\\b"), found("A_B")) == ([1, 0], [1], [0], [2], [3, 2])

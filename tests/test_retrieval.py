@@ -29,6 +29,13 @@ def test_top_k_equals_brute_force(spark, block_bytes):
     assert {(r["query_id"], r["doc_id"], r["rank"]) for r in hits.collect()} == brute(queries, docs, 6)
 
 
+def test_small_score_matrices(spark, monkeypatch):
+    monkeypatch.setattr(R, "SCORE_CELLS", 50)
+    table = np.random.default_rng(5).normal(size=(200, 4)).astype("float32").astype("float64")
+    hits = R.top_k(frame(spark, table[:20], "query_id"), frame(spark, table, "id"), 4)
+    assert {(r["query_id"], r["doc_id"], r["rank"]) for r in hits.collect()} == brute(table[:20], table, 4)
+
+
 def test_reference_case(spark):
     docs = frame(spark, np.eye(4)[:3], "id").withColumn("id", (F.col("id") + 1).cast("string"))
     query = frame(spark, [[0.9, 0.1, 0, 0]], "query_id")
