@@ -55,6 +55,12 @@ def create_regressor(model_type: str = "xgboost", params: dict | None = None):
     return boosted
 
 
+def packed(rows: DataFrame, name: str) -> DataFrame:
+    """The rows, stored in partitions of the session's advisory size: fitting a tree is one pass a level, and a small
+    table in many partitions would spend it on starting tasks."""
+    return materialise(rows.hint("rebalance"), name)
+
+
 def hash_split(df: DataFrame, key: str, parts: int = 5) -> tuple[DataFrame, DataFrame]:
     """(4/5, 1/5) by key: the same rows on every run, whatever the partitioning."""
     part = fold_of(F.col(key), parts)
@@ -140,7 +146,7 @@ class DiscountModel:
         """Fit on ``train``; both tables carry ``features`` and the target."""
         spark = train.sparkSession
         shared_folder(spark)  # tree fitting cuts its lineage there
-        fit_on = materialise(train.select("features", TARGET), "fit")
+        fit_on = packed(train.select("features", TARGET), "fit")
         started = time.time()
         self.model = create_regressor(self.model_type, self.params).fit(fit_on)
         seconds = time.time() - started
@@ -220,7 +226,7 @@ class DiscountModel:
         """
         spark = data.sparkSession
         shared_folder(spark)
-        stored = materialise(data.select("features", TARGET, fold_of(F.col(key), folds).alias("fold")), "folds")
+        stored = packed(data.select("features", TARGET, fold_of(F.col(key), folds).alias("fold")), "folds")
 
         def score(fold: int) -> tuple[int, float]:
             fitted = create_regressor(self.model_type, self.params).fit(stored.filter(F.col("fold") != fold))

@@ -672,6 +672,7 @@ _BODIES = {
 #: Keys whose meaning is that of another key.
 SAME = {
     "S7_saved_encoders": "A7_label_table",
+    "S7_saved_figures": "A1_catalogue_stats",
     "J5_recent_session_messages": "S6_recent_sessions",
     "T6_newest_search_hits": "F6_message_search",
     "G5_intent": "F10_keyword_groups",
