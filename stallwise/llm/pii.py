@@ -32,7 +32,7 @@ _ALL_GIVEN = "|".join(n for names in GIVEN.values() for n in names)
 #: Kinds in the order in which they are tried; each pattern matches a whole mention. A name is one word of a name.
 KINDS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}@[\p{L}\p{N}-]{1,63}(?:\.[\p{L}\p{N}-]{1,63}){1,8}",
-    "secret": r"(?<=(?:password|passwd|token|secret|api_key|apikey)[ ]{0,2}[=:][ ]{0,2}[\"']?)[A-Za-z0-9_+/-]{8,128}"
+    "secret": r"(?<=(?:password|passwd|token|secret|api_key|apikey)[ ]{0,2}[=:][ ]{0,2}[\"']?)[A-Za-z0-9_+/=~.-]{7,}[A-Za-z0-9_+/=~-]"
               r"|(?<![A-Za-z0-9])AKIA[A-Z0-9]{16}(?![A-Za-z0-9])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "ip": r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])",
@@ -45,8 +45,8 @@ KINDS = {
             rf"|(?<!\p{{L}})(?:{_ALL_GIVEN})(?= {_NAME})|(?<=(?<!\p{{L}})(?:{_ALL_GIVEN}) ){_NAME}",
 }
 ANY = "|".join(f"(?:{p})" for p in KINDS.values())
-#: A cheap sign that a text may hold a mention at all.
-_SIGN = rf"[0-9@]|(?:password|passwd|token|secret|api_key|apikey)|(?<!\p{{L}})(?:{_TITLE}|{_ALL_GIVEN})(?!\p{{L}})"
+#: A cheap sign that a text may hold a mention at all: every text that a pattern of KINDS matches has it.
+_SIGN = rf"[0-9@]|AKIA|(?:password|passwd|token|secret|api_key|apikey)|(?<!\p{{L}})(?:{_TITLE}|{_ALL_GIVEN})(?!\p{{L}})"
 #: Letters and digits that replace one another: name of the script, first and last code point of a run.
 RUNS = [("digit", 0x30, 0x39), ("latin", 0x41, 0x5A), ("latin", 0x61, 0x7A), ("cyrillic", 0x410, 0x42F),
         ("cyrillic", 0x430, 0x44F), ("greek", 0x391, 0x3A1), ("greek", 0x3B1, 0x3C1), ("hebrew", 0x5D0, 0x5EA),
@@ -62,6 +62,7 @@ def _kind(mention: Column) -> Column:
     found = found.when(mention.rlike(r"^[+(]|^[0-9]{3}-[0-9]{3}-[0-9]{4}$"), "phone")
     found = found.when(mention.rlike(r"^[0-9]{4}([ -]?[0-9]{4}){2}[ -]?[0-9]{1,7}$"), "card")
     found = found.when(mention.rlike(r"^[A-Z]{2}[0-9]{2} ?[A-Z0-9]{4} ?[A-Z0-9]{4} ?[A-Z0-9]{4}"), "iban")
+    found = found.when(mention.rlike(r"^AKIA[A-Z0-9]{16}$"), "secret")
     return found.when(mention.rlike(rf"^{_NAME}$") & ~mention.rlike(r"[0-9]"), "name").otherwise("secret")
 
 
@@ -137,6 +138,9 @@ def _surrogate(kind: Column, value: Column, attempt: Column, key: str) -> Column
     domain = F.concat(F.regexp_extract(mixed, r"^(.*)\.[^.]*$", 1), F.lit("."), F.regexp_extract(value, r"([^.]*)$", 1))
     phone = F.concat(first, F.when(F.substring(mixed, 2, 1) == "0", "7").otherwise(F.substring(mixed, 2, 1)),
                      F.substr(mixed, F.lit(3), F.length(value)))
+    # as many hexadecimal digits as asked for
+    more = F.transform(F.sequence(F.lit(2), F.ceil(F.length(value) / 64).cast("int") + 2),
+                       lambda i: F.sha2(F.concat(seed, i.cast("string")), 256))
     # past eight draws a given name leaves its list
     given = F.when(attempt < 8, _given(seed, value))
     name = F.when(given.isNotNull(), given).when(
@@ -148,7 +152,7 @@ def _surrogate(kind: Column, value: Column, attempt: Column, key: str) -> Column
             .when(kind == "name", name).when((kind == "secret") & value.startswith("AKIA"),
                                              F.concat(F.lit("AKIA"), F.substr(mixed, F.lit(5), F.length(value))))
             .when((kind == "secret") & value.rlike("^[0-9a-f]+$"), F.substr(
-                F.concat(seed, F.sha2(F.concat(seed, F.lit("2")), 256)), F.lit(1), F.length(value)))
+                F.concat(seed, F.array_join(more, "")), F.lit(1), F.length(value)))
             .when(kind == "ssn", F.concat(F.lit("9"), F.substr(mixed, F.lit(2), F.length(value))))
             .otherwise(F.concat(head, F.substr(mixed, F.lit(2), F.length(value)))))
 
