@@ -26,10 +26,15 @@ GIVEN = {
     ("f", "cyrillic"): ["Анна", "Вера", "Галина", "Дарья", "Елена", "Ирина", "Мария", "Нина", "Ольга", "Софья"],
     ("m", "cyrillic"): ["Антон", "Борис", "Виктор", "Денис", "Иван", "Кирилл", "Михаил", "Олег", "Павел", "Сергей"],
 }
-_NAME = r"\p{Lu}[\p{L}'’-]+"
 _TITLE = "|".join(t for g in TITLES.values() for t in g)
 _ALL_GIVEN = "|".join(n for names in GIVEN.values() for n in names)
-#: Kinds in the order in which they are tried; each pattern matches a whole mention. A name is one word of a name.
+#: One word of a name, without a closing 's; never a title. Possessive, so long runs of letters need no stack.
+_NAME = rf"(?!(?:{_TITLE})(?!\p{{L}}))\p{{Lu}}(?:\p{{L}}++|['’-](?!s(?!\p{{L}}))\p{{L}}++)++"
+#: Further words of a name, single letters between them.
+_MORE = rf"(?:(?: \p{{Lu}}(?!\p{{L}})\.?)*+ {_NAME})"
+_RUN = rf"(?:\p{{Lu}}\.? )*+{_NAME}{_MORE}*+"
+#: Kinds in the order in which they are tried; each pattern matches a whole mention, that of names a run of words, each
+#: of which is a mention.
 KINDS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}@[\p{L}\p{N}-]{1,63}(?:\.[\p{L}\p{N}-]{1,63}){1,8}",
     "secret": r"(?<=(?:password|passwd|token|secret|api_key|apikey)[ ]{0,2}[=:][ ]{0,2}[\"']?)[A-Za-z0-9_+/=~.-]{7,}[A-Za-z0-9_+/=~-]"
@@ -41,8 +46,7 @@ KINDS = {
              r"|(?<![0-9])\([0-9]{3}\)[ ]?[0-9]{3}-[0-9]{4}(?![0-9])|(?<![0-9-])[0-9]{3}-[0-9]{3}-[0-9]{4}(?![0-9-])",
     "card": r"(?<![0-9])[0-9]{4}(?:[ -]?[0-9]{4}){2}[ -]?[0-9]{1,7}(?![0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
-    "name": rf"(?<=(?<!\p{{L}})(?:{_TITLE})\.? (?:(?:{_ALL_GIVEN}) )?){_NAME}"
-            rf"|(?<!\p{{L}})(?:{_ALL_GIVEN})(?= {_NAME})|(?<=(?<!\p{{L}})(?:{_ALL_GIVEN}) ){_NAME}",
+    "name": rf"(?=\p{{Lu}})(?:(?<=(?<!\p{{L}})(?:{_TITLE})\.? ){_RUN}|(?<!\p{{L}})(?:{_ALL_GIVEN}){_MORE}++)",
 }
 ANY = "|".join(f"(?:{p})" for p in KINDS.values())
 #: A cheap sign that a text may hold a mention at all: every text that a pattern of KINDS matches has it.
@@ -195,13 +199,49 @@ def entity_surrogates(entities: DataFrame, key: str, most_rounds: int = 64) -> D
     return now
 
 
+def _words(match: Column) -> Column:
+    """The mentions of a match: the words of a run of names, any other match as it is."""
+    return F.when(match.contains(" ") & match.rlike(rf"^{_RUN}$"), F.filter(
+        F.split(match, " "), lambda w: w.rlike(rf"^{_NAME}$"))).otherwise(F.array(match))
+
+
+def _instead(match: Column, instead: Column) -> Column:
+    """A match with its mentions replaced; single letters within a run of names stay."""
+    return F.coalesce(F.element_at(instead, match), F.array_join(F.transform(
+        F.split(match, " "), lambda w: F.coalesce(F.element_at(instead, w), w)), " "))
+
+
+def _pieces(word: Column, names: Column) -> Column:
+    """A capitalised word whole if it is one of ``names``, else what lies between its hyphens and apostrophes, and these."""
+    return F.when(F.map_contains_key(names, word) | ~word.rlike("['’-]"), F.array(word)).otherwise(
+        F.regexp_extract_all(word, F.lit(r"\p{L}+|\P{L}"), F.lit(0)))
+
+
+def _later(part: Column, names: Column) -> Column:
+    """``said, n`` of a text between matches: bare words that are one of ``names`` replaced, and how many they are."""
+    bare = rf"(?<!\p{{L}}){_NAME}"
+    words = F.transform(F.regexp_extract_all(part, F.lit(bare), F.lit(0)), lambda w: _pieces(w, names))
+    said = F.transform(words, lambda ps: F.array_join(F.transform(ps, lambda p: F.coalesce(F.element_at(names, p), p)), ""))
+    n = F.size(F.filter(F.flatten(words), lambda p: F.map_contains_key(names, p)))
+    return F.struct(_woven(F.split(part, bare, -1), said).alias("said"), n.alias("n"))
+
+
+def _woven(parts: Column, between: Column) -> Column:
+    """Part, what stands between, part, ...: one more part than there is between."""
+    return F.array_join(F.transform(F.arrays_zip(parts.alias("part"), F.concat(between, F.array(F.lit(""))).alias("said")),
+                                    lambda z: F.concat(z["part"], z["said"])), "")
+
+
 def replace_personal_data(docs: DataFrame, key: str, id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per input row: ``id, text`` with surrogates, ``n_mentions, n_entities, kinds``.
 
     ``kinds`` lists the kinds found, sorted. The same entity has the same surrogate in all texts, different ones
-    different surrogates; a surname alone and after a given name agree. A null text stays null without mentions; texts
+    different surrogates; a surname alone and after a given name agree. After a title or a listed given name all
+    capitalised words that follow are names, and a name of a text is replaced wherever it stands as a word in that text.
+    A null text stays null without mentions; texts
     without mentions are unchanged. Repeated rows and equal texts are replaced alike; an empty table gives no rows;
-    further columns are not read. Originals appear in no output column.
+    further columns are not read. Originals of mentions appear in
+    no output column; the README lists names that are not found.
     """
     body = F.col(text).cast("string")
     found = F.when(body.rlike(_SIGN), F.regexp_extract_all(body, F.lit(ANY), F.lit(0)))
@@ -209,7 +249,8 @@ def replace_personal_data(docs: DataFrame, key: str, id: str = "doc_id", text: s
         found, F.array().cast("array<string>")).alias("found")), "pii-found")
     spread = F.size("found") > 0
     row = F.md5(F.concat_ws("\x1f", F.col("id").cast("string"), "body"))
-    mentions = tagged.where(spread).select(row.alias("row"), F.explode(F.array_distinct("found")).alias("mention"))
+    mentions = tagged.where(spread).select(row.alias("row"), F.explode(F.array_distinct(
+        F.flatten(F.transform("found", _words)))).alias("mention"))
     kind = _kind(F.col("mention"))
     known = materialise(mentions.select("mention").distinct().withColumn("kind", kind).withColumn(
         "value", _canonical(F.col("kind"), F.col("mention"))), "pii-mentions")
@@ -218,13 +259,18 @@ def replace_personal_data(docs: DataFrame, key: str, id: str = "doc_id", text: s
         "mention", "kind", "value", _in_format(F.col("kind"), F.col("mention"), F.col("surrogate")).alias("instead"))
     own = mentions.join(replaced, "mention").groupBy("row").agg(
         F.map_from_entries(F.collect_set(F.struct("mention", "instead"))).alias("instead"),
+        F.map_from_entries(F.collect_set(F.when(F.col("kind") == "name", F.struct("mention", "instead")))).alias("names"),
         F.count_distinct("kind", "value").alias("n_entities"), F.sort_array(F.collect_set("kind")).alias("kinds"))
-    # one more part than mentions: part, surrogate, part, ... ; the patterns run once over a text here
-    said = F.concat(F.transform("found", lambda m: F.element_at("instead", m)), F.array(F.lit("")))
-    whole = F.array_join(F.transform(F.arrays_zip(F.split("body", ANY, -1).alias("part"), said.alias("said")),
-                                     lambda z: F.concat(z["part"], z["said"])), "")
-    changed = tagged.where(spread).withColumn("row", row).join(own, "row").select(
-        "id", whole.alias("text"), F.size("found").cast("long").alias("n_mentions"), "n_entities", "kinds")
+    # part, surrogate, part, ... ; the patterns run once over a text here, that of bare names over texts that hold a name
+    parts = F.split("body", ANY, -1)
+    later = F.when(F.size("names") > 0, F.transform(parts, lambda p: _later(p, F.col("names")))).otherwise(
+        F.transform(parts, lambda p: F.struct(p.alias("said"), F.lit(0).alias("n"))))
+    shown = F.transform("found", lambda m: _instead(m, F.col("instead")))
+    n_found = F.size(F.flatten(F.transform("found", _words)))
+    n_later = F.aggregate("later.n", F.lit(0), lambda a, x: a + x)
+    changed = tagged.where(spread).withColumn("row", row).join(own, "row").withColumn("later", later).select(
+        "id", _woven(F.col("later.said"), shown).alias("text"), (n_found + n_later).cast("long").alias("n_mentions"),
+        "n_entities", "kinds")
     same = tagged.where(~spread).select(
         "id", F.col("body").alias("text"), F.lit(0).cast("long").alias("n_mentions"),
         F.lit(0).cast("long").alias("n_entities"), F.array().cast("array<string>").alias("kinds"))

@@ -93,3 +93,31 @@ def test_whole_secrets_and_keys_without_digits(spark):
     assert re.fullmatch(r"password=[0-9a-f]{320}", out[3]) and digits[:16] not in out[3]
     assert re.fullmatch(r"api_key=\w{3}~\w{3}=\w{3}/\w\w==\. Next", out[4])
     assert re.fullmatch(r"token=\w{10}\.\.\. and", out[5]) and "longenough" not in out[5]
+
+
+def test_whole_names_and_bare_later_mentions(spark):
+    texts = [
+        "Mr Michael Brown and Dr. Rajesh Gupta, Mr John Fitzgerald Kennedy, Mrs J. F. O'Neill, Sir Walter B. Scott.",
+        "John Smith wrote. Smith said so; Smith's house, a Smith-led team, Smithson and smith stay. John too.",
+        "Smith is no one here, call 555-123-4567.", "Smith.", "Prof. Dr. Weber met Dr Weber", "Emma Jane Austen"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    rows = {r["doc_id"]: r for r in P.replace_personal_data(docs, "k").collect()}
+    for name in ("Michael", "Brown", "Rajesh", "Gupta", "John", "Fitzgerald", "Kennedy", "Neill", "Walter", "Scott"):
+        assert name not in rows[0]["text"]
+    assert re.fullmatch(r"Mr \w+ \w+ and Dr\. \w+ \w+, Mr \w+ \w+ \w+, Mrs J\. F\. \w'\w+, Sir \w+ B\. \w+\.", rows[0]["text"])
+    assert rows[0]["n_mentions"] == 10 and rows[0]["n_entities"] == 10 and rows[0]["kinds"] == ["name"]
+    m = re.fullmatch(r"(\w+) (\w+) wrote\. (\w+) said so; (\w+)'s house, a (\w+)-led team, Smithson and smith stay\. (\w+) too\.",
+                     rows[1]["text"])
+    assert m and m[2] == m[3] == m[4] == m[5] != "Smith" and m[1] == m[6] != "John"
+    assert rows[1]["n_mentions"] == 6 and rows[1]["n_entities"] == 2
+    assert rows[2]["text"].startswith("Smith is no one here") and rows[3]["text"] == "Smith."
+    assert re.fullmatch(r"Prof\. Dr\. (\w+) met Dr \1", rows[4]["text"]) and "Weber" not in rows[4]["text"]
+    assert not set(rows[5]["text"].split()) & set(texts[5].split())
+
+
+def test_long_runs_need_no_stack(spark):
+    texts = ["Mr " + "Name " * 20_000 + "end", "Mr A" + "b" * 200_000, "token=" + "a.b" * 50_000, "Mr X" + "-Yz" * 30_000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    rows = {r["doc_id"]: r for r in P.replace_personal_data(docs, "k").collect()}
+    assert "Name" not in rows[0]["text"] and rows[0]["n_mentions"] == 20_000 and rows[0]["n_entities"] == 1
+    assert all(len(rows[i]["text"]) == len(texts[i]) for i in range(4))
