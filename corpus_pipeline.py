@@ -15,9 +15,9 @@ from stallwise.llm.cube import mix
 from stallwise.llm.decontaminate import contaminated, contamination
 from stallwise.llm.exact_dedup import drop_exact_duplicates
 from stallwise.llm.queries import CUT, table
-from stallwise.llm.simhash import near_duplicates
+from stallwise.llm.simhash import drop_near_duplicates
 from stallwise.llm.toxicity import fit_toxicity
-from stallwise.session import materialise, scratch_path, ship_package
+from stallwise.session import scratch_path, ship_package
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -34,11 +34,8 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the row with the least id of each component of linked fingerprints; rows with a null id, which can't be
-    told apart, stay."""
-    found = near_duplicates(docs, length=3, bits=3)
-    dropped = materialise(found.where("doc_id <> component_id").select("doc_id").distinct(), "pipeline-near")
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    """Keeps one row of each component of linked fingerprints, that with the least id (nulls last), then digest."""
+    return drop_near_duplicates(docs, length=3, bits=3)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

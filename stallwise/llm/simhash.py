@@ -15,9 +15,9 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from stallwise.llm.common import plain, words_of
+from stallwise.llm.common import plain, whole_text, words_of
 from stallwise.session import materialise
 
 #: Shingles whose bits are unpacked at once.
@@ -48,8 +48,8 @@ def fingerprint(words: list[bytes], length: int) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, id: str = "doc_id", text: str = "text", length: int = 3) -> DataFrame:
-    """``id, fp`` (64 bits as a signed long), one row per input row. Null and empty texts have zero."""
+def fingerprints(docs: DataFrame, id: str = "doc_id", text: str = "text", length: int = 3, *more: Column) -> DataFrame:
+    """``id, fp`` (64 bits as a signed long) and ``more``, one row per input row. Null and empty texts have zero."""
 
     @F.pandas_udf("bigint")
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -57,7 +57,7 @@ def fingerprints(docs: DataFrame, id: str = "doc_id", text: str = "text", length
             found = np.array([fingerprint(words_of(body), length) for body in batch], dtype=np.uint64)
             yield pd.Series(found.view(np.int64))
 
-    return plain(docs, id, text).select(F.col("id").alias(id), of("body").alias("fp"))
+    return plain(docs, id, text).select(F.col("id").alias(id), of("body").alias("fp"), *more)
 
 
 def _syndrome(points: np.ndarray) -> np.ndarray:
@@ -234,6 +234,13 @@ def components(edges: DataFrame) -> DataFrame:
         now.select("b", "b").distinct())
 
 
+def _rooted(nodes: DataFrame, bits: int) -> DataFrame:
+    """``nodes`` (``fp, least, n``) with the ``root`` of their component."""
+    roots = components(links(nodes, bits))
+    return materialise(nodes.join(roots, nodes["fp"] == roots["node"], "left").select(
+        "fp", "least", "n", F.coalesce("root", "fp").alias("root")), "simhash-roots")
+
+
 def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", length: int = 3,
                     bits: int = 3) -> DataFrame:
     """One row per input row: ``id, fp, component_id``.
@@ -245,10 +252,7 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", len
     """
     marked = materialise(fingerprints(docs, id, text, length), "simhash")
     nodes = materialise(marked.groupBy("fp").agg(F.min(id).alias("least"), F.count("*").alias("n")), "simhash-nodes")
-    roots = components(links(nodes, bits))
-    rooted = nodes.join(roots, nodes["fp"] == roots["node"], "left").select(
-        "fp", "least", "n", F.coalesce("root", "fp").alias("root"))
-    rooted = materialise(rooted, "simhash-roots")
+    rooted = _rooted(nodes, bits)
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     of = materialise(rooted.join(named, "root").select("fp", "n", "component_id"), "simhash-components")
     share = nodes.agg(F.sum("n") / HOT_SHARE).scalar()
@@ -257,5 +261,31 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", len
     return marked.join(F.broadcast(hot), "fp").unionByName(rest).select(id, "fp", "component_id")
 
 
+def drop_near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", length: int = 3,
+                         bits: int = 3) -> DataFrame:
+    """``docs`` with one row of each component of linked fingerprints; all columns as they were.
+
+    The row with the least id stays, a null id only if the component has no other; of rows that share this id the one
+    whose text has the least SHA-256. Of rows that repeat id and text one stays. Rows are told apart by id and digest.
+    """
+    digest = F.unhex(F.sha2("body", 256)).alias("sha")
+    marked = materialise(fingerprints(docs, id, text, length, digest).withColumnRenamed(id, "id"), "simhash")
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "sha")).alias("least")
+    nodes = materialise(marked.groupBy("fp").agg(first, F.count("*").alias("n")), "simhash-nodes")
+    kept = materialise(_rooted(nodes, bits).groupBy("root").agg(F.min("least").alias("least")).select(
+        F.col("least.id").alias("__id"), F.col("least.sha").alias("__sha")), "simhash-kept")
+    repeated = marked.groupBy(F.col("id").alias("__id"), F.col("sha").alias("__sha")).agg(
+        F.count("*").alias("n")).where("n > 1")
+    key = F.col("a.__id").eqNullSafe(F.col("b.__id")) & (F.col("a.__sha") == F.col("b.__sha"))
+    kept_twice, kept_once = (materialise(kept.alias("a").join(repeated.alias("b"), key, how), "simhash-kept")
+                             for how in ("left_semi", "left_anti"))
+    sha = F.unhex(F.sha2(whole_text(text), 256))
+    same = (sha == F.col("__sha")) & F.col(id).eqNullSafe(F.col("__id"))
+    # one plan for every size, as in exact dedup
+    once = docs.join(kept_once.hint("merge"), same, "left_semi")
+    again = docs.join(kept_twice, same, "left_semi").withColumn("__sha", sha).dropDuplicates([id, "__sha"])
+    return once.unionByName(again.drop("__sha"))
+
+
 def hexadecimal(column: str):
     return F.lower(F.lpad(F.hex(F.col(column)), 16, "0"))

@@ -55,3 +55,16 @@ def test_queries_against_sql(spark, folder):
     link = compare.connect(folder)
     for name, text in Q.ORACLE.items():
         assert compare.difference(Q.QUERIES[name](spark, folder), link, text) is None, name
+
+
+def test_near_copies_are_told_apart_by_row(spark, folder):
+    stage = dict(corpus_pipeline.STAGES)["simhash_dedup"]
+    texts = {k: " ".join(f"{k}{i * i}" for i in range(300)) for k in "ACDEF"}
+    near = lambda k: texts[k].upper()  # noqa: E731  (the same folded words, another text)
+    rows = [(3, near("A")), (7, texts["A"]), (7, texts["C"]), (5, texts["D"]), (5, near("D")), (None, texts["E"]),
+            (None, near("E")), (None, texts["F"]), (9, near("F")), (11, None), (11, ""), (None, "")]
+    docs = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id bigint, text string, k int")
+    left = [r["k"] for r in stage(spark, docs, folder).collect()]
+    assert len(left) == 6 and {0, 2, 8} < set(left)
+    for group in ({3, 4}, {5, 6}, {9, 10}):
+        assert len(group & set(left)) == 1, group
