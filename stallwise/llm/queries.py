@@ -8,9 +8,11 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from stallwise.llm import byte_bpe
 from stallwise.llm.common import fold
 from stallwise.llm.cube import mix
 from stallwise.llm.decontaminate import contaminated, contamination
+from stallwise.llm.divergence import Divergence, ranked
 from stallwise.llm.exact_dedup import exact_duplicates
 from stallwise.llm.language import fit_language
 from stallwise.llm.lm import document_scores
@@ -22,9 +24,12 @@ from stallwise.llm.toxicity import fit_toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 VOCABULARY = public_tokenizers.path("piece_bpe_32k.model")
+BYTE_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 #: A score from here on is class 1.
 CUT = 0.7
 TOKEN_LIMIT = 4096
+#: Terms of a group in the divergence report.
+TOP_TERMS = 200
 #: The key of the surrogates. A deployment passes its own.
 SURROGATE_KEY = "example key"
 
@@ -92,15 +97,57 @@ def op10_surrogates(spark: SparkSession, folder: str) -> DataFrame:
     return replace_personal_data(table(spark, folder, "documents"), SURROGATE_KEY)
 
 
+def op11_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    pattern = public_tokenizers.PATTERN
+    found = byte_bpe.encode(table(spark, folder, "documents"), BYTE_RANKS, pattern)
+    found = found.withColumn("decoded", byte_bpe.decode(found, BYTE_RANKS, pattern))
+    return found.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"),
+                        F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op12_source_divergence(spark: SparkSession, folder: str) -> DataFrame:
+    found = Divergence(table(spark, folder, "documents"))
+    return ranked(found.pairs(), "pair").unionByName(ranked(found.terms(), "term", TOP_TERMS))
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_lattice_lm, op2_language, op3_exact_dedup, op4_cube_mixing, op5_quality, op6_decontamination, op7_token_counts,
-    op8_toxicity, op9_simhash, op10_surrogates)}
+    op8_toxicity, op9_simhash, op10_surrogates, op11_byte_bpe, op12_source_divergence)}
 
 #: Words of the contamination contract, in SQL: A-Z folded, then runs of word characters.
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = "regexp_extract_all(" + _LOWER + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
+#: Share of a count in whole parts of 10 ** 9, exact.
+_SHARE = "(1 + (1000000000::HUGEINT * ({} + 1)) // ({} + v))"
+
 ORACLE: dict[str, str] = {
+    "op12_source_divergence": rf"""
+        WITH d AS (SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                          regexp_extract_all({_LOWER.format("coalesce(text, '')")},
+                                             '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+        t AS (SELECT id, lang, source, unnest(w) AS term FROM d),
+        vocabulary AS (SELECT lang, term, count(*) AS ln FROM t GROUP BY ALL HAVING count(DISTINCT id) >= 3),
+        langs AS (SELECT lang, count(*) AS v, sum(ln) AS ltotal FROM vocabulary GROUP BY lang),
+        cells AS (SELECT lang, source, term, count(*) AS n FROM t JOIN vocabulary USING (lang, term) GROUP BY ALL),
+        g AS (SELECT lang, source, coalesce(total, 0) AS total, coalesce(v, 0) AS v, coalesce(ltotal, 0) AS ltotal
+              FROM (SELECT DISTINCT lang, source FROM d)
+              LEFT JOIN (SELECT lang, source, sum(n) AS total FROM cells GROUP BY ALL) USING (lang, source)
+              LEFT JOIN langs USING (lang)),
+        grid AS (SELECT g.lang, g.source, term, ln, coalesce(n, 0) AS n, ltotal, v,
+                        {_SHARE.format("coalesce(n, 0)", "total")} AS p, {_SHARE.format("ln", "ltotal")} AS q
+                 FROM g JOIN vocabulary USING (lang) LEFT JOIN cells USING (lang, source, term)),
+        pairs AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+                  FROM grid a JOIN grid b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+        found AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value
+                  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+                  LEFT JOIN pairs ON pairs.lang = a.lang AND pairs.source = a.source AND pairs.item = b.source
+                  UNION ALL
+                  SELECT lang, source, 'term', term, (p - q) * (p - q) // q FROM grid WHERE n > 0 AND p > q),
+        placed AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank
+                   FROM found)
+        SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank
+        FROM placed WHERE part = 'pair' OR rank <= 200""",
     "op3_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
                doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
