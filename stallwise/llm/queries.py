@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from stallwise.llm import byte_bpe
 from stallwise.llm.common import fold
+from stallwise.llm.conversation_trie import prefix_trie
 from stallwise.llm.cube import mix
 from stallwise.llm.decontaminate import contaminated, contamination
 from stallwise.llm.divergence import Divergence, ranked
@@ -110,9 +111,14 @@ def op12_source_divergence(spark: SparkSession, folder: str) -> DataFrame:
     return ranked(found.pairs(), "pair").unionByName(ranked(found.terms(), "term", TOP_TERMS))
 
 
+def op13_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return prefix_trie(table(spark, folder, "conversations"), rebuild=True)
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_lattice_lm, op2_language, op3_exact_dedup, op4_cube_mixing, op5_quality, op6_decontamination, op7_token_counts,
-    op8_toxicity, op9_simhash, op10_surrogates, op11_byte_bpe, op12_source_divergence)}
+    op8_toxicity, op9_simhash, op10_surrogates, op11_byte_bpe, op12_source_divergence,
+    op13_prefix_trie)}
 
 #: Words of the contamination contract, in SQL: A-Z folded, then runs of word characters.
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -121,7 +127,41 @@ _WORDS = "regexp_extract_all(" + _LOWER + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')
 #: Share of a count in whole parts of 10 ** 9, exact.
 _SHARE = "(1 + (1000000000::HUGEINT * ({} + 1)) // ({} + v))"
 
+#: crc32 of a number's digits, bit by bit.
+_CRC = """xor(list_reduce([4294967295::BIGINT] || [ord(x)::BIGINT FOR x IN string_split(CAST({} AS VARCHAR), '')],
+    lambda a, b: list_reduce([xor(a, b)] || [0::BIGINT FOR i IN range(8)],
+        lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::BIGINT) ELSE c >> 1 END)), 4294967295::BIGINT)"""
+
 ORACLE: dict[str, str] = {
+    "op13_prefix_trie": rf"""
+        WITH own AS (SELECT conv_id AS c, sha256(concat(length(coalesce(role, '')), ':', coalesce(role, ''),
+                                                        coalesce(text, ''))) AS tid,
+                     len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS words, turn
+                     FROM conversations WHERE conv_id IS NOT NULL),
+        numbered AS (SELECT c, tid, words, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, tid) AS place
+                     FROM own),
+        convs AS (SELECT c, c - c % 20 AS base, {_CRC.format("c")} % 4 AS h FROM (SELECT DISTINCT c FROM own)),
+        rebuilt AS (SELECT convs.c, 0 AS part, place, tid, words FROM convs JOIN numbered n ON n.c = base AND place <= h
+                    UNION ALL
+                    SELECT c, 1, place, tid, words FROM convs JOIN numbered USING (c) WHERE place > h),
+        whole AS (SELECT c, list(tid ORDER BY part, place) AS path, list(words ORDER BY part, place) AS sizes
+                  FROM rebuilt GROUP BY c),
+        members AS (SELECT convs.c, coalesce(path, []) AS path, coalesce(sizes, []) AS sizes
+                    FROM convs LEFT JOIN whole USING (c)),
+        prefixes AS (SELECT c, d, path[1:d] AS p, sizes[d] AS words, len(path) = d AS at_end
+                     FROM (SELECT c, path, sizes, unnest(range(len(path) + 1)) AS d FROM members)),
+        nodes AS (SELECT d, p, min(c) AS c, count(*) AS n, coalesce(any_value(words), 0) AS words,
+                         sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (at_end), '')) AS ends
+                  FROM prefixes GROUP BY d, p),
+        children AS (SELECT d - 1 AS d, p[1:d - 1] AS p, count(*) AS k FROM nodes WHERE d > 0 GROUP BY ALL),
+        full_nodes AS (SELECT nodes.*, coalesce(k, 0) AS k FROM nodes LEFT JOIN children USING (d, p)),
+        below AS (SELECT a AS d, p[1:a] AS p, sum((n - 1) * words) AS saved, count_if(k = 0) AS leaves
+                  FROM (SELECT *, unnest(range(d + 1)) AS a FROM full_nodes) GROUP BY ALL)
+        SELECT x.c AS conv_id, CAST(x.d AS BIGINT) AS depth, up.c AS parent_conv_id, x.n AS n_convs,
+               CAST(x.k AS BIGINT) AS n_children, CAST(leaves AS BIGINT) AS n_leaves,
+               CAST(saved AS BIGINT) AS saved_tokens, x.ends AS ends_sha256
+        FROM full_nodes x JOIN below ON below.d = x.d AND below.p = x.p
+        LEFT JOIN nodes up ON up.d = x.d - 1 AND up.p = x.p[1:x.d - 1]""",
     "op12_source_divergence": rf"""
         WITH d AS (SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
                           regexp_extract_all({_LOWER.format("coalesce(text, '')")},
