@@ -91,12 +91,11 @@ class PairTable:
 class ByteBpe:
     """Encoder and decoder for one rank table. ``limit`` bounds the pieces that are remembered."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, limit: int = 400_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, limit: int = 150_000):
         import regex
 
         self.ranks, self.limit = ranks, limit
         self.split = regex.compile(pattern)
-        self.token = {rank: token for token, rank in ranks.items()}
         self.first = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
         self.pad = np.int32(max(ranks.values()) + 1)
         made = [(ranks.get(t[:i]), ranks.get(t[i:]), r) for t, r in ranks.items() for i in range(1, len(t))]
@@ -227,20 +226,21 @@ class ByteBpe:
                 size += len(text)
         yield from self._pack(group)
 
-    def decode(self, ids: bytes) -> bytes | None:
-        """The bytes of packed ids; None when they aren't whole ids of this table."""
-        if len(ids) % 4:
-            return None
-        try:
-            return b"".join(map(self.token.__getitem__, np.frombuffer(ids, "<u4").tolist()))
-        except KeyError:
-            return None
-
 
 #: One encoder for each vocabulary and pattern, kept by a Python worker from task to task.
 _REMEMBERED: dict[tuple[str, str], ByteBpe] = {}
 
 
+def unpack(ids: bytes, token: dict[int, bytes]) -> bytes | None:
+    """The bytes of packed ids; None when they aren't whole ids of the table."""
+    if len(ids) % 4:
+        return None
+    try:
+        return b"".join(map(token.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+    except KeyError:
+        return None
+
+
 def _remembered(path: str, pattern: str, ranks: dict[bytes, int]) -> ByteBpe:
     if (path, pattern) not in _REMEMBERED:
         _REMEMBERED[path, pattern] = ByteBpe(ranks, pattern)
@@ -272,14 +272,14 @@ def encode(docs: DataFrame, path: str, pattern: str, id: str = "doc_id", text: s
     return rows.mapInArrow(run, schema)
 
 
-def decode(frame: DataFrame, path: str, pattern: str, ids: str = "ids") -> Column:
+def decode(frame: DataFrame, path: str, ids: str = "ids") -> Column:
     """The bytes that packed ids stand for, as a column of ``frame``; null for null and for ids not in the file."""
-    sent = frame.sparkSession.sparkContext.broadcast(load_ranks(path))
+    sent = frame.sparkSession.sparkContext.broadcast({rank: token for token, rank in load_ranks(path).items()})
 
     @F.pandas_udf("binary")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        bpe = _remembered(path, pattern, sent.value)
+        token = sent.value
         for batch in batches:
-            yield pd.Series([None if x is None else bpe.decode(bytes(x)) for x in batch], dtype=object)
+            yield pd.Series([None if x is None else unpack(bytes(x), token) for x in batch], dtype=object)
 
     return run(F.col(ids))

@@ -99,9 +99,8 @@ def op10_surrogates(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op11_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
-    pattern = public_tokenizers.PATTERN
-    found = byte_bpe.encode(table(spark, folder, "documents"), BYTE_RANKS, pattern)
-    found = found.withColumn("decoded", byte_bpe.decode(found, BYTE_RANKS, pattern))
+    found = byte_bpe.encode(table(spark, folder, "documents"), BYTE_RANKS, public_tokenizers.PATTERN)
+    found = found.withColumn("decoded", byte_bpe.decode(found, BYTE_RANKS))
     return found.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"),
                         F.sha2("decoded", 256).alias("decoded_sha256"))
 
