@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from stallwise.operators.joins import lookup_join
@@ -19,10 +20,10 @@ from stallwise.session import materialise
 
 #: Shares are in parts of this.
 UNIT = 1_000_000_000
-#: Positions of the vocabulary order in one chunk (a power of two), sources in one block, meetings of runs at once.
-CHUNK_BITS, BLOCK, MEETINGS = 15, 48, 1_000_000
+#: Counts above zero in one chunk of the vocabulary order, sources in one block, meetings of runs at once.
+CELLS, BLOCK, MEETINGS = 100_000, 48, 1_000_000
 #: Terms a task holds before it passes its counts on, and bytes of one text that are split at once.
-HELD, PART = 300_000, 1 << 22
+HELD, PART = 400_000, 1 << 22
 
 #: ASCII letters folded to lower case and bytes from 0x80 on are term bytes; other ASCII parts terms.
 _FOLDED = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -47,9 +48,9 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (lang, source), (n, docs) in held.items():
             terms = list(n)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([lang] * (len(terms) + 1)), pa.array([source] * (len(terms) + 1)),
-                 pa.array([*(t.decode() for t in terms), None], pa.string()),
-                 pa.array([*n.values(), 0], pa.int64()), pa.array([*(docs[t] for t in terms), 0], pa.int64())],
+                [pa.repeat(lang, len(terms) + 1), pa.repeat(source, len(terms) + 1),
+                 pa.array([*terms, None], pa.binary()).cast(pa.string()), pa.array([*n.values(), 0], pa.int64()),
+                 pa.array([*map(docs.__getitem__, terms), 0], pa.int64())],
                 names=["lang", "source", "term", "n", "docs"])
         held.clear()
 
@@ -77,6 +78,67 @@ def share(n, total, size):
     return found + 1
 
 
+def _encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Runs of equal counts at neighbouring places, by source, in chunks of about ``CELLS`` counts of one language.
+
+    The rows come in the vocabulary order, all of a term together. Each chunk also gives a row without source that has
+    the number of its places.
+    """
+    pending: list[pa.RecordBatch] = []
+    made = 0
+
+    def chunk(rows: pa.Table, place: np.ndarray) -> pa.RecordBatch:
+        nonlocal made
+        source = rows.column("source").combine_chunks().dictionary_encode()
+        who, n = source.indices.to_numpy(), rows.column("n").to_numpy()
+        order = np.lexsort((place, who))
+        who, n, at = who[order], n[order], place[order]
+        breaks = (who[1:] != who[:-1]) | (n[1:] != n[:-1]) | (at[1:] != at[:-1] + 1)
+        first = np.concatenate([[0], np.flatnonzero(breaks) + 1])
+        length = np.diff(np.append(first, len(at)))
+        names = pa.concat_arrays([source.dictionary.take(pa.array(who[first])), pa.array([None], pa.string())])
+        made += 1
+        return pa.RecordBatch.from_arrays(
+            [pa.repeat(rows.column("lang")[0], len(names)),
+             pa.array(np.full(len(names), (rows.column("part")[0].as_py() << 32) + made)), names,
+             pa.array(np.append(at[first], 0)), pa.array(np.append(length, place[-1] + 1)),
+             pa.array(np.append(n[first], -1))],
+            names=["lang", "chunk", "source", "start", "length", "n"])
+
+    def cut(end: bool) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(pending).combine_chunks()
+        pending.clear()
+        other = np.zeros(len(rows), bool)  # another language than the row before, another term
+        other[1:] = pc.not_equal(rows.column("lang")[1:], rows.column("lang")[:-1]).to_numpy()
+        new = other.copy()
+        new[1:] |= pc.not_equal(rows.column("term")[1:], rows.column("term")[:-1]).to_numpy()
+        stops = [*np.flatnonzero(other).tolist(), len(rows)]
+        start = 0
+        for stop in stops:
+            while stop - start > CELLS or end or stop < len(rows):
+                terms = np.flatnonzero(new[start:min(start + CELLS, stop)])
+                whole = stop if stop - start <= CELLS else start + int(terms[-1]) if len(terms) and terms[-1] else None
+                if whole is None:  # more sources than cells of a chunk have this term
+                    after = np.flatnonzero(new[start + 1:stop])
+                    if not len(after) and not end and stop == len(rows):
+                        break
+                    whole = start + 1 + int(after[0]) if len(after) else stop
+                yield chunk(rows.slice(start, whole - start), np.cumsum(new[start:whole]) - int(new[start]))
+                start = whole
+                if start == stop:
+                    break
+        if start < len(rows):
+            pending.extend(rows.slice(start).to_batches())
+
+    for batch in batches:
+        if len(batch):
+            pending.append(batch)
+        if sum(map(len, pending)) > 2 * CELLS:
+            yield from cut(False)
+    if pending:
+        yield from cut(True)
+
+
 def columns_of(rows: dict[str, np.ndarray]) -> list[tuple[str, np.ndarray, np.ndarray]]:
     """(source, run starts with the end of the chunk at the back, share of each run) of each source.
 
@@ -158,49 +220,53 @@ def _share(n: str, total: str) -> Column:
 
 
 class Divergence:
-    """Counts of kept terms and their order, stored; ``pairs`` and ``terms`` derive the figures.
+    """Counts of kept terms, stored; ``runs``, ``pairs`` and ``terms`` derive the figures.
 
     Null text, language or source count as empty. A term is a run of ASCII letters and of all characters beyond ASCII,
     A-Z lower-cased; a language keeps those in at least ``least`` of its rows (a repeated row counts again). Texts
     are split in parts, so a very long one needs no more memory than its own set of terms. An empty table has no
     groups; a language without kept terms has groups that differ by 0. Further columns are not read.
 
-    Counts are taken per task before they are dealt by (language, source, term), so a language, a source or a term with
-    a third of all rows sends few rows. The order is a range partitioning; a chunk of it holds at most 2 ** 15 terms.
+    Counts are taken per task before they are dealt by (language, term), so a language, a source or a term with
+    a third of all rows sends few rows. The vocabulary order is a range partitioning, cut in chunks.
     """
 
     def __init__(self, docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", least: int = 3):
         rows = docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(name)
                              for c, name in ((lang, "lang"), (source, "source"), (text, "text"))])
         counted = rows.mapInArrow(_counted, "lang string, source string, term string, n long, docs long")
-        counts = materialise(counted.groupBy("lang", "source", "term").agg(
-            F.sum("n").alias("n"), F.sum("docs").alias("docs")), "divergence-counts")
-        parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        kept = counts.where("term IS NOT NULL").groupBy("lang", "term").agg(
-            F.sum("docs").alias("docs"), F.sum("n").alias("lang_n"), F.min(F.struct("source", "n")).alias("first"),
-            F.bit_xor(F.xxhash64("source", "n")).alias("same")).where(F.col("docs") >= least)
-        # terms with the same counts in the same sources have one ``same`` and so stand together
-        order = ["lang", "lang_n", "first", "same", "term"]
-        placed = kept.repartitionByRange(parts, *order).sortWithinPartitions(*order)
-        self.vocabulary = materialise(placed.select(
-            "lang", "term", "lang_n", F.monotonically_increasing_id().alias("place")), "divergence-order").withColumn(
-            "chunk", F.shiftright("place", CHUNK_BITS))
-        used = counts.where("term IS NOT NULL").select("lang", "source", "term", "n")
-        self.cells = materialise(used.join(self.vocabulary, ["lang", "term"]), "divergence-cells")
-        of_lang = self.vocabulary.groupBy("lang").agg(F.count("*").alias("terms"), F.sum("lang_n").alias("lang_total"))
-        groups = counts.where("term IS NULL").select("lang", "source")
-        sums = self.cells.groupBy("lang", "source").agg(F.sum("n").alias("total"))
-        per_lang = groups.groupBy("lang").agg(F.count("*").alias("sources")).join(of_lang, "lang", "left")
-        self.groups = materialise(groups.join(sums, ["lang", "source"], "left").join(per_lang, "lang").select(
+        # dealt once by (lang, term): the sums by group and those by term both find their rows in place
+        counts = counted.repartition("lang", "term").groupBy("lang", "source", "term").agg(
+            F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+        term = Window.partitionBy("lang", "term")
+        marked = counts.select(
+            "lang", "source", "term", "n", F.sum("docs").over(term).alias("docs"), F.sum("n").over(term).alias("lang_n"),
+            F.min(F.struct("source", "n")).over(term).alias("first"),
+            F.bit_xor(F.xxhash64("source", "n")).over(term).alias("same"))
+        stored = materialise(marked.where(F.col("term").isNull() | (F.col("docs") >= least)).drop("docs"),
+                             "divergence-counts")
+        self.cells = stored.where("term IS NOT NULL")
+        sums = self.cells.groupBy("lang", "source").agg(
+            F.sum("n").alias("total"), F.count_if(F.col("first.source") == F.col("source")).alias("terms"))
+        groups = stored.where("term IS NULL").select("lang", "source").join(sums, ["lang", "source"], "left")
+        of_lang = groups.groupBy("lang").agg(F.count("*").alias("sources"), F.sum("terms").alias("terms"),
+                                             F.sum("total").alias("lang_total"))
+        self.groups = materialise(groups.drop("terms").join(of_lang, "lang").select(
             "lang", "source", "sources", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("total", "terms", "lang_total")]),
             "divergence-groups")
 
     def runs(self) -> DataFrame:
-        """Run-length columns: ``lang, chunk, source, n, start, length`` for counts above zero."""
-        row = Window.partitionBy("lang", "chunk", "source", "n").orderBy("place")
-        return self.cells.withColumn("island", F.col("place") - F.row_number().over(row)).groupBy(
-            "lang", "chunk", "source", "n", "island").agg(
-            F.min("place").alias("start"), F.count("*").alias("length")).drop("island")
+        """Run-length columns: ``lang, chunk, source, start, length, n`` for counts above zero.
+
+        A row without source (n = -1) has the number of places of a chunk. Terms are in the order of their count in
+        the language, the least source that has them, and a digest of all their counts, so that terms with the same
+        counts in the same sources are neighbours.
+        """
+        parts = int(self.cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        order = ["lang", "lang_n", "first", "same", "term"]
+        placed = self.cells.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+        return placed.select(F.spark_partition_id().alias("part"), "lang", "term", "source", "n").mapInArrow(
+            _encoded, "lang string, chunk long, source string, start long, length long, n long")
 
     def pairs(self) -> DataFrame:
         """``lang, source, item, value`` for each ordered pair of sources of a language.
@@ -208,18 +274,16 @@ class Divergence:
         Every chunk of the order is compared by itself and the chunks are added up. Languages of many sources are
         compared in blocks of about ``BLOCK`` sources against blocks, so a task holds two blocks of one chunk.
         """
-        chunks = self.vocabulary.groupBy("lang", "chunk").agg(
-            F.min("place").alias("start"), F.count("*").alias("length"))
+        found = materialise(self.runs(), "divergence-runs")
+        chunks = found.where("source IS NULL").drop("source")
         none = self.groups.where("terms = 0").select(
-            "lang", F.lit(0).cast("long").alias("chunk"), F.lit(0).cast("long").alias("start"),
-            F.lit(0).cast("long").alias("length")).distinct()
+            "lang", *[F.lit(x).cast("long").alias(c) for c, x in (("chunk", 0), ("start", 0), ("length", 0), ("n", -1))]
+        ).distinct()
         figures = self.groups.select("lang", "source", "total", "terms",
                                      F.ceil(F.col("sources") / BLOCK).cast("int").alias("blocks"))
-        spans = chunks.unionByName(none).join(figures, "lang").withColumn("n", F.lit(-1).cast("long"))
-        runs = lookup_join(self.runs(), figures, ["lang", "source"], "start", "inner")
-        names = ["lang", "chunk", "source", "start", "length", "n", "total", "terms", "blocks"]
-        rows = materialise(spans.select(*names).unionByName(runs.select(*names)).withColumn(
-            "block", F.pmod(F.xxhash64("source"), F.col("blocks")).cast("int")), "divergence-runs")
+        spans = chunks.unionByName(none).join(figures, "lang")
+        runs = lookup_join(found.where("source IS NOT NULL"), figures, ["lang", "source"], "start", "inner")
+        rows = spans.unionByName(runs).withColumn("block", F.pmod(F.xxhash64("source"), F.col("blocks")).cast("int"))
         every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
         left = rows.select("*", F.lit(0).alias("side"), F.col("block").alias("here"), every.alias("there"))
         right = rows.select("*", F.lit(1).alias("side"), every.alias("here"), F.col("block").alias("there"))

@@ -5,6 +5,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from compare import connect, difference
@@ -51,10 +52,9 @@ def made_rows(n=400, sources=9):
     return rows
 
 
-@pytest.mark.parametrize("bits, block, meetings", [(15, 48, 1_000_000), (3, 2, 40)])
-def test_equals_plain_counting(spark, monkeypatch, bits, block, meetings):
-    for name, value in (("CHUNK_BITS", bits), ("BLOCK", block)):
-        monkeypatch.setattr(D, name, value)
+@pytest.mark.parametrize("block", [48, 2])
+def test_equals_plain_counting(spark, monkeypatch, block):
+    monkeypatch.setattr(D, "BLOCK", block)
     rows = made_rows()
     frame = spark.createDataFrame(rows, "text string, lang string, source string").repartition(5)
     found = D.Divergence(frame)
@@ -69,7 +69,29 @@ def test_equals_plain_counting(spark, monkeypatch, bits, block, meetings):
 
 def test_runs_are_fewer_than_counts(spark):
     found = D.Divergence(spark.createDataFrame(made_rows(1500), "text string, lang string, source string"))
-    assert found.runs().count() < found.cells.count()
+    assert found.runs().where("source IS NOT NULL").count() < found.cells.count()
+
+
+@pytest.mark.parametrize("cells, batch", [(100_000, 7), (10, 3), (4, 50), (1, 2)])
+def test_runs_give_every_count_back(monkeypatch, cells, batch):
+    monkeypatch.setattr(D, "CELLS", cells)
+    rng = random.Random(cells)
+    rows = [(lang, f"t{i:03}", f"s{s}", rng.choice([1, 1, 2])) for lang in ("a", "b") for i in range(40)
+            for s in range(8) if rng.random() < 0.6 or i % 9 == 0]
+    batches = [pa.RecordBatch.from_arrays(
+        [pa.array([3] * len(part)), *(pa.array([r[k] for r in part]) for k in range(4))],
+        names=["part", "lang", "term", "source", "n"]) for part in (rows[i:i + batch] for i in range(0, len(rows), batch))]
+    runs = [r for b in D._encoded(iter(batches)) for r in b.to_pylist()]
+    sizes = {(r["lang"], r["chunk"]): r["length"] for r in runs if r["source"] is None}
+    assert all(r["start"] + r["length"] <= sizes[r["lang"], r["chunk"]] for r in runs if r["source"] is not None)
+    terms = {lang: sorted({t for l, t, _, _ in rows if l == lang}) for lang in ("a", "b")}
+    back, base = set(), {"a": 0, "b": 0}
+    for lang, chunk in sorted(sizes):
+        for r in runs:
+            if (r["lang"], r["chunk"]) == (lang, chunk) and r["source"] is not None:
+                back |= {(lang, terms[lang][base[lang] + r["start"] + k], r["source"], r["n"]) for k in range(r["length"])}
+        base[lang] += sizes[lang, chunk]
+    assert back == set(rows) and base == {lang: len(t) for lang, t in terms.items()}
 
 
 def test_compare_in_groups_and_exact_shares(monkeypatch):
