@@ -218,18 +218,24 @@ class DiscountModel:
             reference = recent.select("prediction").limit(0)
         return prediction_drift(recent, reference)
 
-    def cross_validate(self, data: DataFrame, key: str, folds: int = FOLDS) -> DataFrame:
+    def cross_validate(self, data: DataFrame, key: str, folds: int = FOLDS, held_out: DiscountModel | None = None
+                       ) -> DataFrame:
         """One row: mean and population deviation of the fold RMSEs, and their list.
 
         Predictions are not clipped here. One fit per fold, each a distributed job;
-        the fits are submitted together so that they share the cluster.
+        the fits are submitted together so that they share the cluster. ``held_out`` is a model of the same type and
+        parameters that was fitted on the first part of ``hash_split`` of the same table and key: these are the rows of
+        all folds but 0, so it is measured on fold 0 and that fold is not fitted again.
         """
+        if held_out is not None and (held_out.model_type, held_out.params, folds) != (self.model_type, self.params, FOLDS):
+            raise ValueError("the model given for fold 0 has another type, other parameters or another split")
         spark = data.sparkSession
         shared_folder(spark)
         stored = packed(data.select("features", TARGET, fold_of(F.col(key), folds).alias("fold")), "folds")
 
         def score(fold: int) -> tuple[int, float]:
-            fitted = create_regressor(self.model_type, self.params).fit(stored.filter(F.col("fold") != fold))
+            fitted = held_out.model if held_out is not None and fold == 0 else create_regressor(
+                self.model_type, self.params).fit(stored.filter(F.col("fold") != fold))
             scored = fitted.transform(stored.filter(F.col("fold") == fold))
             return fold, regression_metrics(scored, prediction="raw_prediction", prefix="cv").first()["cv_rmse"]
 

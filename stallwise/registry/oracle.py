@@ -346,6 +346,8 @@ DRIFT_ROW = """SELECT status, drift_detected, round(mean_drift, 3) AS mean_drift
   round(psi, 3) AS psi, round(current_mean, 3) AS current_mean, round(reference_mean, 3) AS reference_mean,
   samples_analyzed FROM shown"""
 CLEARED = "session_id IN ('user_3', 'user_8')"
+#: Sessions that a stream keeps: not two days behind the newest message less the hour of lateness.
+LIVE = "last_activity >= (SELECT max(ts) FROM msgs) - INTERVAL 1 HOUR - INTERVAL 2 DAY"
 BY_SESSION = "OVER (PARTITION BY session_id ORDER BY ts, id)"
 BACK = "OVER (PARTITION BY session_id ORDER BY ts DESC, id DESC)"
 REASON = "concat_ws('; ', CASE WHEN {0} THEN '{1}' END, CASE WHEN {2} THEN '{3}' END)"
@@ -665,6 +667,14 @@ _BODIES = {
     "ST3_counts_by_minute": f"""SELECT strftime(date_trunc('minute', ts), {ISO}) AS minute, kind, count(*) AS records,
         round(sum(latency), 6) AS latency_sum, count(*) FILTER (latency <= 0.5) AS le_0_5,
         count(*) FILTER (latency <= 1.0) AS le_1_0 FROM ev GROUP BY ALL""",
+    "ST1_live_sessions": f"{SESSION_ROWS} WHERE {LIVE}",
+    "ST2_live_rings": f"""SELECT session_id, row_number() {BY_SESSION} AS place, id, role, content FROM (
+        SELECT * FROM msgs QUALIFY row_number() {BACK} <= 4)
+        WHERE session_id IN (SELECT session_id FROM sess WHERE {LIVE})""",
+    "ST3_closed_windows": f"""SELECT strftime(date_trunc('minute', ts), {ISO}) AS minute, kind, count(*) AS records,
+        round(sum(latency), 6) AS latency_sum, count(*) FILTER (latency <= 0.5) AS le_0_5,
+        count(*) FILTER (latency <= 1.0) AS le_1_0 FROM ev
+        WHERE date_trunc('minute', ts) + INTERVAL 1 MINUTE <= (SELECT max(ts) FROM ev) - INTERVAL 1 HOUR GROUP BY ALL""",
     "ST4_drift_watch": DRIFT_ROW,
     "ST6_appended_log": MESSAGE_ROWS,
 }
@@ -683,6 +693,7 @@ SAME = {
     "T11_most_active": "A12_message_ranking",
     "R2_drift_status": "A18_drift",
     "U2_table_counts": "A27_table_counts",
+    "F8_live_sessions": "ST1_live_sessions",
 }
 
 ORACLE = {name: sql(body) for name, body in _BODIES.items() if body}

@@ -27,7 +27,7 @@ from stallwise.plans import monitoring as PM, serving as PS, training as PT
 from stallwise.schemas import CATEGORICAL_FEATURES, FEATURES, NUMERIC_FEATURES, TARGET
 from stallwise.session import materialise, scratch_path
 from stallwise.sources import adapters as T, readers, stores
-from stallwise.streaming import metrics as SM, sessions as SS
+from stallwise.streaming import live as SL, metrics as SM, sessions as SS, windows as SW
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -122,9 +122,11 @@ def boosted(spark, folder) -> D.DiscountModel:
 
 
 def validated(spark, folder):
-    """Cross-validation of the model type and parameters of ``boosted``."""
-    return stored(spark, folder, "cv", lambda: materialise(
-        D.DiscountModel("xgboost").cross_validate(matrix(spark, folder), "product_id"), "cv"))
+    """Cross-validation of the model type and parameters of ``boosted``, which is the fit without fold 0 where there is
+    one already."""
+    known = _STORED.get((spark.sparkContext.applicationId, folder, "xgboost None"))
+    return stored(spark, folder, "cv", lambda: materialise(D.DiscountModel("xgboost").cross_validate(
+        matrix(spark, folder), "product_id", held_out=known), "cv"))
 
 
 def index(spark, folder):
@@ -1183,3 +1185,39 @@ def _(spark, folder):
     path, check = scratch_path(spark, "log"), scratch_path(spark, "log-checkpoint")
     finish(SS.append_log(stream_of(spark, log(spark, folder), "messages"), path, check))
     return stores.read_messages(spark, path).select("id", "session_id", "role", "content", iso("ts"))
+
+
+#: Sessions end so many days after their last message in the queries on state that ends.
+LIVE_DAYS = 2
+
+
+def live_sessions(spark, folder) -> str:
+    """Path of the table that a stream of the log, in batches out of order, has kept."""
+    def run() -> str:
+        path, check = scratch_path(spark, "live"), scratch_path(spark, "live-checkpoint")
+        finish(SL.keep_sessions(stream_of(spark, log(spark, folder), "messages"), path, check, max_history=2,
+                                days=LIVE_DAYS, merge_every=2))
+        return path
+    return stored(spark, folder, "live", run)
+
+
+@query("ST1_live_sessions")
+@query("F8_live_sessions")
+def _(spark, folder):
+    return SL.session_rows(spark, live_sessions(spark, folder)).select(
+        "session_id", iso("created_at"), iso("last_activity"), "message_count")
+
+
+@query("ST2_live_rings")
+def _(spark, folder):
+    return SL.session_rings(spark, live_sessions(spark, folder)).select(
+        "session_id", F.col("place").cast("bigint"), "id", "role", "content")
+
+
+@query("ST3_closed_windows")
+def _(spark, folder):
+    path, check = scratch_path(spark, "windows"), scratch_path(spark, "windows-checkpoint")
+    source = stream_of(spark, events(spark, folder), "events")
+    finish(SW.close_windows(source, path, check, lateness="1 hour"))
+    return rounded(SW.counts(spark, path).select(
+        iso("minute"), "kind", "records", "latency_sum", "le_0_5", "le_1_0"))
