@@ -694,6 +694,7 @@ SAME = {
     "R2_drift_status": "A18_drift",
     "U2_table_counts": "A27_table_counts",
     "F8_live_sessions": "ST1_live_sessions",
+    "J3_cells_all": "J3_scores",
 }
 
 ORACLE = {name: sql(body) for name, body in _BODIES.items() if body}

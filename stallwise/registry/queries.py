@@ -14,6 +14,7 @@ from stallwise.functions import parsing as P, scoring as S, text as X, vectors a
 from stallwise.operators import (
     answers as A,
     catalog as K,
+    cells as N,
     clean as L,
     conversations as C,
     features as E,
@@ -936,6 +937,35 @@ def _(spark, folder):
     return question_hits(spark, folder).filter(F.col("rank") <= A.CONTEXT_DOCUMENTS).select("query_id", "doc_id")
 
 
+def cell_index(spark, folder) -> N.CellIndex:
+    return stored(spark, folder, "cells", lambda: N.build_cells(
+        embeddings(spark, folder), scratch_path(spark, "cells"), "vec_id"))
+
+
+@query("J3_cells_all")
+def _(spark, folder):
+    """Every vector against all cells, which is the exact result."""
+    index = cell_index(spark, folder)
+    hits = N.probe_top_k(embeddings(spark, folder), index, probes=len(index.centroids), query_id="vec_id")
+    return hits.select("query_id", "doc_id", F.round("score", 4).alias("score"), F.col("rank").cast("bigint"))
+
+
+@query("M12_cell_search")
+def _(spark, folder):
+    """Vectors whose id is divisible by 20 against the cells near them."""
+    asked = embeddings(spark, folder).where("vec_id % 20 = 0")
+    return N.probe_top_k(asked, cell_index(spark, folder), query_id="vec_id")
+
+
+@query("M12_cell_recall")
+def _(spark, folder):
+    vectors, index = embeddings(spark, folder), cell_index(spark, folder)
+    asked = vectors.where("vec_id % 20 = 0")
+    exact = R.top_k(asked, vectors, 5, query_id="vec_id", doc_id="vec_id")
+    found = N.recall(N.probe_top_k(asked, index, 5, query_id="vec_id"), exact)
+    return rounded(found.withColumns({"cells": F.lit(len(index.centroids)), "probes": F.lit(index.probes)}))
+
+
 # -- set operations --------------------------------------------------------------------------
 
 @query("U3_appended_index")
