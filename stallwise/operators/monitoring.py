@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from stallwise.functions import scoring as S, text as X
 from stallwise.operators.ordered import last_rows
+from stallwise.operators.rolling import rolling_sums
 from stallwise.session import local_copy
 
 # Windows, limits, histogram edges.
@@ -270,10 +271,10 @@ def psi(current: DataFrame, reference: DataFrame) -> DataFrame:
     return window_figures(current, reference).select(_index(_shares()).alias("psi"))
 
 
-def check_drift(current: DataFrame, reference: DataFrame, threshold: float = DRIFT_THRESHOLD) -> DataFrame:
-    """One status row from the drift window and the reference statistics row."""
+def drift_status(figures: DataFrame, threshold: float = DRIFT_THRESHOLD, keep: list[str] | None = None) -> DataFrame:
+    """Status of every row of ``figures``: mean, std, n and bin counts of a window, and the reference as ``ref``."""
     deviation = F.col("ref.pred_std") + 1e-10
-    figures = window_figures(current, reference).withColumns({
+    figures = figures.withColumns({
         "psi_raw": _index(_shares()),
         "mean_drift": F.abs(F.col("mean") - F.col("ref.pred_mean")) / deviation,
         "std_drift": F.abs(F.col("std") - F.col("ref.pred_std")) / deviation})
@@ -287,7 +288,7 @@ def check_drift(current: DataFrame, reference: DataFrame, threshold: float = DRI
         return F.when(ready, F.round(value, places))
 
     return figures.select(
-        F.when(~known, "no_reference").when(~ready, "insufficient_data")
+        *(keep or []), F.when(~known, "no_reference").when(~ready, "insufficient_data")
         .when(moved, "drift_detected").otherwise("ok").alias("status"),
         moved.alias("drift_detected"),
         shown(F.col("mean_drift"), 4).alias("mean_drift"), shown(F.col("std_drift"), 4).alias("std_drift"),
@@ -295,6 +296,34 @@ def check_drift(current: DataFrame, reference: DataFrame, threshold: float = DRI
         shown(F.col("ref.pred_mean"), 2).alias("reference_mean"), F.col("n").alias("samples_analyzed"))
 
 
+def check_drift(current: DataFrame, reference: DataFrame, threshold: float = DRIFT_THRESHOLD) -> DataFrame:
+    """One status row from the drift window and the reference statistics row."""
+    return drift_status(window_figures(current, reference), threshold)
+
+
+def rolling_drift(events: DataFrame, reference: DataFrame, n: int = DRIFT_WINDOW, threshold: float = DRIFT_THRESHOLD,
+                  block: int | None = None) -> DataFrame:
+    """Drift status at every prediction, over it and the ``n - 1`` before: what ``check_drift`` said at that moment.
+
+    Moments are taken around the reference mean, so that the difference of running sums keeps its digits.
+    """
+    ref = reference.select(F.struct("pred_mean", "pred_std", "pred_count").alias("r")).scalar()
+    predictions = events.filter(F.col("kind") == "prediction").select(*ORDER, "prediction").withColumn("ref", ref)
+    middle = F.coalesce(F.col("ref.pred_mean"), F.lit(0.0))
+    away = F.col("prediction") - middle
+    bin = bin_of(F.col("prediction"), F.col("ref.pred_mean"), F.col("ref.pred_std"))
+    sums = {"total": away, "squares": away * away, "there": F.col("prediction").isNotNull().cast("long"),
+            **{f"bin_{i}": (bin == i).cast("long") for i in range(BINS)}}
+    rows = rolling_sums(predictions.withColumn("all", F.lit(0)), ["all"], ORDER, sums, n, "rolling-drift", block)
+    mean = F.try_divide(F.col("total"), F.col("there"))
+    spread = F.try_divide(F.col("squares"), F.col("there")) - mean * mean
+    figures = rows.select(
+        *ORDER, "prediction", "ref", (mean + middle).alias("mean"),
+        F.sqrt(F.greatest(spread, F.lit(0.0))).alias("std"), F.col("rows_in").alias("n"),
+        F.array(*[F.col(f"bin_{i}") for i in range(BINS)]).alias("counts"))
+    return drift_status(figures, threshold, [*ORDER, "prediction"])
+
+
 def drift_history(status: DataFrame, now: Column) -> DataFrame:
     """Rows to append to the drift history: detected ones only."""
     return status.filter("drift_detected").withColumn("timestamp", now)

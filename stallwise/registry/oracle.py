@@ -345,6 +345,10 @@ CHEAP = "CASE WHEN regexp_matches(lower(a.question), 'cheap|under|budget') THEN
 DRIFT_ROW = """SELECT status, drift_detected, round(mean_drift, 3) AS mean_drift, round(std_drift, 3) AS std_drift,
   round(psi, 3) AS psi, round(current_mean, 3) AS current_mean, round(reference_mean, 3) AS reference_mean,
   samples_analyzed FROM shown"""
+ROLLING_COUNTS = ", ".join(f"count(*) FILTER (bin_id = {i}) OVER w AS c{i}" for i in range(10))
+ROLLING_PSI = " + ".join(
+    "({0} - {1}) * ln({0} / {1})".format(f"least(greatest(c{i} / (n + 1e-10), 0.001), 1.0)", f"CAST({s} AS DOUBLE)")
+    for i, s in enumerate(SHARES + SHARES[::-1]))
 CLEARED = "session_id IN ('user_3', 'user_8')"
 #: Sessions that a stream keeps: not two days behind the newest message less the hour of lateness.
 LIVE = "last_activity >= (SELECT max(ts) FROM msgs) - INTERVAL 1 HOUR - INTERVAL 2 DAY"
@@ -581,6 +585,22 @@ _BODIES = {
         SELECT *, {PREVIOUS.format(w=BY_SESSION, c='content')} AS said FROM msgs) WHERE role = 'user'""",
     "W5_drift_window": """SELECT event_id, prediction FROM ev WHERE kind = 'prediction'
         ORDER BY ts DESC, event_id DESC LIMIT 1000""",
+    "W5_rolling_drift": f"""SELECT event_id, CASE WHEN pred_count = 0 THEN 'no_reference' WHEN n < 100
+          THEN 'insufficient_data' WHEN moved THEN 'drift_detected' ELSE 'ok' END AS status,
+        pred_count > 0 AND n >= 100 AND moved AS drift_detected, n AS samples_analyzed, """ + ", ".join(
+        f"CASE WHEN pred_count > 0 AND n >= 100 THEN round({v}, {places}) END AS {name}"
+        for v, places, name in (("m", 4, "mean_drift"), ("s", 4, "std_drift"), ("psi", 4, "psi"),
+                                ("pred_mean", 2, "reference_mean"))) + f""" FROM (
+        SELECT *, m > 0.1 OR s > 0.1 OR psi > 0.2 AS moved FROM (
+          SELECT *, abs(mean - pred_mean) / (pred_std + 1e-10) AS m, abs(std - pred_std) / (pred_std + 1e-10) AS s,
+            greatest({ROLLING_PSI}, 0.0) AS psi FROM (
+            SELECT event_id, pred_mean, pred_std, pred_count, avg(prediction) OVER w AS mean,
+              stddev_pop(prediction) OVER w AS std, count(*) OVER w AS n, {ROLLING_COUNTS} FROM (
+              SELECT *, CASE WHEN prediction = pred_mean + 3 * pred_std THEN 9
+                WHEN prediction >= pred_mean - 3 * pred_std AND prediction < pred_mean + 3 * pred_std
+                THEN least(CAST(floor((prediction - (pred_mean - 3 * pred_std)) / (6 * pred_std / 10)) AS INTEGER), 9)
+                END AS bin_id FROM ev, ref WHERE kind = 'prediction' AND ts >= {SPLIT})
+            WINDOW w AS (ORDER BY ts, event_id ROWS BETWEEN 999 PRECEDING AND CURRENT ROW))))""",
     "W6_recent_records": "SELECT kind, event_id, recency FROM recent",
     "W7_recent_errors": """SELECT event_id, error_type, message FROM ev WHERE kind = 'error'
         ORDER BY ts DESC, event_id DESC LIMIT 5""",

@@ -839,6 +839,14 @@ def _(spark, folder):
     return M.last_predictions(events(spark, folder)).select("event_id", "prediction")
 
 
+@query("W5_rolling_drift")
+def _(spark, folder):
+    """Status at every prediction of the second half."""
+    after = T.split_predictions(events(spark, folder))[1]
+    stats = materialise(reference(spark, folder), "reference")
+    return M.rolling_drift(after, stats).drop("ts", "prediction", "current_mean")  # means of two decimals tie in rounding
+
+
 @query("W6_recent_records")
 def _(spark, folder):
     return M.recent_latencies(events(spark, folder)).select("kind", "event_id", F.col("recency").cast("bigint"))
