@@ -349,6 +349,8 @@ ROLLING_COUNTS = ", ".join(f"count(*) FILTER (bin_id = {i}) OVER w AS c{i}" for
 ROLLING_PSI = " + ".join(
     "({0} - {1}) * ln({0} / {1})".format(f"least(greatest(c{i} / (n + 1e-10), 0.001), 1.0)", f"CAST({s} AS DOUBLE)")
     for i, s in enumerate(SHARES + SHARES[::-1]))
+INDEX_FIELDS = """product_id AS id, product_name, brand, main_category AS category,
+        CAST(round_even(discount_percentage, 0) AS BIGINT) || '%' AS discount"""
 CLEARED = "session_id IN ('user_3', 'user_8')"
 #: Sessions that a stream keeps: not two days behind the newest message less the hour of lateness.
 LIVE = "last_activity >= (SELECT max(ts) FROM msgs) - INTERVAL 1 HOUR - INTERVAL 2 DAY"
@@ -633,6 +635,18 @@ _BODIES = {
     "T13_context_documents": "SELECT query_id, doc_id FROM hits WHERE rank <= 5",
     "U3_appended_index": """SELECT vec_id, label,
         round(sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))), 6) AS norm FROM embeddings""",
+    "M11_product_index": f"SELECT {INDEX_FIELDS}, discounted_price AS price FROM clean",
+    "U3_upserted_index": f"""SELECT {INDEX_FIELDS}, 384 AS dimension,
+        CASE WHEN k % 3 = 0 AND k % 2 <> 0 THEN discounted_price || ' old' ELSE discounted_price END AS price
+        FROM (SELECT *, CAST(substr(product_id, 2, 8) AS INTEGER) AS k FROM clean)
+        WHERE k % 2 = 0 OR k % 5 <> 0 AND k % 7 <> 0""",
+    "U3_upsert_figures": """SELECT count(*) FILTER (k % 2 = 0) AS given,
+        count(*) FILTER (k % 2 = 0 AND k % 5 = 0) AS new, count(*) FILTER (k % 2 = 0 AND k % 5 <> 0 AND k % 3 = 0) AS changed,
+        count(*) FILTER (k % 2 = 0 AND k % 5 <> 0 AND k % 3 <> 0) AS same,
+        count(*) FILTER (k % 2 <> 0 AND k % 7 = 0 AND k % 5 <> 0) AS removed,
+        count(*) FILTER (k % 2 <> 0 AND k % 7 = 0 AND k % 5 = 0) AS unknown,
+        count(*) FILTER (k % 2 = 0 AND (k % 5 = 0 OR k % 3 = 0)) AS encoded
+        FROM (SELECT CAST(substr(product_id, 2, 8) AS INTEGER) AS k FROM clean)""",
     "U4_both_endpoints": "SELECT endpoint, round(latency, 6) AS latency FROM recent",
     "G1_add_messages": f"""SELECT session_id, count(*) AS message_count, least(count(*), 4) AS retained_count,
         least(count(*), 4) // 2 AS turns, strftime(max(ts), {ISO}) AS last_activity FROM (
@@ -715,6 +729,7 @@ SAME = {
     "U2_table_counts": "A27_table_counts",
     "F8_live_sessions": "ST1_live_sessions",
     "J3_cells_all": "J3_scores",
+    "M11_upserted_index": "U3_upserted_index",
 }
 
 ORACLE = {name: sql(body) for name, body in _BODIES.items() if body}

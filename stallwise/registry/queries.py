@@ -24,6 +24,7 @@ from stallwise.operators import (
     retrieval as R,
 )
 from stallwise.operators.quantiles import exact_median
+from stallwise.operators.upserts import ProductIndex
 from stallwise.plans import monitoring as PM, serving as PS, training as PT
 from stallwise.schemas import CATEGORICAL_FEATURES, FEATURES, NUMERIC_FEATURES, TARGET
 from stallwise.session import materialise, scratch_path
@@ -985,6 +986,32 @@ def _(spark, folder):
     return rounded(stores.read_index(spark, path).select("vec_id", "label", V.l2_norm(F.col("embedding")).alias("norm")))
 
 
+def upserted(spark, folder):
+    """(index, figures of its second upsert): first all products, some at other prices and some later withdrawn,
+    then the true rows of half of them."""
+    def run():
+        rows = R.index_rows(cleaned(spark, folder).withColumn("rag_document", X.document_text()))
+        number = F.substring("id", 2, 8).cast("int")
+        old = rows.withColumn("price", F.when(number % 3 == 0, F.concat("price", F.lit(" old"))).otherwise(F.col("price")))
+        index = ProductIndex(spark, scratch_path(spark, "upserts"), rows.schema)
+        index.upsert(old.where(number % 5 != 0))
+        figures = index.upsert(rows.where(number % 2 == 0), rows.where(number % 7 == 0).select("id"))
+        return index, figures
+    return stored(spark, folder, "upserted", run)
+
+
+@query("U3_upserted_index")
+@query("M11_upserted_index")
+def _(spark, folder):
+    return upserted(spark, folder)[0].vectors().select("id", "product_name", "brand", "category", "price", "discount",
+                                                       F.size("embedding").alias("dimension"))
+
+
+@query("U3_upsert_figures")
+def _(spark, folder):
+    return upserted(spark, folder)[1]
+
+
 @query("U4_both_endpoints")
 def _(spark, folder):
     both = M.recent_latencies(events(spark, folder))

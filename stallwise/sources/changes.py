@@ -81,10 +81,13 @@ class ChangeTable:
         newest = rows.groupBy(*self.keys).agg(F.max_by(F.struct(*values), F.col(BATCH)).alias("_s"))
         return newest.select(*self.keys, "_s.*").where(f"NOT {GONE}").select(*self.stored.names)
 
-    def read(self) -> DataFrame:
-        """The current row of every key."""
+    def read(self, through: int | None = None) -> DataFrame:
+        """The current row of every key; with ``through``, without the batches after that one that aren't merged."""
         version, folders = self._manifest()
-        return self._latest([self._snapshot(folders), self._since(version)]).select(*self.schema.names)
+        since = self._since(version)
+        if since is not None and through is not None:
+            since = since.where(F.col("batch") <= through)
+        return self._latest([self._snapshot(folders), since]).select(*self.schema.names)
 
     def merge(self) -> int:
         """Fold the batches since the last merge into the snapshot; the new version.
