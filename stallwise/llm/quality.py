@@ -7,7 +7,7 @@ chunks of a document, which overlap and cover all of it, combine by their mean.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from stallwise.llm.common import bounded_sample, plain
+from stallwise.session import materialise
 
 
 def chunks(raw: bytes, size: int, overlap: int) -> np.ndarray:
@@ -76,9 +77,24 @@ class ByteNet:
         return plain(docs, id, text).select(F.col("id").alias(id), of("body").alias("score"))
 
 
-def train(parts: list[np.ndarray], labels: np.ndarray, weights: np.ndarray, width: int = 6, filters: int = 16,
-          epochs: int = 10, batch: int = 32, rate: float = 0.01, seed: int = 11) -> ByteNet:
-    """Adam on the weighted log loss; gradients reach a filter through the place where it was largest."""
+EPOCHS = 10
+
+
+def drawn(found: np.ndarray, epoch: int, epochs: int, least: int) -> np.ndarray:
+    """The chunks of a text that an epoch sees: every ``epochs``-th from ``epoch`` on, filled up to ``least`` from those
+    that follow. Over all epochs each chunk is seen."""
+    turn = (np.arange(len(found)) - epoch) % epochs
+    order = np.argsort(turn, kind="stable")
+    return found[np.sort(order[:max(int((turn == 0).sum()), least)])]
+
+
+def train(draw: Callable[[int], list[np.ndarray]], labels: np.ndarray, weights: np.ndarray, width: int = 6,
+          filters: int = 16, epochs: int = EPOCHS, batch: int = 32, rate: float = 0.01, seed: int = 11) -> ByteNet:
+    """Adam on the weighted log loss; gradients reach a filter through the place where it was largest.
+
+    ``draw(epoch)`` gives the chunks of each text that the epoch sees.
+    """
+    parts = draw(0)
     rng = np.random.default_rng(seed)
     net = ByteNet(rng.normal(0, 0.3, (width, 256, filters)).astype(np.float32), np.zeros(filters, np.float32),
                   rng.normal(0, 0.1, filters).astype(np.float32), 0.0, parts[0].shape[1] if parts else 512)
@@ -86,6 +102,7 @@ def train(parts: list[np.ndarray], labels: np.ndarray, weights: np.ndarray, widt
     first, second = [np.zeros_like(v) for v in values], [np.zeros_like(v) for v in values]
     step = 0
     for epoch in range(epochs):
+        parts = draw(epoch) if epoch else parts
         order = rng.permutation(len(parts))
         pace = rate * (1 - epoch / epochs)
         for at in range(0, len(order), batch):
@@ -116,10 +133,10 @@ def train(parts: list[np.ndarray], labels: np.ndarray, weights: np.ndarray, widt
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", label: str = "quality",
-                sample_rows: int = 1500, sample_chunks: int = 4, chunk: int = 512, **options) -> ByteNet:
-    """Learns from documents with a label of 0 or 1: at most ``sample_rows`` of each, and of those at most
-    ``sample_chunks`` chunks, evenly spaced (the bounds of what reaches the driver). Each class weighs as much as it
-    has rows. Ids that are null are not joined; a label given twice for an id counts once, the larger. With rows of one
+                sample_rows: int = 1500, at_once: int = 4, chunk: int = 512, **options) -> ByteNet:
+    """Learns from documents with a label of 0 or 1: at most ``sample_rows`` of each (a documented bound). The net sees
+    all chunks of them: an epoch gets one in ``epochs`` of a text's chunks, others each time, and ``at_once`` at
+    least. The sample is stored, and the driver holds what one epoch sees. Each class weighs as much as it has rows. Ids that are null are not joined; a label given twice for an id counts once, the larger. With rows of one
     class only, or none, the score is the (smoothed) share of class 1.
     """
     known = labels.select(F.col(id).alias("id"), F.col(label).cast("int").alias("_label")).where(
@@ -133,19 +150,27 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: st
         return ByteNet(np.zeros((1, 256, 1), np.float32), np.zeros(1), np.zeros(1), float(np.log(p / (1 - p))), chunk)
     overlap = options.get("width", 6) * 8
 
-    @F.pandas_udf("binary")
-    def spaced(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in batches:
-            out = []
-            for body in batch:
-                found = chunks(body.encode("utf-8", "replace"), chunk, overlap)
-                at = np.unique(np.linspace(0, len(found) - 1, min(sample_chunks, len(found))).round().astype(int))
-                out.append(found[at].tobytes())
-            yield pd.Series(out)
-
-    got = bounded_sample(rows, labelled, "_label", sample_rows).select("id", "_label", spaced("body").alias("c")).collect()
-    got.sort(key=lambda r: (str(r["id"]), r["c"]))
-    y = np.array([r["_label"] for r in got])
+    epochs = options.get("epochs", EPOCHS)
+    sample = materialise(bounded_sample(rows, labelled, "_label", sample_rows).select(
+        "id", "_label", "body").withColumn("sign", F.xxhash64("body")), "quality-sample")
+
+    def seen(epoch: int):
+        @F.pandas_udf("binary")
+        def some(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            for batch in batches:
+                yield pd.Series([drawn(chunks(body.encode("utf-8", "replace"), chunk, overlap), epoch, epochs,
+                                       at_once).tobytes() for body in batch])
+
+        got = sample.select("id", "_label", "sign", some("body").alias("c")).collect()
+        got.sort(key=lambda r: (str(r["id"]), r["sign"]))
+        return got
+
+    first = seen(0)
+    y = np.array([r["_label"] for r in first])
     taken = {c: max(1, int((y == c).sum())) for c in (0, 1)}
     weights = np.array([share[c] / total * len(y) / taken[c] for c in y])
-    return train([np.frombuffer(r["c"], np.uint8).reshape(-1, chunk) for r in got], y, weights, **options)
+
+    def draw(epoch: int) -> list[np.ndarray]:
+        return [np.frombuffer(r["c"], np.uint8).reshape(-1, chunk) for r in (seen(epoch) if epoch else first)]
+
+    return train(draw, y, weights, **options)

@@ -37,10 +37,9 @@ def terms_of(body: str) -> set[str]:
     """Whole words, word beginnings of four to seven letters and letter runs of five, spaces marking word ends."""
     found = set()
     for word in set(body.split()):
-        if len(word) <= 24:
-            found.add(f" {word} ")
+        found.add(f" {word} ")
         found.update([f" {word[:n]}" for n in (4, 5, 6, 7)])
-        found.update([word[i:i + 5] for i in range(min(len(word), 200) - 4)])
+        found.update([word[i:i + 5] for i in range(len(word) - 4)])
     return found
 
 
@@ -94,18 +93,60 @@ def label_model(votes: np.ndarray, weight: np.ndarray, prior: float, rounds: int
     return post
 
 
-def linear(features: np.ndarray, target: np.ndarray, weight: np.ndarray, ridge: float = 0.05,
+class Found:
+    """Which terms stand in which rows: a sparse table of ones, so its size is that of what was found."""
+
+    def __init__(self, rows: list[list[int]], n_terms: int):
+        self.n_rows, self.n_terms = len(rows), n_terms
+        self.row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+        self.term = np.array([t for r in rows for t in r], int)
+
+    def times(self, w: np.ndarray) -> np.ndarray:
+        return np.bincount(self.row, w[self.term], self.n_rows)
+
+    def turned(self, r: np.ndarray) -> np.ndarray:
+        return np.bincount(self.term, r[self.row], self.n_terms)
+
+    def any(self, terms: list[int]) -> np.ndarray:
+        chosen = np.zeros(self.n_terms)
+        chosen[terms] = 1
+        return self.times(chosen) > 0
+
+
+def linear(found: Found, target: np.ndarray, weight: np.ndarray, ridge: float = 0.05,
            steps: int = 25) -> tuple[np.ndarray, float]:
-    """Logistic weights for soft labels, by damped Newton steps; ``ridge`` holds the weights, not the offset."""
-    x = np.hstack([features, np.ones((len(features), 1))])
-    hold = np.append(np.full(features.shape[1], ridge), 1e-6)
-    w = np.zeros(x.shape[1])
+    """Logistic weights for soft labels, by damped Newton steps; ``ridge`` holds the weights, not the offset.
+
+    Each step is solved by conjugate gradients, which need the sparse table only.
+    """
+    hold = np.append(np.full(found.n_terms, ridge), 1e-6)
+    w = np.zeros(found.n_terms + 1)
+
+    def times(v: np.ndarray) -> np.ndarray:
+        return found.times(v[:-1]) + v[-1]
+
+    def turned(r: np.ndarray) -> np.ndarray:
+        return np.append(found.turned(r), r.sum())
+
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        slope = x.T @ ((p - target) * weight) + hold * w
-        curve = (x * (p * (1 - p) * weight + 1e-6)[:, None]).T @ x + np.diag(hold)
-        step = np.linalg.solve(curve, slope)
+        p = 1 / (1 + np.exp(-np.clip(times(w), -30, 30)))
+        slope = turned((p - target) * weight) + hold * w
+        bend = p * (1 - p) * weight + 1e-6
+        scale = 1 / (np.append(found.turned(bend), bend.sum()) + hold)
+        step, rest = np.zeros_like(w), slope.copy()
+        way = scale * rest
+        gain = rest @ way
+        for _ in range(500):
+            if gain < 1e-16:
+                break
+            along = turned(bend * times(way)) + hold * way
+            size = gain / (way @ along)
+            step, rest = step + size * way, rest - size * along
+            gain, before = rest @ (scale * rest), gain
+            way = scale * rest + gain / before * way
         w = w - step * min(1.0, 4.0 / max(np.abs(step).max(), 1e-9))
+        if np.abs(step).max() < 1e-9:
+            break
     return w[:-1], float(w[-1])
 
 
@@ -145,24 +186,21 @@ def voters(terms: list[str], groups: int) -> list[list[int]]:
     return [g for kind in (words, parts) for g in (kind[k::groups] for k in range(groups)) if g]
 
 
-def vote(found: list[list[int]], marks: np.ndarray, lexicons: list[list[int]], n_terms: int) -> np.ndarray:
+def vote(found: Found, marks: np.ndarray, lexicons: list[list[int]]) -> np.ndarray:
     """Rows x voters. A lexicon says toxic or nothing; its absence voters, each over half of all terms, clean or
     nothing; a pattern toxic or nothing."""
-    present = np.zeros((len(found), max(1, n_terms)), bool)
-    for row, own in enumerate(found):
-        present[row, own] = True
-    columns = [np.where(present[:, g].any(axis=1), 1, -1) for g in lexicons]
-    columns += [np.where(present[:, half::2].any(axis=1), -1, 0) for half in (0, 1)]
+    columns = [np.where(found.any(g), 1, -1) for g in lexicons]
+    columns += [np.where(found.any(list(range(half, found.n_terms, 2))), -1, 0) for half in (0, 1)]
     columns += [np.where(m, 1, -1) for m in marks.T]
     return np.stack(columns, axis=1)
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", label: str = "toxic",
-                 sample_rows: int = 4000, most_terms: int = 400, least: int = 4, groups: int = 8) -> ToxicityModel:
+                 sample_rows: int = 4000, least: int = 4, groups: int = 8) -> ToxicityModel:
     """Learns from documents with a label of 0 or 1, at most ``sample_rows`` of each (a documented bound).
 
-    Near copies within the sample count once. Lexicons are the terms that mark toxic rows (in at least ``least`` of
-    them, and fifteen times as often as in clean rows), at most ``most_terms``. Null ids are not joined, an id labelled
+    Near copies within the sample count once, the one with the least id. Lexicons are all terms that mark toxic rows (in
+    at least ``least`` of them, and fifteen times as often as in clean rows). Null ids are not joined, an id labelled
     twice counts as toxic if one label says so. Without rows of both classes the score is the share of class 1.
     """
     known = labels.select(F.col(id).alias("id"), F.col(label).cast("int").alias("_label")).where(
@@ -177,7 +215,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: s
 
     signed = F.pandas_udf(lambda bodies: pd.Series([signature(b) for b in bodies], dtype="int64"), "bigint")
     picked = bounded_sample(rows, labelled, "_label", sample_rows).select("id", "_label", "body", signed("body").alias("sign"))
-    sample = materialise(picked.dropDuplicates(["_label", "sign"]), "toxicity-sample")
+    first = picked.groupBy("_label", "sign").agg(F.min(F.struct("id", "body")).alias("row"))
+    sample = materialise(first.select("_label", "sign", "row.*"), "toxicity-sample")
     taken = {r["_label"]: r["n"] for r in sample.groupBy("_label").agg(F.count("*").alias("n")).collect()}
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,7 +235,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: s
     seen = sample.select("_label", "body").mapInArrow(tally, "term string, toxic bigint, clean bigint")
     top = seen.groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).where(
         (F.col("toxic") >= least) & (ratio >= 15)).orderBy(
-        (F.col("toxic") * F.log(ratio)).desc(), "term").limit(most_terms)
+        (F.col("toxic") * F.log(ratio)).desc(), "term")
     terms = [r["term"] for r in top.select("term").collect()]
     lexicons = voters(terms, groups)
 
@@ -214,13 +253,10 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: s
 
     got = sample.select("id", "_label", "sign", seen_in("body").alias("s")).select("id", "_label", "sign", "s.*").collect()
     got.sort(key=lambda r: (r["_label"], r["sign"], str(r["id"])))
-    found = [list(r["found"]) for r in got]
+    found = Found([list(r["found"]) for r in got], len(terms))
     marks = np.array([[r["address"], r["shouting"], r["piled"]] for r in got])
     weight = np.array([share[r["_label"]] / taken[r["_label"]] for r in got], float)
     weight *= len(got) / weight.sum()
-    post = label_model(vote(found, marks, lexicons, len(terms)), weight, share[1] / total)
-    features = np.zeros((len(got), len(terms)))
-    for row, own in enumerate(found):
-        features[row, own] = 1
-    weights, offset = linear(features, post, weight)
+    post = label_model(vote(found, marks, lexicons), weight, share[1] / total)
+    weights, offset = linear(found, post, weight)
     return ToxicityModel(terms, weights, offset)

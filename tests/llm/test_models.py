@@ -61,11 +61,74 @@ def test_network_learns_a_byte_pattern_anywhere():
     texts = [bytes(rng.choice(list(b"abcdefgh "), 900)) for _ in range(300)]
     labels = np.array([i % 2 for i in range(300)])
     texts = [t[:700] + b"!!!!!" + t[705:] if y == 0 else t for t, y in zip(texts, labels)]
-    net = Q.train([Q.chunks(t, 512, 48) for t in texts[:240]], labels[:240], np.ones(240), epochs=12)
+    parts = [Q.chunks(t, 512, 48) for t in texts[:240]]
+    net = Q.train(lambda epoch: parts, labels[:240], np.ones(240), epochs=12)
     right = [(net.logit(t.decode()) > 0) == y for t, y in zip(texts[240:], labels[240:])]
     assert np.mean(right) > 0.9
 
 
+@pytest.mark.parametrize("n", [1, 3, 4, 5, 10, 37, 200])
+def test_epochs_see_every_chunk(n):
+    found = np.arange(n)[:, None]
+    seen = [Q.drawn(found, epoch, 10, 4)[:, 0].tolist() for epoch in range(10)]
+    assert set().union(*seen) == set(range(n))
+    assert all(len(s) == len(set(s)) >= min(4, n) and s == sorted(s) for s in seen) and max(map(len, seen)) <= max(4, -(-n // 10))
+
+
+def test_quality_score_is_the_plain_convolution(spark):
+    rng = np.random.default_rng(8)
+    net = Q.ByteNet(rng.normal(0, 1, (3, 256, 4)).astype(np.float32), rng.normal(0, 1, 4).astype(np.float32),
+                    rng.normal(0, 1, 4).astype(np.float32), 0.25, 32)
+    texts = ["", None, "short", "x" * 32, "a longer text of some forty three bytes in it", "Ünïcödé " * 40]
+
+    def plainly(text):
+        raw = (text or "").encode()
+        starts = [0] if len(raw) <= 32 else [*range(0, len(raw) - 32, 32 - 24), len(raw) - 32]
+        logits = []
+        for at in starts:
+            part = raw[at:at + 32].ljust(32, b"\0")
+            best = [max(sum(float(net.filters[j, part[i + j], f]) for j in range(3)) for i in range(30)) + float(net.bias[f])
+                    for f in range(4)]
+            logits.append(sum(max(b, 0) * float(w) for b, w in zip(best, net.weight)) + net.offset)
+        return 1 / (1 + math.exp(-sum(logits) / len(logits)))
+
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    found = {r["doc_id"]: r["score"] for r in net.score(frame).collect()}
+    assert all(found[i] == pytest.approx(plainly(t), abs=1e-5) for i, t in enumerate(texts))
+
+
+def test_toxicity_terms_have_no_length_bound():
+    word = "x" * 30 + "".join(chr(97 + i % 26) for i in range(400)) + "tail"
+    terms = X.terms_of(f" {word} ")
+    assert f" {word} " in terms and word[-5:] in terms and len(terms) > 30
+
+
+def test_toxicity_score_is_the_sum_over_terms(spark):
+    model = X.ToxicityModel([" bad ", " ba", "adwor", " other "], np.array([1.5, -0.25, 2.0, -3.0]), -0.5)
+    texts = ["BAD badword", "", None, "other, other bad!", "nothing", "xbadwordx"]
+
+    def plainly(text):
+        body = X.normal(text or "")
+        total = model.offset + sum(w for t, w in zip(model.terms, model.weights) if t in body)
+        return 1 / (1 + math.exp(-total))
+
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    found = {r["doc_id"]: r["score"] for r in model.score(frame).collect()}
+    assert found == pytest.approx({i: plainly(t) for i, t in enumerate(texts)})
+
+
+def test_linear_classifier_is_the_dense_newton_solution():
+    rng = np.random.default_rng(6)
+    x = (rng.random((300, 40)) < 0.1).astype(float)
+    target, weight = rng.random(300), rng.random(300) + 0.5
+    found = X.Found([np.flatnonzero(r).tolist() for r in x], 40)
+    w, offset = X.linear(found, target, weight)
+    dense, hold = np.hstack([x, np.ones((300, 1))]), np.append(np.full(40, 0.05), 1e-6)
+    p = 1 / (1 + np.exp(-(dense @ np.append(w, offset))))
+    slope = dense.T @ ((p - target) * weight) + hold * np.append(w, offset)
+    assert np.abs(slope).max() < 1e-5  # the one minimum of a convex loss
+
+
 @pytest.mark.parametrize("fit", [Q.fit_quality, X.fit_toxicity])
 def test_classifiers_on_odd_rows(spark, odd, none, fit):
     name = "quality" if fit is Q.fit_quality else "toxic"
