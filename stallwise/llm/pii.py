@@ -15,7 +15,7 @@ from stallwise.session import materialise
 TITLES = {"m": ["Mr", "Mister", "Sir", "Herr", "Señor", "Monsieur", "Господин"],
           "f": ["Mrs", "Ms", "Miss", "Madam", "Frau", "Señora", "Señorita", "Madame", "Mademoiselle", "Госпожа"],
           "u": ["Dr", "Prof", "Professor"]}
-#: Given names by gender and script, to recognise and to choose from.
+#: Given names by gender and script, to recognise.
 GIVEN = {
     ("f", "latin"): ["Alice", "Anna", "Barbara", "Carla", "Carmen", "Clara", "Diana", "Elena", "Emma", "Eva", "Greta",
                      "Hanna", "Ida", "Irene", "Julia", "Laura", "Lucia", "Maria", "Marta", "Nina", "Olga", "Paula",
@@ -26,6 +26,14 @@ GIVEN = {
     ("f", "cyrillic"): ["Анна", "Вера", "Галина", "Дарья", "Елена", "Ирина", "Мария", "Нина", "Ольга", "Софья"],
     ("m", "cyrillic"): ["Антон", "Борис", "Виктор", "Денис", "Иван", "Кирилл", "Михаил", "Олег", "Павел", "Сергей"],
 }
+#: Parts that surrogate given names are made of, by script and gender: first and second syllable, ending. There are
+#: thousands of each kind, none chosen from the names that are looked for.
+SYLLABLES = {"latin": [c + v for c in "BDFGKLMNPRSTVZ" for v in "aeiou"],
+             "cyrillic": [c + v for c in "БВГДЗКЛМНПРСТФ" for v in "аеиоу"]}
+ENDINGS = {("f", "latin"): ["la", "na", "ria", "sa", "tha", "vina", "bella", "dra"],
+           ("m", "latin"): ["n", "r", "rd", "lo", "mus", "ton", "rik", "s"],
+           ("f", "cyrillic"): ["ла", "на", "рия", "са", "ра", "вина"],
+           ("m", "cyrillic"): ["н", "р", "слав", "мир", "тон", "рил"]}
 _TITLE = "|".join(t for g in TITLES.values() for t in g)
 _ALL_GIVEN = "|".join(n for names in GIVEN.values() for n in names)
 #: One word of a name, without a closing 's; never a title. Possessive, so long runs of letters need no stack.
@@ -36,8 +44,8 @@ _RUN = rf"(?:\p{{Lu}}\.? )*+{_NAME}{_MORE}*+"
 #: Kinds in the order in which they are tried; each pattern matches a whole mention, that of names a run of words, each
 #: of which is a mention.
 KINDS = {
-    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}@[\p{L}\p{N}-]{1,63}(?:\.[\p{L}\p{N}-]{1,63}){1,8}",
-    "secret": r"(?<=(?:password|passwd|token|secret|api_key|apikey)[ ]{0,2}[=:][ ]{0,2}[\"']?)[A-Za-z0-9_+/=~.-]{7,}[A-Za-z0-9_+/=~-]"
+    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]++(?:\.[\p{L}\p{N}-]++)++",
+    "secret": r"(?<=(?i:password|passwd|token|secret|api[_-]?key)[\"']?[ ]{0,2}[=:][ ]{0,2}[\"']?)[A-Za-z0-9_+/=~.-]{7,}[A-Za-z0-9_+/=~-]"
               r"|(?<![A-Za-z0-9])AKIA[A-Z0-9]{16}(?![A-Za-z0-9])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "ip": r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])",
@@ -50,7 +58,7 @@ KINDS = {
 }
 ANY = "|".join(f"(?:{p})" for p in KINDS.values())
 #: A cheap sign that a text may hold a mention at all: every text that a pattern of KINDS matches has it.
-_SIGN = rf"[0-9@]|AKIA|(?:password|passwd|token|secret|api_key|apikey)|(?<!\p{{L}})(?:{_TITLE}|{_ALL_GIVEN})(?!\p{{L}})"
+_SIGN = rf"[0-9@]|AKIA|(?i:password|passwd|token|secret|api[_-]?key)|(?<!\p{{L}})(?:{_TITLE}|{_ALL_GIVEN})(?!\p{{L}})"
 #: Letters and digits that replace one another: name of the script, first and last code point of a run.
 RUNS = [("digit", 0x30, 0x39), ("latin", 0x41, 0x5A), ("latin", 0x61, 0x7A), ("cyrillic", 0x410, 0x42F),
         ("cyrillic", 0x430, 0x44F), ("greek", 0x391, 0x3A1), ("greek", 0x3B1, 0x3C1), ("hebrew", 0x5D0, 0x5EA),
@@ -114,11 +122,14 @@ def _luhn(digits: Column) -> Column:
 
 
 def _given(seed: Column, value: Column) -> Column:
-    """A given name of the same gender and script; null when the value is no known given name."""
+    """A given name of the same gender and script, made of syllables; null when the value is no known given name."""
+    def part(place: int, choices: list[str]) -> Column:
+        return F.element_at(F.array(*map(F.lit, choices)), (_drawn(seed, F.lit(place), F.lit(len(choices))) + 1).cast("int"))
+
     out = F.lit(None).cast("string")
-    for names in GIVEN.values():
-        choice = F.element_at(F.array(*map(F.lit, names)), (_drawn(seed, F.lit(0), F.lit(len(names))) + 1).cast("int"))
-        out = F.when(value.isin(names), choice).otherwise(out)
+    for (gender, script), names in GIVEN.items():
+        made = F.concat(part(0, SYLLABLES[script]), F.lower(part(1, SYLLABLES[script])), part(2, ENDINGS[gender, script]))
+        out = F.when(value.isin(names), made).otherwise(out)
     return out
 
 
@@ -145,8 +156,7 @@ def _surrogate(kind: Column, value: Column, attempt: Column, key: str) -> Column
     # as many hexadecimal digits as asked for
     more = F.transform(F.sequence(F.lit(2), F.ceil(F.length(value) / 64).cast("int") + 2),
                        lambda i: F.sha2(F.concat(seed, i.cast("string")), 256))
-    # past eight draws a given name leaves its list
-    given = F.when(attempt < 8, _given(seed, value))
+    given = _given(seed, value)
     name = F.when(given.isNotNull(), given).when(
         value.rlike(r"^\p{IsCyrillic}") & value.rlike("(ова|ева|ина|ая)$"),
         F.concat(F.substr(mixed, F.lit(1), F.length(value) - 3), F.substr(value, F.length(value) - 2, F.lit(3)))).otherwise(mixed)
