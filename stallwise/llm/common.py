@@ -45,3 +45,13 @@ def bounded_sample(rows: DataFrame, keys: DataFrame, by: str, most: int) -> Data
     order = Window.partitionBy(by).orderBy(mark, "id")
     chosen = near.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= most).select("id", by)
     return rows.join(F.broadcast(chosen), "id")
+
+
+def fresh(docs: DataFrame, *names: str) -> list[str]:
+    """Names that are no columns of ``docs`` (in any case), made of the given ones."""
+    taken, out = {c.lower() for c in docs.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        out.append(name)
+    return out

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from stallwise.llm.common import plain
+from stallwise.llm.common import fresh, plain, whole_text
 from stallwise.session import materialise
 
 
@@ -70,12 +70,13 @@ def drop_exact_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text
     Of rows that repeat id and text one stays. A null text counts as empty, so of null and empty texts one stays.
     """
     found = exact_duplicates(docs, id, text, prefix, digest_all=True)
-    keys = found.groupBy(F.col(id).alias("__id"), F.col("text_sha256").alias("__sha256")).agg(
-        F.first("kept").alias("__kept"), F.count("*").alias("__rows"))
-    keys = materialise(keys.where("not __kept or __rows > 1"), "exact-dropped")
-    sha = F.sha2(F.coalesce(F.col(text).cast("string"), F.lit("")), 256)
-    same = (sha == F.col("__sha256")) & F.col(id).eqNullSafe(F.col("__id"))
+    key, digest, kept, rows = fresh(docs, "key_id", "key_sha256", "key_kept", "key_rows")
+    keys = found.groupBy(F.col(id).alias(key), F.col("text_sha256").alias(digest)).agg(
+        F.first("kept").alias(kept), F.count("*").alias(rows))
+    keys = materialise(keys.where(~F.col(kept) | (F.col(rows) > 1)), "exact-dropped")
+    sha = F.sha2(whole_text(text), 256)
+    same = (sha == F.col(digest)) & F.col(id).eqNullSafe(F.col(key))
     # one plan for every size: the keys grow with the data, so they are merged with the texts and never broadcast
     once = docs.join(keys.hint("merge"), same, "left_anti")
-    again = docs.join(keys.where("__kept"), same, "left_semi").withColumn("__sha256", sha).dropDuplicates([id, "__sha256"])
-    return once.unionByName(again.drop("__sha256"))
+    again = docs.join(keys.where(kept), same, "left_semi").withColumn(digest, sha).dropDuplicates([id, digest])
+    return once.unionByName(again.drop(digest))

@@ -17,7 +17,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from stallwise.llm.common import plain, whole_text, words_of
+from stallwise.llm.common import fresh, plain, whole_text, words_of
 from stallwise.session import materialise
 
 #: Shingles whose bits are unpacked at once.
@@ -272,19 +272,20 @@ def drop_near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text"
     marked = materialise(fingerprints(docs, id, text, length, digest).withColumnRenamed(id, "id"), "simhash")
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "sha")).alias("least")
     nodes = materialise(marked.groupBy("fp").agg(first, F.count("*").alias("n")), "simhash-nodes")
+    own, sha = fresh(docs, "key_id", "key_sha")
     kept = materialise(_rooted(nodes, bits).groupBy("root").agg(F.min("least").alias("least")).select(
-        F.col("least.id").alias("__id"), F.col("least.sha").alias("__sha")), "simhash-kept")
-    repeated = marked.groupBy(F.col("id").alias("__id"), F.col("sha").alias("__sha")).agg(
+        F.col("least.id").alias(own), F.col("least.sha").alias(sha)), "simhash-kept")
+    repeated = marked.groupBy(F.col("id").alias(own), F.col("sha").alias(sha)).agg(
         F.count("*").alias("n")).where("n > 1")
-    key = F.col("a.__id").eqNullSafe(F.col("b.__id")) & (F.col("a.__sha") == F.col("b.__sha"))
+    key = F.col(f"a.{own}").eqNullSafe(F.col(f"b.{own}")) & (F.col(f"a.{sha}") == F.col(f"b.{sha}"))
     kept_twice, kept_once = (materialise(kept.alias("a").join(repeated.alias("b"), key, how), "simhash-kept")
                              for how in ("left_semi", "left_anti"))
-    sha = F.unhex(F.sha2(whole_text(text), 256))
-    same = (sha == F.col("__sha")) & F.col(id).eqNullSafe(F.col("__id"))
+    here = F.unhex(F.sha2(whole_text(text), 256))
+    same = (here == F.col(sha)) & F.col(id).eqNullSafe(F.col(own))
     # one plan for every size, as in exact dedup
     once = docs.join(kept_once.hint("merge"), same, "left_semi")
-    again = docs.join(kept_twice, same, "left_semi").withColumn("__sha", sha).dropDuplicates([id, "__sha"])
-    return once.unionByName(again.drop("__sha"))
+    again = docs.join(kept_twice, same, "left_semi").withColumn(sha, here).dropDuplicates([id, sha])
+    return once.unionByName(again.drop(sha))
 
 
 def hexadecimal(column: str):

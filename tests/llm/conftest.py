@@ -15,7 +15,8 @@ def odd(spark):
     frame = spark.createDataFrame(rows, SCHEMA)
     from pyspark.sql import functions as F
     clash = ("id body size score row kept keep_id fp anchor block at word held held_out label group kind n_words spans "
-             "items found target taken component_id text_sha256 _label _lang").split()
+             "items found target taken component_id text_sha256 _label _lang __id __kept __sha __sha256 __rows KEY_ID key_sha "
+             "key_sha256 key_kept key_rows lead path term chunk ids n_tokens docs part").split()
     return frame.select("*", *[F.lit(f"x{i}").alias(c) for i, c in enumerate(clash)])
 
 

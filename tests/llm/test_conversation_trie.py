@@ -7,9 +7,7 @@ import zlib
 
 import pytest
 
-from compare import connect, difference
 from stallwise.llm.conversation_trie import prefix_trie
-from stallwise.llm.queries import ORACLE, op13_prefix_trie
 
 SCHEMA = "conv_id bigint, turn bigint, role string, text string, depth int, n int, lead string"
 
@@ -98,7 +96,3 @@ def test_empty_and_one(spark):
     assert {tuple(r) for r in prefix_trie(frame).collect()} == plainly([(3, None, None, None)], False)
     nobody = spark.createDataFrame([(None, 1, "user", "x", 1, 1, "")], SCHEMA)
     assert prefix_trie(nobody).count() == 0
-
-
-def test_query_equals_sql(spark, folder):
-    assert difference(op13_prefix_trie(spark, folder), connect(folder), ORACLE["op13_prefix_trie"]) is None

@@ -8,9 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from compare import connect, difference
 from stallwise.llm import divergence as D
-from stallwise.llm.queries import ORACLE, op12_source_divergence
 
 
 def plainly(rows, least=3):
@@ -125,7 +123,3 @@ def test_empty_and_odd(spark, none, odd):
     found = D.Divergence(odd)
     assert {tuple(r) for r in found.pairs().collect()} == pairs
     assert {tuple(r) for r in found.terms().collect()} == tops
-
-
-def test_query_equals_sql(spark, folder):
-    assert difference(op12_source_divergence(spark, folder), connect(folder), ORACLE["op12_source_divergence"]) is None
