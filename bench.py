@@ -51,7 +51,7 @@ def main() -> None:
         state["model"] = PT.train(state["prepared"])
 
     def validate():
-        sink(state["model"].cross_validate(state["prepared"].matrix, "product_id"))
+        sink(state["model"].cross_validate(state["prepared"].matrix, "product_id", held_out=state["model"]))
 
     def score():
         sink(PS.score_catalogue(state["prepared"].matrix, state["model"]))

@@ -635,6 +635,13 @@ _BODIES = {
     "T13_context_documents": "SELECT query_id, doc_id FROM hits WHERE rank <= 5",
     "U3_appended_index": """SELECT vec_id, label,
         round(sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))), 6) AS norm FROM embeddings""",
+    "S11_saved_retrieval": """SELECT (SELECT count(*) FROM clean) AS total_documents, 384 AS embedding_dimension,
+        (SELECT count(*) FROM asks) AS total_queries, (SELECT count(DISTINCT session_id) FROM msgs) AS active_sessions,
+        false AS llm_enabled""",
+    "S15_training_runs": """SELECT '2024-02-20 00:00:00' AS timestamp, 'xgboost' AS model_type, trigger, 16 AS n_importances,
+        true AS has_val_rmse FROM (VALUES (NULL), ('drift')) AS t(trigger)""",
+    "M10_text_vectors": """SELECT doc_id, 384 AS dimension,
+        CASE WHEN regexp_matches(coalesce(text, ''), '[\\p{L}\\p{N}\\p{M}_]') THEN 1.0 ELSE 0.0 END::DOUBLE AS norm FROM documents""",
     "M11_product_index": f"SELECT {INDEX_FIELDS}, discounted_price AS price FROM clean",
     "U3_upserted_index": f"""SELECT {INDEX_FIELDS}, 384 AS dimension,
         CASE WHEN k % 3 = 0 AND k % 2 <> 0 THEN discounted_price || ' old' ELSE discounted_price END AS price
@@ -728,6 +735,7 @@ SAME = {
     "R2_drift_status": "A18_drift",
     "U2_table_counts": "A27_table_counts",
     "F8_live_sessions": "ST1_live_sessions",
+    "R4_retrain_event": "S15_training_runs",
     "J3_cells_all": "J3_scores",
     "M11_upserted_index": "U3_upserted_index",
 }

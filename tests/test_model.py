@@ -81,6 +81,18 @@ def test_forest_and_cross_validation(prepared):
     assert abs(row["cv_rmse_std"] - np.std(row["cv_scores"])) < 1e-9
 
 
+def test_the_trained_model_stands_for_fold_0(prepared):
+    fit_on, held_out = D.hash_split(prepared.matrix, "product_id")
+    one = D.DiscountModel("random_forest", {"n_estimators": 3, "max_depth": 3})
+    one.train(fit_on, held_out)
+    row = D.DiscountModel("random_forest", {"n_estimators": 3, "max_depth": 3}).cross_validate(
+        prepared.matrix, "product_id", held_out=one).first()
+    own = D.regression_metrics(one.model.transform(held_out), prediction="raw_prediction", prefix="cv").first()["cv_rmse"]
+    assert len(row["cv_scores"]) == 5 and abs(row["cv_scores"][0] - own) < 1e-9
+    with pytest.raises(ValueError):
+        D.DiscountModel("xgboost").cross_validate(prepared.matrix, "product_id", held_out=one)
+
+
 def test_metrics_against_numpy(spark):
     rng = np.random.default_rng(1)
     y, p = rng.uniform(0, 90, 200), rng.uniform(0, 90, 200)
