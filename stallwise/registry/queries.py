@@ -22,6 +22,7 @@ from stallwise.operators import (
     monitoring as M,
     requests as Q,
     retrieval as R,
+    sketches as H,
 )
 from stallwise.operators.quantiles import exact_median
 from stallwise.operators.upserts import ProductIndex
@@ -735,6 +736,19 @@ def _(spark, folder):
     return rounded(M.latency_stats(events(spark, folder)), 9)
 
 
+@query("A14_latency_spans")
+@query("R8_latency_spans")
+def _(spark, folder):
+    """Figures per day out of stored sketches per minute, with how far their percentiles are from the exact ranks."""
+    everything = events(spark, folder)
+    sketches = materialise(H.latency_sketches(everything), "sketches")
+    days = H.latency_figures(sketches.withColumn("day", F.date_trunc("day", "at")), "day")
+    days = materialise(days, "latency-days")
+    errors = H.rank_errors(days, everything, F.date_trunc("day", "ts"), "day")
+    within = [(F.col(f"{q}_error") <= H.RANK_ERROR).alias(f"{q}_within") for q in H.QUANTILES]
+    return rounded(days.join(errors, ["day", "endpoint"]).select(iso("day"), "endpoint", "count", "avg", *within))
+
+
 @query("A15_error_rate")
 def _(spark, folder):
     return rounded(M.error_rate(events(spark, folder)))
