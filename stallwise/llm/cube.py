@@ -123,7 +123,7 @@ def _flier(columns: list[str], seed: int, level: int, last: bool) -> Callable[[t
     def fly(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         # large documents are decided first, so what is left undecided is small
         rows = rows.sort_values(["size", "mark", "id"], ascending=[False, True, True], kind="stable")
-        p, size, count = rows["p"].tolist(), (rows["size"] * rows["copies"]).tolist(), rows["copies"].tolist()
+        p, size, count = rows["p"].tolist(), rows["size"].tolist(), [1] * len(rows)
         draw = random.Random(f"{seed} {level} {key[0]} {key[1]}").random
         undecided = flight(p, size, count, draw, SPARE if last else 0)
         if last:
@@ -138,9 +138,10 @@ def mix(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "
         seed: int = 42) -> DataFrame:
     """One row per input row: ``id, size, source_size, target, taken``; size and taken in words.
 
-    A null text has size 0, null sources are one source that comes last. Rows that repeat id, source and text size
-    are one unit and are taken alike. Sources without words have target 0; an empty table gives no rows. The choice
-    depends on the seed and the rows only, not on how they are partitioned. The driver sees one row per source.
+    A null text has size 0, null sources are one source that comes last. Of rows that agree in id, source and text size
+    as many are taken once more as their probabilities add up to, and one is left to the flight; which of them these
+    are can't be told from the columns given. Sources without words have target 0; an empty table gives no rows. The
+    choice depends on the seed and the rows only, not on how they are partitioned. The driver sees one row per source.
     """
     spark = docs.sparkSession
     marks = materialise(docs.select(F.col(id).alias("id"), F.col(source).cast("string").alias("source"),
@@ -158,9 +159,14 @@ def mix(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "
     sources = spark.createDataFrame(
         plan, "no int, name string, source_size bigint, target double, whole bigint, part double")
     placed = marks.join(sources, marks["source"].eqNullSafe(sources["name"])).drop("name", "source")
-    units = placed.where("part > 0 and size > 0").groupBy("no", "id", "size").agg(
-        F.count("*").alias("copies"), F.first("part").alias("p"))
-    units = units.withColumn("mark", F.xxhash64(F.lit(seed), "id", "size"))
+    drawn = (F.col("part") > 0) & (F.col("size") > 0)
+    # Rows alike are interchangeable in both constraints: a flight among them alone decides all but one.
+    units = placed.where(drawn).groupBy("no", "id", "size").agg(
+        F.count("*").alias("copies"), F.first("part").alias("part"))
+    expected = F.col("copies") * F.col("part")
+    units = units.withColumn("sure", F.floor(expected + 1e-9)).select(
+        "no", F.col("id").cast("string").alias("id"), "size", "copies", "sure",  # pandas has no null whole numbers
+        F.greatest(expected - F.col("sure"), F.lit(0.0)).alias("p"), F.xxhash64(F.lit(seed), "id", "size").alias("mark"))
     kind = T.StructType([*units.schema.fields])
     decided, level = [], 0
     while True:
@@ -178,8 +184,22 @@ def mix(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "
     chosen = decided[0]
     for part in decided[1:]:
         chosen = chosen.union(part)
-    chosen = chosen.select(F.col("no").alias("_no"), F.col("id").alias("_id"), F.col("size").alias("_size"), "p")
-    joined = placed.join(chosen, (F.col("no") == F.col("_no")) & (F.col("size") == F.col("_size"))
-                         & F.col("id").eqNullSafe(F.col("_id")), "left")
-    return joined.select(F.col("id").alias(id), "size", "source_size", "target", (
-        F.col("size") * (F.col("whole") + F.coalesce("p", F.lit(0.0)).cast("long"))).alias("taken"))
+    again = F.col("sure") + F.col("p").cast("long")
+    chosen = _rows(chosen.withColumn("again", again)).join(sources.drop("name"), "no").withColumn(
+        "id", F.col("id").cast(marks.schema["id"].dataType))
+    others = placed.where(~drawn).withColumn("more", F.lit(0))
+    columns = ["id", "size", "source_size", "target", "whole", "more"]
+    return chosen.select(*columns).unionByName(others.select(*columns)).select(
+        F.col("id").alias(id), "size", "source_size", "target",
+        (F.col("size") * (F.col("whole") + F.col("more"))).cast("long").alias("taken"))
+
+
+def _rows(units: DataFrame, chunk: int = 4096) -> DataFrame:
+    """``copies`` rows of each unit, the first ``again`` of them with ``more`` 1; large units are made by many tasks."""
+    one = units.where("copies = 1").select("no", "id", "size", F.col("again").alias("more"))
+    cut = units.where("copies > 1").select("*", F.explode(F.sequence(F.lit(0), F.floor((F.col("copies") - 1) / chunk)))
+                                           .alias("part_no")).repartition("no", "id", "size", "part_no")
+    first = F.col("part_no") * chunk
+    last = F.least(first + chunk, F.col("copies")) - 1
+    many = cut.select("no", "id", "size", "again", F.explode(F.sequence(first, last)).alias("at"))
+    return one.unionByName(many.select("no", "id", "size", (F.col("at") < F.col("again")).cast("long").alias("more")))

@@ -64,3 +64,20 @@ def test_odd_rows(odd, none):
         by.setdefault(r["doc_id"], set()).add((r["size"], r["taken"]))
     assert all(len(v) == 1 for v in by.values())  # repeated rows alike
     assert by[4] == {(0, 0)} and by[6] == {(0, 0)}
+
+
+def test_sources_of_rows_alike_come_near_their_targets(spark):
+    seven = "a b c d e f g"
+    rows = [(None, seven, "null ids")] * 1000 + [(1, f"{seven[:-1]}{i}", "one id") for i in range(5001)]
+    rows += [(2 ** 60 + i, seven, "long ids") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    found = C.mix(docs).collect()
+    assert sorted(str(r["doc_id"]) for r in found) == sorted(str(i) for i, _, _ in rows)
+    again = sorted(str(tuple(r)) for r in C.mix(docs.repartition(7)).collect())
+    assert sorted(str(tuple(r)) for r in found) == again
+    taken = {}
+    for r in found:
+        taken[r["target"]] = taken.get(r["target"], 0) + r["taken"]
+        assert r["taken"] in (0, 7, 14)
+    goal = C.targets({"null ids": 7000, "one id": 35007, "long ids": 2100})
+    assert len(taken) == 3 and all(abs(taken[t] - t) <= 7 for t in goal.values())
