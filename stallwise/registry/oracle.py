@@ -392,6 +392,9 @@ _BODIES = {
     "S1_csv_products": """SELECT 'U' || ord AS user_id, product_id, product_name, category, discounted_price, actual_price,
         discount_percentage, CASE WHEN rating <> 'N/A' THEN rating END AS rating, rating_count,
         md5(about_product) AS about_product_md5, md5(review_content) AS review_content_md5 FROM raw""",
+    "S1_split_csv": """SELECT 'U' || ord AS user_id, product_id, product_name, category, discounted_price, actual_price,
+        discount_percentage, CASE WHEN rating <> 'N/A' THEN rating END AS rating, rating_count,
+        md5(about_product) AS about_product_md5, md5(review_content) AS review_content_md5 FROM raw""",
     "S2_table_products": "SELECT ord, product_id, brand, actual_price_clean, discount_percentage FROM clean",
     "S3_clustered_log": SESSION_ROWS,
     "S4_append_messages": MESSAGE_ROWS,
@@ -504,7 +507,10 @@ _BODIES = {
         CASE WHEN message_count > 4 THEN strftime(last_activity, {ISO}) END AS last_activity FROM sess""",
     "J7_unexpired_messages": f"""SELECT id, session_id FROM msgs WHERE session_id NOT IN (
         SELECT session_id FROM sess WHERE last_activity < {RETENTION_NOW} - INTERVAL 30 DAY)""",
+    "G13_file_retention": f"""SELECT id, session_id FROM msgs WHERE session_id NOT IN (
+        SELECT session_id FROM sess WHERE last_activity < {RETENTION_NOW} - INTERVAL 30 DAY)""",
     "J8_cleared_messages": f"SELECT id, session_id FROM msgs WHERE NOT ({CLEARED})",
+    "J8_file_clear": f"SELECT id, session_id FROM msgs WHERE NOT ({CLEARED})",
     "J9_known_values": f"""SELECT request_id, {known('main_category', 'Electronics')},
         {known('sub_category', 'Accessories&Peripherals')}, {known('brand', 'boAt')} FROM serving""",
     "J10_bin_shares": "SELECT bin_id, round(reference_share, 6) AS reference_share, round(current_share, 6) AS current_share FROM hist",
@@ -579,6 +585,7 @@ _BODIES = {
     "A27_table_counts": """SELECT 'sessions' AS table_name, count(*) AS rows FROM sess
         UNION ALL SELECT 'messages', count(*) FROM msgs""",
     "W1_first_per_name": "SELECT ord, product_name FROM named",
+    "S2_arriving_first_rows": "SELECT ord, product_name FROM named",
     "W2_retained_messages": f"SELECT session_id, id FROM msgs QUALIFY row_number() {BACK} <= 4",
     "W3_context_text": f"""SELECT session_id, 'Previous conversation:' || chr(10) ||
         string_agg({LINE}, chr(10) ORDER BY ts, id) AS context FROM (

@@ -29,7 +29,9 @@ from stallwise.operators.upserts import ProductIndex
 from stallwise.plans import monitoring as PM, serving as PS, training as PT
 from stallwise.schemas import CATEGORICAL_FEATURES, FEATURES, NUMERIC_FEATURES, TARGET
 from stallwise.session import materialise, scratch_path
-from stallwise.sources import adapters as T, readers, stores
+from stallwise.sources import adapters as T, large_csv, readers, stores
+from stallwise.sources.arrivals import FirstSeen
+from stallwise.sources.file_log import FileLog
 from stallwise.streaming import live as SL, metrics as SM, sessions as SS, windows as SW
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -216,6 +218,31 @@ def _(spark, folder):
         *[F.md5(c).alias(f"{c}_md5") for c in ("about_product", "review_content")])
 
 
+@query("S1_split_csv")
+def _(spark, folder):
+    path = scratch_path(spark, "csv")
+    (raw_with_text(spark, folder).drop("ord").write.option("header", True).option("quote", '"')
+     .option("escape", '"').option("ignoreLeadingWhiteSpace", False)
+     .option("ignoreTrailingWhiteSpace", False).csv(path))
+    rows = large_csv.read_split_products(spark, path)
+    return rows.select(
+        "user_id", "product_id", "product_name", "category", "discounted_price", "actual_price",
+        "discount_percentage", "rating", "rating_count",
+        *[F.md5(c).alias(f"{c}_md5") for c in ("about_product", "review_content")])
+
+
+@query("S2_arriving_first_rows")
+def _(spark, folder):
+    rows = raw(spark, folder)
+    store = FirstSeen(spark, scratch_path(spark, "first-seen"), ["product_name"], "ord", rows.schema)
+    late = F.pmod(F.xxhash64("product_id"), F.lit(3))
+    for batch in range(3):
+        store.add(rows.where(late == batch), batch)
+        if batch == 1:
+            store.table.merge()
+    return store.read().select("ord", "product_name")
+
+
 @query("S2_table_products")
 def _(spark, folder):
     rows = readers.load_products(spark, raw(spark, folder), order="ord")
@@ -1156,6 +1183,28 @@ def _(spark, folder):
     return C.apply_retention(log(spark, folder), now(RETENTION_NOW))[1].select("session_id", "message_count")
 
 
+def file_log(spark, folder) -> FileLog:
+    """The log as files that came in two appends."""
+    kept, messages = FileLog(spark, scratch_path(spark, "file-log")), log(spark, folder)
+    kept.append(messages.filter("role <> 'assistant'"))
+    kept.append(messages.filter("role = 'assistant'"))
+    return kept
+
+
+@query("G13_file_retention")
+def _(spark, folder):
+    kept = file_log(spark, folder)
+    kept.delete_sessions(C.expired_sessions(C.sessions(kept.read()), now(RETENTION_NOW)))
+    return kept.read().select("id", "session_id")
+
+
+@query("J8_file_clear")
+def _(spark, folder):
+    kept = file_log(spark, folder)
+    kept.delete_sessions(kept.read().filter(CLEARED))
+    return kept.read().select("id", "session_id")
+
+
 # -- monitoring rules ------------------------------------------------------------------------
 
 @query("R1_metric_events")

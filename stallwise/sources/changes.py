@@ -12,6 +12,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from stallwise.sources import versions
+
 MANIFEST = "version int, bucket int, folder string"
 BATCH, BUCKET, GONE = "_batch", "_bucket", "_gone"
 
@@ -30,20 +32,14 @@ class ChangeTable:
         self.stored = T.StructType([*self.schema.fields, T.StructField(GONE, T.BooleanType()),
                                     T.StructField(BATCH, T.LongType())])
 
-    def _exists(self, path: str) -> bool:
-        location = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        return location.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).exists(location)
-
     def version(self) -> int:
         """Number of the last finished merge; 0 before the first."""
         return self._manifest()[0]
 
     def _manifest(self) -> tuple[int, dict[int, str]]:
         """(version, folder of each bucket): as many rows as buckets, whatever the table holds."""
-        version, at = 0, f"{self.path}/manifest"
-        # The folder of a version exists in whole or not at all: its one file comes there by a rename.
-        while self._exists(f"{at}/version={version + 1}/_SUCCESS"):
-            version += 1
+        at = f"{self.path}/manifest"
+        version = max(versions.numbers(self.spark, at), default=0)
         if not version:
             return 0, {}
         rows = self.spark.read.schema(MANIFEST).json(f"{at}/version={version}").collect()
@@ -61,7 +57,7 @@ class ChangeTable:
 
     def _since(self, version: int) -> DataFrame | None:
         at = f"{self.path}/delta/since={version}"
-        if not self._exists(at):
+        if not versions.exists(self.spark, at):
             return None
         folders = [T.StructField("batch", T.LongType()), T.StructField(BUCKET, T.IntegerType())]
         return self.spark.read.schema(T.StructType([*self.stored.fields, *folders])).parquet(at)
@@ -104,8 +100,27 @@ class ChangeTable:
         folder = f"{self.path}/snapshot/{version + 1}-{uuid.uuid4().hex}"
         self._latest([old, since]).withColumn(BUCKET, self._bucket()).repartition(BUCKET).write.partitionBy(
             BUCKET).parquet(folder)
-        here = {b: folder for b in touched if self._exists(f"{folder}/{BUCKET}={b}")}  # a bucket may be empty now
+        here = {b: folder for b in touched if versions.exists(self.spark, f"{folder}/{BUCKET}={b}")}  # a bucket may be empty now
         links = {**{b: f for b, f in folders.items() if b not in touched}, **here}
         rows = [(version + 1, b, f) for b, f in sorted(links.items())]
-        self.spark.createDataFrame(rows, MANIFEST).coalesce(1).write.json(f"{self.path}/manifest/version={version + 1}")
+        versions.publish(self.spark.createDataFrame(rows, MANIFEST), f"{self.path}/manifest", version + 1)
         return version + 1
+
+    def clean(self) -> int:
+        """Remove what only versions before the last merge need; the number of folders removed.
+
+        For times when no reader still uses an older version.
+        """
+        version, folders = self._manifest()
+        old = [f"{self.path}/delta/{n}" for n in versions.names(self.spark, f"{self.path}/delta")
+               if int(n.split("=")[1]) < version]
+        used = {f"{folder}/{BUCKET}={bucket}" for bucket, folder in folders.items()}
+        for n in versions.names(self.spark, f"{self.path}/snapshot"):
+            folder = f"{self.path}/snapshot/{n}"
+            if folder not in folders.values():
+                old.append(folder)
+            else:
+                old += [f"{folder}/{b}" for b in versions.names(self.spark, folder)
+                        if b.startswith(f"{BUCKET}=") and f"{folder}/{b}" not in used]
+        before = [n for n in versions.numbers(self.spark, f"{self.path}/manifest") if n < version]
+        return versions.remove(self.spark, [*old, *(f"{self.path}/manifest/version={n}" for n in before)])
