@@ -41,24 +41,34 @@ _NAME = rf"(?!(?:{_TITLE})(?!\p{{L}}))\p{{Lu}}(?:\p{{L}}++|['’-](?!s(?!\p{{L}}
 #: Further words of a name, single letters between them.
 _MORE = rf"(?:(?: \p{{Lu}}(?!\p{{L}})\.?)*+ {_NAME})"
 _RUN = rf"(?:\p{{Lu}}\.? )*+{_NAME}{_MORE}*+"
+_OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
+_HEX = "[0-9A-Fa-f]{1,4}"
+#: What tokens of well-known services begin with.
+_TOKEN = r"AKIA|gh[pousr]_|github_pat_|xox[abprs]-|sk-"
 #: Kinds in the order in which they are tried; each pattern matches a whole mention, that of names a run of words, each
 #: of which is a mention.
 KINDS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]++(?:\.[\p{L}\p{N}-]++)++",
     "secret": r"(?<=(?i:password|passwd|token|secret|api[_-]?key)[\"']?[ ]{0,2}[=:][ ]{0,2}[\"']?)[A-Za-z0-9_+/=~.-]{7,}[A-Za-z0-9_+/=~-]"
-              r"|(?<![A-Za-z0-9])AKIA[A-Z0-9]{16}(?![A-Za-z0-9])",
+              r"|(?<![A-Za-z0-9])AKIA[A-Z0-9]{16}(?![A-Za-z0-9])"
+              r"|(?<![A-Za-z0-9_-])(?:gh[pousr]_[A-Za-z0-9]{30,}+|github_pat_[A-Za-z0-9_]{22,}+|xox[abprs]-[A-Za-z0-9-]{10,}+"
+              r"|sk-[A-Za-z0-9_-]{20,}+)"
+              r"|(?<=-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----)[A-Za-z0-9+/=\s]{40,}+(?=-----END)",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
-    "ip": r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])",
+    "ip": rf"(?<![0-9.])(?<!(?i:\bv|version|release|build)[ ]?){_OCTET}(?:\.{_OCTET}){{3}}(?![0-9]|\.[0-9])"
+          rf"|(?<![0-9A-Za-z:.])(?=[0-9A-Fa-f:]{{0,39}}[0-9])(?:(?:{_HEX}:){{7}}{_HEX}"
+          rf"|(?:{_HEX}:){{1,6}}(?::{_HEX}){{1,6}})(?![0-9A-Za-z:])",
     "phone": r"\+[0-9]{1,3}[ .-]?\([0-9]{2,4}\)[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}(?![0-9])"
              r"|\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,4}(?![0-9])"
+             r"|(?<![0-9.,+-])0[0-9]{2,4}[ -][0-9]{3,4}[ -]?[0-9]{3,4}(?![0-9]|[ -][0-9])"
              r"|(?<![0-9])\([0-9]{3}\)[ ]?[0-9]{3}-[0-9]{4}(?![0-9])|(?<![0-9-])[0-9]{3}-[0-9]{3}-[0-9]{4}(?![0-9-])",
-    "card": r"(?<![0-9])[0-9]{4}(?:[ -]?[0-9]{4}){2}[ -]?[0-9]{1,7}(?![0-9])",
+    "card": r"(?<![0-9])[2-6][0-9]{3}(?:[ -]?[0-9]{4}){2}[ -]?[0-9]{1,7}(?![0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "name": rf"(?=\p{{Lu}})(?:(?<=(?<!\p{{L}})(?:{_TITLE})\.? ){_RUN}|(?<!\p{{L}})(?:{_ALL_GIVEN}){_MORE}++)",
 }
 ANY = "|".join(f"(?:{p})" for p in KINDS.values())
 #: A cheap sign that a text may hold a mention at all: every text that a pattern of KINDS matches has it.
-_SIGN = rf"[0-9@]|AKIA|(?i:password|passwd|token|secret|api[_-]?key)|(?<!\p{{L}})(?:{_TITLE}|{_ALL_GIVEN})(?!\p{{L}})"
+_SIGN = rf"[0-9@]|{_TOKEN}|PRIVATE KEY-----|(?i:password|passwd|token|secret|api[_-]?key)|(?<!\p{{L}})(?:{_TITLE}|{_ALL_GIVEN})(?!\p{{L}})"
 #: Letters and digits that replace one another: name of the script, first and last code point of a run.
 RUNS = [("digit", 0x30, 0x39), ("latin", 0x41, 0x5A), ("latin", 0x61, 0x7A), ("cyrillic", 0x410, 0x42F),
         ("cyrillic", 0x430, 0x44F), ("greek", 0x391, 0x3A1), ("greek", 0x3B1, 0x3C1), ("hebrew", 0x5D0, 0x5EA),
@@ -66,22 +76,27 @@ RUNS = [("digit", 0x30, 0x39), ("latin", 0x41, 0x5A), ("latin", 0x61, 0x7A), ("c
         ("han", 0x4E00, 0x9FA5), ("hangul", 0xAC00, 0xD7A3)]
 
 
+#: The form of a card number.
+_CARD = r"^[0-9]{4}([ -]?[0-9]{4}){2}[ -]?[0-9]{1,7}$"
+
+
 def _kind(mention: Column) -> Column:
     """The kind of a mention by its own form (patterns that look around are told by exclusion)."""
     found = F.when(mention.contains("@"), "email")
-    found = found.when(mention.rlike(r"^[0-9]{1,3}(\.[0-9]{1,3}){3}$"), "ip")
+    found = found.when(mention.rlike(r"^[0-9]{1,3}(\.[0-9]{1,3}){3}$|^[0-9A-Fa-f]{1,4}:[0-9A-Fa-f:]+$"), "ip")
     found = found.when(mention.rlike(r"^[0-9]{3}-[0-9]{2}-[0-9]{4}$"), "ssn")
-    found = found.when(mention.rlike(r"^[+(]|^[0-9]{3}-[0-9]{3}-[0-9]{4}$"), "phone")
-    found = found.when(mention.rlike(r"^[0-9]{4}([ -]?[0-9]{4}){2}[ -]?[0-9]{1,7}$"), "card")
+    found = found.when(mention.rlike(r"^[+(]|^0[0-9]{2,4}[ -][0-9 -]+$|^[0-9]{3}-[0-9]{3}-[0-9]{4}$"), "phone")
+    found = found.when(mention.rlike(_CARD), "card")
     found = found.when(mention.rlike(r"^[A-Z]{2}[0-9]{2} ?[A-Z0-9]{4} ?[A-Z0-9]{4} ?[A-Z0-9]{4}"), "iban")
-    found = found.when(mention.rlike(r"^AKIA[A-Z0-9]{16}$"), "secret")
+    found = found.when(mention.rlike(rf"^(?:{_TOKEN})"), "secret")
     return found.when(mention.rlike(rf"^{_NAME}$") & ~mention.rlike(r"[0-9]"), "name").otherwise("secret")
 
 
 def _canonical(kind: Column, mention: Column) -> Column:
     """Spellings of one entity fall together: case of addresses, separators of numbers."""
     return F.when(kind == "email", F.lower(mention)).when(
-        kind.isin("phone", "card", "ssn", "iban"), F.regexp_replace(mention, r"[^A-Za-z0-9]", "")).otherwise(mention)
+        kind.isin("phone", "card", "ssn", "iban"), F.regexp_replace(mention, r"[^A-Za-z0-9]", "")).when(
+        (kind == "ip") & mention.contains(":"), F.lower(mention)).otherwise(mention)
 
 
 def _drawn(seed: Column, place: Column, size: Column) -> Column:
@@ -121,6 +136,22 @@ def _luhn(digits: Column) -> Column:
     return ((10 - F.aggregate(values, F.lit(0), lambda a, x: a + x) % 10) % 10).cast("string")
 
 
+def _is_mention(match: Column) -> Column:
+    """Whether what has the form of a card number also has its check digit; true of other forms."""
+    digits = F.regexp_replace(match, "[ -]", "")
+    return F.when(match.rlike(_CARD), F.substring(digits, -1, 1) == _luhn(
+        F.substr(digits, F.lit(1), F.length(digits) - 1))).otherwise(True)
+
+
+def _groups(value: Column, seed: Column) -> Column:
+    """Another hexadecimal digit for each, none of them zero where a group begins."""
+    def one(c: Column, i: Column) -> Column:
+        return F.when(c == ":", c).otherwise(F.substr(
+            F.lit("123456789abcdef"), (_drawn(seed, i, F.lit(15)) + 1).cast("int"), F.lit(1)))
+
+    return F.array_join(F.transform(F.split(value, ""), one), "")
+
+
 def _given(seed: Column, value: Column) -> Column:
     """A given name of the same gender and script, made of syllables; null when the value is no known given name."""
     def part(place: int, choices: list[str]) -> Column:
@@ -156,15 +187,17 @@ def _surrogate(kind: Column, value: Column, attempt: Column, key: str) -> Column
     # as many hexadecimal digits as asked for
     more = F.transform(F.sequence(F.lit(2), F.ceil(F.length(value) / 64).cast("int") + 2),
                        lambda i: F.sha2(F.concat(seed, i.cast("string")), 256))
+    mark = F.regexp_extract(value, rf"^(?:{_TOKEN})", 0)
     given = _given(seed, value)
     name = F.when(given.isNotNull(), given).when(
         value.rlike(r"^\p{IsCyrillic}") & value.rlike("(ова|ева|ина|ая)$"),
         F.concat(F.substr(mixed, F.lit(1), F.length(value) - 3), F.substr(value, F.length(value) - 2, F.lit(3)))).otherwise(mixed)
-    return (F.when(kind == "email", domain).when(kind == "ip", _octets(value, seed, attempt))
+    return (F.when(kind == "email", domain).when(kind == "ip", F.when(
+                value.contains(":"), _groups(value, seed)).otherwise(_octets(value, seed, attempt)))
             .when(kind == "card", F.concat(number, _luhn(number))).when(kind == "phone", phone)
             .when(kind == "iban", F.concat(F.substring(value, 1, 2), F.substr(mixed, F.lit(3), F.length(value))))
-            .when(kind == "name", name).when((kind == "secret") & value.startswith("AKIA"),
-                                             F.concat(F.lit("AKIA"), F.substr(mixed, F.lit(5), F.length(value))))
+            .when(kind == "name", name).when((kind == "secret") & (mark != ""), F.concat(
+                mark, F.substr(mixed, F.length(mark) + 1, F.length(value))))
             .when((kind == "secret") & value.rlike("^[0-9a-f]+$"), F.substr(
                 F.concat(seed, F.array_join(more, "")), F.lit(1), F.length(value)))
             .when(kind == "ssn", F.concat(F.lit("9"), F.substr(mixed, F.lit(2), F.length(value))))
@@ -255,12 +288,13 @@ def replace_personal_data(docs: DataFrame, key: str, id: str = "doc_id", text: s
     """
     body = F.col(text).cast("string")
     found = F.when(body.rlike(_SIGN), F.regexp_extract_all(body, F.lit(ANY), F.lit(0)))
-    tagged = materialise(docs.select(F.col(id).alias("id"), body.alias("body"), F.coalesce(
-        found, F.array().cast("array<string>")).alias("found")), "pii-found")
-    spread = F.size("found") > 0
+    tagged = docs.select(F.col(id).alias("id"), body.alias("body"), F.coalesce(
+        found, F.array().cast("array<string>")).alias("found"))
+    tagged = materialise(tagged.withColumn("said", F.filter(
+        F.flatten(F.transform("found", _words)), _is_mention)), "pii-found")
+    spread = F.size("said") > 0
     row = F.md5(F.concat_ws("\x1f", F.col("id").cast("string"), "body"))
-    mentions = tagged.where(spread).select(row.alias("row"), F.explode(F.array_distinct(
-        F.flatten(F.transform("found", _words)))).alias("mention"))
+    mentions = tagged.where(spread).select(row.alias("row"), F.explode(F.array_distinct("said")).alias("mention"))
     kind = _kind(F.col("mention"))
     known = materialise(mentions.select("mention").distinct().withColumn("kind", kind).withColumn(
         "value", _canonical(F.col("kind"), F.col("mention"))), "pii-mentions")
@@ -276,7 +310,7 @@ def replace_personal_data(docs: DataFrame, key: str, id: str = "doc_id", text: s
     later = F.when(F.size("names") > 0, F.transform(parts, lambda p: _later(p, F.col("names")))).otherwise(
         F.transform(parts, lambda p: F.struct(p.alias("said"), F.lit(0).alias("n"))))
     shown = F.transform("found", lambda m: _instead(m, F.col("instead")))
-    n_found = F.size(F.flatten(F.transform("found", _words)))
+    n_found = F.size("said")
     n_later = F.aggregate("later.n", F.lit(0), lambda a, x: a + x)
     changed = tagged.where(spread).withColumn("row", row).join(own, "row").withColumn("later", later).select(
         "id", _woven(F.col("later.said"), shown).alias("text"), (n_found + n_later).cast("long").alias("n_mentions"),
