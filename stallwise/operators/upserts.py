@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from stallwise.operators.retrieval import DIMENSION
 from stallwise.session import materialise
+from stallwise.sources import versions
 from stallwise.sources.changes import ChangeTable
 
 COMMIT = "documents long, frequencies array<long>, schema string"
@@ -55,7 +56,7 @@ class ProductIndex:
 
     def state(self) -> tuple[int, int, list[int]]:
         """(last batch, documents, in how many of them each term place occurs); batch -1 before the first."""
-        if not self.table._exists(f"{self.path}/commits"):
+        if not versions.exists(self.spark, f"{self.path}/commits"):
             return -1, 0, [0] * self.dimension
         row = self._commits().orderBy(F.desc("batch")).first()
         return row["batch"], row["documents"], list(row["frequencies"])
