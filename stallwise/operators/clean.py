@@ -2,17 +2,41 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from stallwise.functions import parsing as P
 from stallwise.operators.ordered import first_rows
 
 
-def text_lengths(raw: DataFrame) -> DataFrame:
-    return raw.withColumns({
-        f"{name}_length": P.text_length(F.col(name))
-        for name in ("about_product", "review_content", "product_name")
-    })
+TEXTS = ("about_product", "review_content", "product_name")
+#: Texts in tables of their own: column -> (key of a product row, table of ``key`` and ``text``).
+KeyedTexts = dict[str, tuple[Column, DataFrame]]
+
+
+def text_lengths(raw: DataFrame, texts: KeyedTexts | None = None) -> DataFrame:
+    """Lengths of the three texts; one of ``texts`` is measured in its own table and joined as a number."""
+    texts = texts or {}
+    out = raw.withColumns({f"{name}_length": P.text_length(F.col(name)) for name in TEXTS if name not in texts})
+    for name, (key, table) in texts.items():
+        lengths = table.groupBy(F.col("key").alias("_key")).agg(F.min(P.text_length(F.col("text"))).alias("_length"))
+        out = out.withColumn("_key", key).join(lengths, "_key", "left").withColumn(
+            f"{name}_length", F.coalesce("_length", P.text_length(F.lit(None).cast("string")))).drop("_key", "_length")
+    return out
+
+
+def with_texts(rows: DataFrame, texts: KeyedTexts, chars: dict[str, int] | None = None) -> DataFrame:
+    """Attach ``texts`` to product rows; of texts with one key the shortest, as ``text_lengths`` takes it.
+
+    ``chars`` names the beginnings that a caller reads, so that no more than these are moved.
+    """
+    out = rows.drop(*texts)
+    for name, (key, table) in texts.items():
+        text = F.substring("text", 1, chars[name]) if chars else F.col("text")
+        one = table.groupBy(F.col("key").alias("_key")).agg(
+            F.min(F.struct(P.text_length(F.col("text")).alias("n"), text.alias("text"))).alias("_text"))
+        out = out.withColumn("_key", key).join(one, "_key", "left").withColumn(name, F.col("_text.text")).drop(
+            "_key", "_text")
+    return out
 
 
 def clean_columns(raw: DataFrame) -> DataFrame:
@@ -43,13 +67,17 @@ def valid_products(df: DataFrame) -> DataFrame:
     )
 
 
-def load_and_clean(raw: DataFrame, order: str = "ord") -> DataFrame:
+def load_and_clean(raw: DataFrame, order: str = "ord", texts: KeyedTexts | None = None) -> DataFrame:
     """Raw product rows to the cleaned product table.
 
     Names are made unique before the validity filters, as the order changes the
     result. Lengths are taken ahead of that shuffle so that plans which need only
-    the lengths do not move the texts.
+    the lengths do not move the texts. Where ``texts`` lie in tables of their own the
+    result has their lengths only; ``with_texts`` attaches them.
     """
+    if texts:
+        kept = valid_products(clean_columns(first_per_name(raw.drop(*texts), order)))
+        return text_lengths(kept, texts)
     return valid_products(clean_columns(first_per_name(text_lengths(raw), order)))
 
 

@@ -3,7 +3,7 @@ import math
 from pyspark.sql import functions as F
 
 from stallwise.operators import catalog as K
-from stallwise.operators.clean import catalogue_stats, first_per_name, load_and_clean
+from stallwise.operators.clean import catalogue_stats, first_per_name, load_and_clean, with_texts
 from stallwise.operators.features import FittedFeatures, engineer_features, label_table, mode_value
 from stallwise.plans.training import prepare
 from stallwise.schemas import CATEGORICAL_FEATURES, FEATURES, RAW_PRODUCT_COLUMNS, TARGET
@@ -116,3 +116,34 @@ def test_saved_features_keep_the_catalogue_figures(spark, sample_products, tmp_p
     again.catalogue = None
     again.save(str(tmp_path / "b"))
     assert FittedFeatures.load(spark, str(tmp_path / "b")).catalogue is None
+
+
+def test_keyed_texts_equal_joined_texts_and_stay_out_of_the_cleaned_table(spark):
+    rows = [product(f"n{i % 7}", product_id=f"P{i}") for i in range(20)] + [product(None, product_id="N")]
+    table = raw(spark, rows).drop("about_product", "review_content")
+    documents = spark.createDataFrame(
+        [(i, None if i == 3 else "é" * i + "x") for i in range(6)] * 2 + [(None, "lost")], "key long, text string")
+    texts = {"about_product": (F.when(F.col("ord") != 1, F.col("ord").cast("long")), documents),
+             "review_content": (F.col("ord").cast("long") + 3, documents)}
+    once = documents.distinct()
+    about, review = (once.select(F.col("key").alias(k), F.col("text").alias(c))
+                     for k, c in (("a", "about_product"), ("r", "review_content")))
+    joined = table.join(about, (F.col("a") == F.col("ord")) & (F.col("ord") != 1), "left").join(
+        review, F.col("r") == F.col("ord") + 3, "left").drop("a", "r")
+    want = load_and_clean(joined)
+    slim = load_and_clean(table, texts=texts)
+    assert "about_product" not in slim.columns and "review_content" not in slim.columns
+    keep = [c for c in want.columns if c not in texts]
+    assert sorted(slim.select(keep).collect(), key=str) == sorted(want.select(keep).collect(), key=str)
+    whole = with_texts(slim, texts).select(want.columns)
+    assert sorted(whole.collect(), key=str) == sorted(want.collect(), key=str) and whole.count() == 8
+    begin = with_texts(slim, texts, {"about_product": 2, "review_content": 1}).select("ord", "about_product", "review_content")
+    cut = want.select("ord", F.substring("about_product", 1, 2), F.substring("review_content", 1, 1))
+    assert sorted(begin.collect(), key=str) == sorted(cut.collect(), key=str)
+
+
+def test_the_catalogue_of_the_queries_holds_no_texts(spark):
+    from stallwise.registry import queries as R
+
+    folder = "/root/testdata/sf0.001"
+    assert not {"about_product", "review_content"} & set(R.cleaned(spark, folder).columns)
