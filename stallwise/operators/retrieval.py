@@ -24,9 +24,10 @@ THRESHOLD = 0.3
 SERVING_THRESHOLD = 0.0
 #: Bytes of query vectors held by every executor at a time.
 BLOCK_BYTES = 64 * 1024 * 1024
-#: Documents scored in one matrix product, fewer when there are so many queries that it would have more cells than
-#: the second figure. A task holds about four matrices of that size, 8 bytes a cell.
+#: Documents and queries scored in one matrix product, fewer documents when the matrix would have more cells than the
+#: last figure. A task holds about four matrices of that size, 8 bytes a cell.
 DOCUMENT_ROWS = 1024
+QUERY_ROWS = 2048
 SCORE_CELLS = 8 * 1024 * 1024
 #: Scores are compared at this precision, so equal vectors tie and fall back to the id.
 SCORE_DECIMALS = 12
@@ -101,10 +102,10 @@ class _Best:
         if self.ids is None or self.scores.shape[1] < self.k:
             rows = np.arange(scores.shape[0])
         else:
-            rows = np.flatnonzero(scores.max(axis=1) >= self.scores[:, -1])
+            rows = np.flatnonzero(np.round(scores.max(axis=1), SCORE_DECIMALS) >= self.scores[:, -1])
         if not len(rows):
             return
-        part = scores[rows]
+        part = np.round(scores[rows], SCORE_DECIMALS)  # rounding keeps the order, so only rows that change need it
         # Stable, and the ids ascend: of equal scores the smallest ids stay.
         top = np.argsort(-part, axis=1, kind="stable")[:, :keep]
         new_scores, new_ids = np.take_along_axis(part, top, axis=1), ids[top]
@@ -127,23 +128,26 @@ def _partition_top_k(queries, k: int, id_field: pa.Field, out: pa.Schema):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         query_ids, matrix = queries.value
-        best = _Best(len(query_ids), k)
-        step = max(1, min(DOCUMENT_ROWS, SCORE_CELLS // len(query_ids)))
+        slices = [slice(at, at + QUERY_ROWS) for at in range(0, len(query_ids), QUERY_ROWS)]
+        kept = [_Best(len(query_ids[part]), k) for part in slices]
+        step = max(1, min(DOCUMENT_ROWS, SCORE_CELLS // min(QUERY_ROWS, len(query_ids))))
         for batch in batches:
             for start in range(0, batch.num_rows, step):
                 piece = batch.slice(start, step)
                 ids = np.asarray(piece.column(0).to_pylist())
                 order = np.argsort(ids, kind="stable")
-                scores = matrix @ _unit_rows(piece.column(1))[order].T
-                best.offer(np.round(scores, SCORE_DECIMALS), ids[order])
-        if best.ids is None:
-            return
-        width = best.scores.shape[1]
-        yield pa.record_batch([
-            pa.array(np.repeat(query_ids, width).tolist(), type=out.field(0).type),
-            pa.array(best.ids.ravel().tolist(), type=id_field.type),
-            pa.array(best.scores.ravel()),
-        ], schema=out)
+                ids, units = ids[order], _unit_rows(piece.column(1))[order].T
+                for part, best in zip(slices, kept):
+                    best.offer(matrix[part] @ units, ids)
+        for part, best in zip(slices, kept):
+            if best.ids is None:
+                return
+            width = best.scores.shape[1]
+            yield pa.record_batch([
+                pa.array(np.repeat(query_ids[part], width).tolist(), type=out.field(0).type),
+                pa.array(best.ids.ravel().tolist(), type=id_field.type),
+                pa.array(best.scores.ravel()),
+            ], schema=out)
 
     return run
 
@@ -178,6 +182,8 @@ def top_k(
         picked = materialise(picked.repartition("_block"), "query-blocks")
 
     docs = documents.select(F.col(doc_id).alias("id"), F.col(doc_vector).cast("array<float>").alias("v"))
+    if blocks > 1:  # read once per block, so not made once per block
+        docs = materialise(docs, "query-documents")
     id_type = docs.schema["id"].dataType
     query_type = queries.schema[query_id].dataType
     schema = f"query_id {query_type.simpleString()}, doc_id {id_type.simpleString()}, score double"

@@ -76,3 +76,23 @@ def test_top_k_leaves_out_broken_vectors(spark):
     table = spark.createDataFrame(rows, "id long, embedding array<float>")
     hits = R.top_k(table, table, 3, query_id="id")
     assert {(r["query_id"], r["doc_id"]) for r in hits.collect()} == {(1, 1), (1, 3), (3, 3), (3, 1)}
+
+
+def test_a_task_holds_few_scores_however_many_queries(monkeypatch):
+    import tracemalloc
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(5)
+    queries, docs = rng.normal(size=(20_000, 16)), rng.normal(size=(1500, 16)).astype("float32")
+    queries /= np.linalg.norm(queries, axis=1, keepdims=True)
+    out = pa.schema([("query_id", pa.int64()), ("doc_id", pa.int64()), ("score", pa.float64())])
+    run = R._partition_top_k(SimpleNamespace(value=(np.arange(len(queries)), queries)), 4, out.field(1), out)
+    batch = pa.record_batch([pa.array(range(len(docs))), pa.array(list(docs), pa.list_(pa.float32()))], names=["id", "v"])
+    tracemalloc.start()
+    found = [pair for b in run([batch]) for pair in zip(*(c.to_pylist() for c in b.columns)) if pair[0] < 200]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 150e6  # one matrix of all queries took several times 67 MB
+    assert {(q, d) for q, d, _ in found} == {(q, d) for q, d, _ in brute(queries[:200], docs.astype("float64"), 4)}
