@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -20,59 +21,93 @@ from stallwise.streaming.state import start_batches
 
 #: Parts of one (kind, window), so that a kind with most records is no single key.
 SALTS = 16
+#: State keys that the parts are dealt to: a key costs some calls a batch, so there is no key for each part.
+BUCKETS = 256
+#: Records of one entry of the state.
+CHUNK_ROWS = 10_000
+WINDOW = ["kind", "minute_ms", "salt"]
 CHANGE = "status string, kind string, minute_ms long, salt int, ids array<long>, latencies array<double>"
+CHUNK = ("kind array<string>, minute_ms array<long>, salt array<int>, named array<boolean>, event_id array<long>, "
+         "latency array<double>")
+RECORD = {"kind": object, "minute_ms": "int64", "salt": "int32", "named": bool, "event_id": "int64", "latency": "float64"}
 
 
-class _OpenWindow(StatefulProcessor):
-    """Records of one (kind, window, salt) until the watermark passes the window's end."""
+class _OpenWindows(StatefulProcessor):
+    """Records of one bucket's windows, each window until the watermark passes its end.
+
+    One timer a bucket, at the end of the earliest window it holds.
+    """
 
     def __init__(self, length_ms: int):
         self.length_ms = length_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.chunks = handle.getListState("chunks", "ids array<long>, latencies array<double>")
-
-    def _row(self, status: str, key: tuple, ids: list, latencies: list) -> pd.DataFrame:
-        return pd.DataFrame({"status": [status], "kind": [key[0]], "minute_ms": [key[1]], "salt": [key[2]],
-                             "ids": [ids], "latencies": [latencies]})
+        self.chunks = handle.getListState("chunks", CHUNK)
+
+    def _held(self) -> pd.DataFrame:
+        chunks = [dict(zip(RECORD, chunk)) for chunk in self.chunks.get()]
+        return pd.DataFrame({
+            name: pd.Series(np.concatenate([np.array(c[name], kind) for c in chunks]) if chunks else [], dtype=kind)
+            for name, kind in RECORD.items()})
+
+    def _append(self, rows: pd.DataFrame) -> None:
+        for at in range(0, len(rows), CHUNK_ROWS):
+            part = rows.iloc[at:at + CHUNK_ROWS]
+            self.chunks.appendValue(tuple(part[name].tolist() for name in RECORD))
+
+    def _changes(self, status: str, rows: pd.DataFrame) -> pd.DataFrame:
+        """One row per window of ``rows``."""
+        rows = rows.sort_values(WINDOW, kind="stable")
+        new = (rows[WINDOW] != rows[WINDOW].shift()).any(axis=1).to_numpy()
+        starts = np.flatnonzero(new)
+        spans = list(zip(starts.tolist(), [*starts[1:].tolist(), len(rows)]))
+        ids = rows["event_id"].astype(object).where(rows["named"], None).tolist()
+        latencies = rows["latency"].astype(object).where(rows["latency"].notna(), None).tolist()
+        return pd.DataFrame({
+            "status": status, **{name: rows[name].to_numpy()[starts] for name in WINDOW},
+            "ids": [ids[a:b] for a, b in spans], "latencies": [latencies[a:b] for a, b in spans]})
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        ids, latencies = [], []
-        seen: set[int] = set()
-        held = list(self.chunks.get())
-        for chunk in held:
-            seen.update(i for i in chunk[0] if i is not None)
-        for frame in rows:
-            for i, latency in zip(frame["event_id"], frame["latency"]):
-                i = None if pd.isna(i) else int(i)
-                if i is None or i not in seen:
-                    seen.add(i)
-                    ids.append(i)
-                    latencies.append(None if pd.isna(latency) else float(latency))
-        if not ids:
-            return
-        end = key[1] + self.length_ms
-        if not held and end <= timerValues.getCurrentWatermarkInMs():
-            yield self._row("late", key, ids, latencies)
+        held = self._held()
+        new = pd.concat([frame[list(RECORD)] for frame in rows], ignore_index=True).astype(RECORD)
+        both = pd.concat([held, new], ignore_index=True)
+        again = both["named"] & both.duplicated([*WINDOW, "named", "event_id"])
+        new = both[len(held):][~again[len(held):]]
+        if new.empty:
             return
-        if not held:
-            self.handle.registerTimer(end)
-        self.chunks.appendValue((ids, latencies))
+        late = new["minute_ms"] + self.length_ms <= timerValues.getCurrentWatermarkInMs()
+        if late.any() and len(held):  # a window that is held takes records until its timer
+            late &= ~pd.MultiIndex.from_frame(new[WINDOW]).isin(pd.MultiIndex.from_frame(held[WINDOW].drop_duplicates()))
+        kept = new[~late]
+        if len(kept):
+            first, before = int(kept["minute_ms"].min()), int(held["minute_ms"].min()) if len(held) else None
+            if before is None or first < before:
+                if before is not None:
+                    self.handle.deleteTimer(before + self.length_ms)
+                self.handle.registerTimer(first + self.length_ms)
+            self._append(kept)
+        if late.any():
+            yield self._changes("late", new[late])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        ids, latencies = [], []
-        for chunk in self.chunks.get():
-            ids += chunk[0]
-            latencies += chunk[1]
+        held = self._held()
+        passed = max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs())
+        over = held["minute_ms"] + self.length_ms <= passed
+        rest = held[~over]
         self.chunks.clear()
-        yield self._row("closed", key, ids, latencies)
+        if len(rest):
+            self._append(rest)
+            self.handle.registerTimer(int(rest["minute_ms"].min()) + self.length_ms)
+        if over.any():
+            yield self._changes("closed", held[over])
 
     def close(self) -> None:
         pass
 
 
-def window_changes(events: DataFrame, lateness: str, seconds: int = 60, salts: int = SALTS) -> DataFrame:
+def window_changes(events: DataFrame, lateness: str, seconds: int = 60, salts: int = SALTS, buckets: int = BUCKETS
+                   ) -> DataFrame:
     """Closed windows and late records of a stream of ``event_id, ts, kind, latency``.
 
     The time column stays behind at the watermark: Spark drops late rows before a stateful operator that sees it,
@@ -84,9 +119,12 @@ def window_changes(events: DataFrame, lateness: str, seconds: int = 60, salts: i
         "ts IS NOT NULL").withWatermark("ts", lateness)
     keyed = timed.select(
         F.coalesce("kind", F.lit("")).alias("kind"), place.cast("long").alias("minute_ms"),
-        F.pmod(F.xxhash64("event_id"), F.lit(salts)).cast("int").alias("salt"), "event_id", "latency")
-    return keyed.groupBy("kind", "minute_ms", "salt").transformWithStateInPandas(
-        _OpenWindow(seconds * 1000), CHANGE, "Update", "EventTime")
+        F.pmod(F.xxhash64("event_id"), F.lit(salts)).cast("int").alias("salt"),
+        F.col("event_id").isNotNull().alias("named"), F.coalesce("event_id", F.lit(0)).cast("long").alias("event_id"),
+        F.col("latency").cast("double").alias("latency"))
+    bucket = F.pmod(F.xxhash64("minute_ms", "salt"), F.lit(buckets)).cast("int")
+    return keyed.withColumn("bucket", bucket).groupBy("bucket").transformWithStateInPandas(
+        _OpenWindows(seconds * 1000), CHANGE, "Update", "EventTime")
 
 
 def _figures(latencies: Column) -> list[Column]:
@@ -102,14 +140,14 @@ def _figures(latencies: Column) -> list[Column]:
 
 
 def close_windows(events: DataFrame, path: str, checkpoint: str, lateness: str = "10 minutes", seconds: int = 60,
-                  salts: int = SALTS):
+                  salts: int = SALTS, buckets: int = BUCKETS):
     """Run the stream; each batch overwrites its own folder, so a repeated batch changes nothing."""
     def keep(batch: DataFrame, batch_id: int) -> None:
         batch.select("status", "kind", F.timestamp_millis("minute_ms").alias("minute"), "ids", "latencies",
                      *_figures(F.col("latencies"))).write.mode("overwrite").partitionBy("status").parquet(
             f"{path}/batch={batch_id}")
 
-    return start_batches(window_changes(events, lateness, seconds, salts), keep, checkpoint)
+    return start_batches(window_changes(events, lateness, seconds, salts, buckets), keep, checkpoint)
 
 
 def _stored(spark, path: str) -> DataFrame:

@@ -55,6 +55,27 @@ def test_windows_close_and_late_records_correct_them(spark, tmp_path):
     assert W.late_records(spark, str(tmp_path / "out")).where("event_id IS NOT NULL").count() == 40
 
 
+def test_state_keys_do_not_grow_with_the_windows(spark, tmp_path):
+    rows = [(i if i % 7 else None, START + dt.timedelta(seconds=9 * i), None if i % 5 == 0 else "query",
+             None if i % 4 == 0 else i / 1000) for i in range(1, 2001)]    # 300 minutes
+    parts = [rows[::2], [r for r in rows[1::2] if r[0]] + rows[:10], [(5000, START + dt.timedelta(days=1), "query", 0.1)]]
+    events = arrive(spark, str(tmp_path / "in"), parts, EVENT)
+    query = W.close_windows(events, str(tmp_path / "out"), str(tmp_path / "c"), lateness="1 hour", buckets=4)
+    query.awaitTermination()
+    held = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
+    assert max(held) <= 4 * 3  # some chunks and a timer for each bucket
+    seen, want = set(), {}
+    for i, at, kind, latency in (r for part in parts[:2] for r in part):
+        if i is None or i not in seen:
+            seen.add(i)
+            key = (str(at.replace(second=0)), kind or "")
+            n, total = want.get(key, (0, 0.0))
+            want[key] = n + 1, round(total + (latency or 0), 6)
+    found = {(str(r["minute"]), r["kind"]): (r["records"], round(r["latency_sum"] or 0, 6))
+             for r in W.counts(spark, str(tmp_path / "out")).collect()}
+    assert found == want
+
+
 def messages(n, sessions, start=START, step=60):
     return [(i, f"s{i % sessions}", "user" if i % 2 else "assistant", f"m{i}", start + dt.timedelta(seconds=i * step))
             for i in range(n)]
