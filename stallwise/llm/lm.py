@@ -41,42 +41,79 @@ def load_pieces(path: str) -> tuple[dict[str, int], np.ndarray]:
     return pieces, 1.0 / (np.arange(len(pieces) + 256) + 10.0)
 
 
+class Trie:
+    """Pieces of at most ``longest`` characters by character, as sorted (node, character) keys."""
+
+    def __init__(self, pieces: dict[str, int], longest: int):
+        children: dict[int, int] = {}
+        numbers = [-1]
+        for piece, number in pieces.items():
+            if 0 < len(piece) <= longest:
+                node = 0
+                for char in piece:
+                    key = node << 21 | ord(char)
+                    if key not in children:
+                        children[key] = len(numbers)
+                        numbers.append(-1)
+                    node = children[key]
+                numbers[node] = number
+        self.longest, self.numbers = longest, np.array(numbers)
+        self.keys = np.array(sorted(children), np.int64)
+        self.children = np.array([children[key] for key in self.keys.tolist()], np.int64)
+
+    def step(self, nodes: np.ndarray, chars: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(which of the nodes have a child by their character, these children)."""
+        keys = nodes << 21 | chars
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        there = np.flatnonzero(self.keys[at] == keys) if len(self.keys) else np.zeros(0, np.int64)
+        return there, self.children[at[there]]
+
+
 class Lattice:
     """All edges of many words' lattices: node ``source`` to node ``target`` by ``piece``."""
 
-    def __init__(self, words: list[str], pieces: dict[str, int], longest: int):
-        get, n_pieces = pieces.get, len(pieces)
-        source, target, piece, position, first, last = [], [], [], [], [], []
-        extra, node = [], 0     # extra: log weight factors of byte paths are sums of several pieces
-        for word in words:
-            text = SPACE + word
-            n = len(text)
-            first.append(node)
-            last.append(node + n)
-            for i in range(n):
-                known = False
-                for j in range(i + 1, min(n, i + longest) + 1):
-                    p = get(text[i:j])
-                    if p is not None:
-                        source.append(node + i)
-                        target.append(node + j)
-                        piece.append(p)
-                        position.append(j)
-                        known = known or j == i + 1
-                if not known:  # a character outside the vocabulary is spelled in bytes
-                    raw = text[i].encode("utf-8", "replace")
-                    source.append(node + i)
-                    target.append(node + i + 1)
-                    piece.append(n_pieces + raw[0])
-                    position.append(i + 1)
-                    extra.append((len(source) - 1, [n_pieces + b for b in raw[1:]]))
-            node += n + 1
-        self.nodes, self.first, self.last = node, np.array(first), np.array(last)
-        order = np.lexsort((np.array(target), np.array(position)))
+    def __init__(self, words: list[str], pieces: dict[str, int], longest: int, trie: Trie | None = None):
+        trie, n_pieces = trie or Trie(pieces, longest), len(pieces)
+        text = "".join([SPACE + word for word in words])
+        chars = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        sizes = np.array([len(word) + 1 for word in words], np.int64)
+        ends = np.cumsum(sizes)
+        word_of = np.repeat(np.arange(len(words)), sizes)
+        node, end = np.arange(len(chars)) + word_of, ends[word_of]     # a word has a node more than characters
+        position = np.arange(len(chars)) - (ends - sizes)[word_of]
+        at, state = np.arange(len(chars)), np.zeros(len(chars), np.int64)
+        spelled = np.ones(len(chars), bool)     # a character outside the vocabulary is spelled in bytes
+        source, piece, length = [], [], []
+        for size in range(1, trie.longest + 1):
+            inside = np.flatnonzero(at + size <= end[at])
+            at, state = at[inside], state[inside]
+            there, state = trie.step(state, chars[at + size - 1])
+            at = at[there]
+            number = trie.numbers[state]
+            whole = np.flatnonzero(number >= 0)
+            if size == 1:
+                spelled[at[whole]] = False
+            source.append(at[whole])
+            piece.append(number[whole])
+            length.append(np.full(len(whole), size))
+        by_bytes = np.flatnonzero(spelled)
+        raw = [text[i].encode("utf-8", "replace") for i in by_bytes.tolist()]
+        before = sum(map(len, source))  # log weight factors of byte paths are sums of several pieces
+        extra = [(before + n, [n_pieces + b for b in own[1:]]) for n, own in enumerate(raw)]
+        source = np.concatenate([*source, by_bytes])
+        piece = np.concatenate([*piece, np.array([n_pieces + own[0] for own in raw], np.int64)])
+        length = np.concatenate([*length, np.ones(len(raw), np.int64)])
+        self.nodes = len(chars) + len(words)
+        self.last = ends + np.arange(len(words))
+        self.first = self.last - sizes
+        position, source = position[source] + length, node[source]
+        target = source + length
+        # by place in the word, then by target, then by source
+        order = np.argsort((position * (self.nodes + 1) + target) * (trie.longest + 2) - length, kind="stable")
         place = np.empty(len(order), np.int64)
         place[order] = np.arange(len(order))
-        self.source, self.target, self.piece = (np.array(x, np.int64)[order] for x in (source, target, piece))
-        steps = np.array(position)[order]
+        self.source, self.target, self.piece = source[order], target[order], piece[order]
+        steps = position[order]
         self.steps = np.split(np.arange(len(order)), np.flatnonzero(np.diff(steps)) + 1) if len(order) else []
         self.bytes_at = place[np.array([e for e, rest in extra for _ in rest], np.int64)]
         self.bytes_of = np.array([b for _, rest in extra for b in rest], np.int64)
@@ -246,13 +283,14 @@ def document_scores(docs: DataFrame, path: str, held_out: Column, id: str = "doc
     starts = np.zeros(size, bool)
     starts[[n for p, n in pieces.items() if p.startswith(SPACE)]] = True
     log_p = _normal(np.repeat(weight[:, None], k, axis=1) / weight.sum() * 1e4, starts, np.full(k, 3e3))
-    sent = spark.sparkContext.broadcast(pieces)
+    sent = spark.sparkContext.broadcast((pieces, Trie(pieces, longest)))
 
     def batches_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, Lattice]]:
+        pieces, trie = sent.value
         for batch in batches:
             for at in range(0, batch.num_rows, WORDS):
                 part = batch[at:at + WORDS]
-                yield part, Lattice([w.as_py().decode("utf-8", "replace") for w in part.column(0)], sent.value, longest)
+                yield part, Lattice([w.decode("utf-8", "replace") for w in part.column(0).to_pylist()], pieces, longest, trie)
 
     for _ in range(rounds):
         now = spark.sparkContext.broadcast(log_p)

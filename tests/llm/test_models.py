@@ -181,6 +181,24 @@ def test_lattice_sums_all_segmentations_and_expectations_are_its_slopes():
         assert slope == pytest.approx(uses[pieces[piece]], abs=1e-4)
 
 
+def test_a_lattice_holds_every_piece_of_every_word():
+    pieces = {p: i for i, p in enumerate(["▁", "▁a", "a", "b", "ab", "abab", "ba", "▁abab", "日本", "本"])}
+    words = ["abab", "", "xaby", "日本a", "b" * 30, "aba\U0001f600"]
+    for longest in (2, 5):
+        found = L.Lattice(words, pieces, longest, L.Trie(pieces, longest))
+        edges, node = set(), 0
+        for text in ("▁" + w for w in words):
+            for i in range(len(text)):
+                own = {(node + i, node + j, pieces[text[i:j]]) for j in range(i + 1, min(len(text), i + longest) + 1)
+                       if text[i:j] in pieces}
+                if not any(target == node + i + 1 for _, target, _ in own):
+                    own.add((node + i, node + i + 1, len(pieces) + text[i].encode()[0]))
+                edges |= own
+            node += len(text) + 1
+        assert found.nodes == node and len(found.source) == len(edges)
+        assert set(zip(found.source.tolist(), found.target.tolist(), found.piece.tolist())) == edges
+
+
 def test_scores_of_a_small_corpus(spark, odd, none):
     docs = spark.createDataFrame(
         [(i, t, "en") for i, t in enumerate(["the cat sat", "The cat", "a dog", "", None, "the dog sat", "new words"])],
