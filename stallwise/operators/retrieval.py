@@ -29,6 +29,10 @@ BLOCK_BYTES = 64 * 1024 * 1024
 DOCUMENT_ROWS = 1024
 QUERY_ROWS = 2048
 SCORE_CELLS = 8 * 1024 * 1024
+#: Pairs are scored one by one when they are no more than one in so many.
+PAIR_SHARE = 64
+#: Document partitions for each core, and at least: each sends its k best of every query to the shuffle.
+CORE_PARTITIONS, LEAST_PARTITIONS = 3, 24
 #: Scores are compared at this precision, so equal vectors tie and fall back to the id.
 SCORE_DECIMALS = 12
 
@@ -89,25 +93,56 @@ def _unit_rows(column: pa.Array) -> np.ndarray:
 
 
 class _Best:
-    """The k best (score, id) pairs of every query seen so far in one partition."""
+    """The k best (score, id) pairs of some queries (unit rows) seen so far in one partition.
 
-    def __init__(self, queries: int, k: int):
-        self.k = k
-        self.scores = np.full((queries, 0), 0.0)
+    Scores are told apart in single precision, which is known to be within ``margin`` of the true score, and only the
+    pairs that may enter are scored in double precision.
+    """
+
+    def __init__(self, queries: np.ndarray, k: int):
+        self.queries, self.k = queries, k
+        self.small = queries.astype("float32")
+        self.margin = (queries.shape[1] + 8) * 2.0 ** -23 + 10.0 ** (1 - SCORE_DECIMALS)
+        self.scores = np.full((len(queries), 0), 0.0)
         self.ids: np.ndarray | None = None
 
-    def offer(self, scores: np.ndarray, ids: np.ndarray) -> None:
-        """``scores`` is queries x documents, ``ids`` ascending."""
-        keep = min(self.k, scores.shape[1])
+    def offer(self, units: np.ndarray, small: np.ndarray, ids: np.ndarray) -> None:
+        """``units`` are documents as rows, ``small`` as columns in single precision, ``ids`` ascending."""
         if self.ids is None or self.scores.shape[1] < self.k:
-            rows = np.arange(scores.shape[0])
-        else:
-            rows = np.flatnonzero(np.round(scores.max(axis=1), SCORE_DECIMALS) >= self.scores[:, -1])
-        if not len(rows):
+            self._whole(np.arange(len(self.queries)), units, ids)
+            return
+        near = self.small @ small >= (self.scores[:, -1] - self.margin).astype("float32")[:, None]
+        places = np.flatnonzero(near)
+        if not len(places):
+            return
+        if len(places) > near.size // PAIR_SHARE:  # many alike: the whole product is cheaper than its pairs
+            self._whole(np.flatnonzero(near.any(axis=1)), units, ids)
             return
-        part = np.round(scores[rows], SCORE_DECIMALS)  # rounding keeps the order, so only rows that change need it
+        rows, at = np.divmod(places, near.shape[1])
+        step = max(1, SCORE_CELLS // 8 // self.queries.shape[1])
+        exact = np.concatenate([
+            np.einsum("ij,ij->i", self.queries[rows[i:i + step]], units[at[i:i + step]]) for i in range(0, len(rows), step)])
+        exact = np.round(exact, SCORE_DECIMALS)
+        enters = exact >= self.scores[rows, -1]
+        if enters.any():
+            self._pairs(rows[enters], exact[enters], ids[at[enters]])
+
+    def _pairs(self, rows: np.ndarray, scores: np.ndarray, ids: np.ndarray) -> None:
+        """Single pairs, ``rows`` ascending; the queries hold k pairs each."""
+        k, touched = self.k, rows[np.flatnonzero(np.diff(rows, prepend=-1))]
+        rows = np.concatenate([np.repeat(touched, k), rows])
+        scores = np.concatenate([self.scores[touched].ravel(), scores])
+        ids = np.concatenate([self.ids[touched].ravel(), ids])
+        order = np.lexsort((ids, -scores, rows))
+        starts = np.flatnonzero(np.diff(rows[order], prepend=-1))
+        kept = order[(starts[:, None] + np.arange(k)).ravel()]
+        self.scores[touched], self.ids[touched] = scores[kept].reshape(-1, k), ids[kept].reshape(-1, k)
+
+    def _whole(self, rows: np.ndarray, units: np.ndarray, ids: np.ndarray) -> None:
+        """All documents for the queries ``rows``."""
+        part = np.round(self.queries[rows] @ units.T, SCORE_DECIMALS)
         # Stable, and the ids ascend: of equal scores the smallest ids stay.
-        top = np.argsort(-part, axis=1, kind="stable")[:, :keep]
+        top = np.argsort(-part, axis=1, kind="stable")[:, :min(self.k, len(ids))]
         new_scores, new_ids = np.take_along_axis(part, top, axis=1), ids[top]
         if self.ids is None:
             self.scores, self.ids = new_scores, new_ids
@@ -129,16 +164,17 @@ def _partition_top_k(queries, k: int, id_field: pa.Field, out: pa.Schema):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         query_ids, matrix = queries.value
         slices = [slice(at, at + QUERY_ROWS) for at in range(0, len(query_ids), QUERY_ROWS)]
-        kept = [_Best(len(query_ids[part]), k) for part in slices]
+        kept = [_Best(matrix[part], k) for part in slices]
         step = max(1, min(DOCUMENT_ROWS, SCORE_CELLS // min(QUERY_ROWS, len(query_ids))))
         for batch in batches:
             for start in range(0, batch.num_rows, step):
                 piece = batch.slice(start, step)
                 ids = np.asarray(piece.column(0).to_pylist())
                 order = np.argsort(ids, kind="stable")
-                ids, units = ids[order], _unit_rows(piece.column(1))[order].T
-                for part, best in zip(slices, kept):
-                    best.offer(matrix[part] @ units, ids)
+                ids, units = ids[order], _unit_rows(piece.column(1))[order]
+                small = np.ascontiguousarray(units.T, dtype="float32")
+                for best in kept:
+                    best.offer(units, small, ids)
         for part, best in zip(slices, kept):
             if best.ids is None:
                 return
@@ -163,7 +199,7 @@ def top_k(
     blocks of bounded size; each block is sent to the executors once and every
     document partition answers it with a matrix product and its own k best, so
     neither side is shuffled and no (query, document) pair becomes a row. Only
-    the partition winners meet in the final rank. Ties go to the smaller id. Queries and documents whose vector is
+    the partition winners meet in the final rank, from as many partitions as the cores need, not as the documents fill. Ties go to the smaller id. Queries and documents whose vector is
     null, holds a null or is not as wide as the widest query have no hits.
     """
     spark = queries.sparkSession
@@ -184,6 +220,7 @@ def top_k(
     docs = documents.select(F.col(doc_id).alias("id"), F.col(doc_vector).cast("array<float>").alias("v"))
     if blocks > 1:  # read once per block, so not made once per block
         docs = materialise(docs, "query-documents")
+    docs = docs.coalesce(max(CORE_PARTITIONS * spark.sparkContext.defaultParallelism, LEAST_PARTITIONS))
     id_type = docs.schema["id"].dataType
     query_type = queries.schema[query_id].dataType
     schema = f"query_id {query_type.simpleString()}, doc_id {id_type.simpleString()}, score double"

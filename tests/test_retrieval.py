@@ -96,3 +96,23 @@ def test_a_task_holds_few_scores_however_many_queries(monkeypatch):
     tracemalloc.stop()
     assert peak < 150e6  # one matrix of all queries took several times 67 MB
     assert {(q, d) for q, d, _ in found} == {(q, d) for q, d, _ in brute(queries[:200], docs.astype("float64"), 4)}
+
+
+def test_hits_of_few_partitions_meet(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    docs = rng.normal(size=(600, 6)).astype("float32").astype("float64")
+    parts, ranked = [], R.first_rows
+    monkeypatch.setattr(R, "first_rows", lambda df, *given: parts.append(df.rdd.getNumPartitions()) or ranked(df, *given))
+    hits = R.top_k(frame(spark, docs[:9], "query_id"), frame(spark, docs, "id").repartition(200, "id"), 3)
+    assert {(r["query_id"], r["doc_id"], r["rank"]) for r in hits.collect()} == brute(docs[:9], docs, 3)
+    assert parts[0] <= max(R.CORE_PARTITIONS * spark.sparkContext.defaultParallelism, R.LEAST_PARTITIONS)
+
+
+def test_close_scores_keep_their_order(spark):
+    """Scores that single precision can't tell apart, and many that are equal."""
+    rng = np.random.default_rng(9)
+    docs = np.ones((4000, 5)) + rng.integers(0, 9, size=(4000, 5)) * 2.0 ** -22
+    docs[::50] = rng.normal(size=(80, 5))
+    docs = docs.astype("float32").astype("float64")
+    hits = R.top_k(frame(spark, docs[:40], "query_id"), frame(spark, docs, "id").repartition(2), 7)
+    assert {(r["query_id"], r["doc_id"], r["rank"]) for r in hits.collect()} == brute(docs[:40], docs, 7)
