@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import math
 import time
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
@@ -28,6 +29,8 @@ DRIFT_LIMIT = 0.5
 HISTORY = 1000
 FOLDS = 5
 TOP_FACTORS = 5
+#: Rows of a partition that a tree is fitted on, as long as cores are idle.
+FIT_ROWS = 25_000
 
 MODEL_TYPES = ("xgboost", "gradient_boosting", "random_forest")
 
@@ -57,8 +60,13 @@ def create_regressor(model_type: str = "xgboost", params: dict | None = None):
 
 def packed(rows: DataFrame, name: str) -> DataFrame:
     """The rows, stored in partitions of the session's advisory size: fitting a tree is one pass a level, and a small
-    table in many partitions would spend it on starting tasks."""
-    return materialise(rows.hint("rebalance"), name)
+    table in many partitions would spend it on starting tasks. A table that is small in bytes but not in rows goes to
+    as many partitions as there are cores, since a pass takes time by rows."""
+    stored = materialise(rows.hint("rebalance"), name)
+    parts = min(rows.sparkSession.sparkContext.defaultParallelism, math.ceil(stored.count() / FIT_ROWS))
+    if len(stored.inputFiles()) < parts:
+        stored = materialise(stored.repartition(parts), name)
+    return stored
 
 
 def hash_split(df: DataFrame, key: str, parts: int = 5) -> tuple[DataFrame, DataFrame]:

@@ -137,3 +137,12 @@ def test_drift_without_reference_and_odd_parameters(spark):
     predictions = spark.createDataFrame([(i, 40.0 + i) for i in range(150)], "n long, prediction double")
     row = model.check_drift(predictions, ["n"]).first()
     assert not row["drift_detected"] and row["reason"] == "Insufficient data"
+
+
+def test_a_fit_spreads_by_rows(spark):
+    rows = spark.range(0, 60_000, 1, 1).withColumn(TARGET, F.col("id") % 7)
+    spread = D.packed(rows, "fit")
+    sizes = [n for n in spread.rdd.mapPartitions(lambda part: [sum(1 for _ in part)]).collect() if n]
+    assert len(sizes) >= 3 and max(sizes) <= 25_000
+    assert spread.agg(F.countDistinct("id"), F.sum("id")).first()[:] == (60_000, 59_999 * 30_000)
+    assert len(D.packed(rows.limit(500), "fit").inputFiles()) == 1
