@@ -10,7 +10,7 @@ from stallwise.operators.clean import first_per_name
 from stallwise.schemas import MESSAGE, RAW_PRODUCT_COLUMNS
 from stallwise.sources.arrivals import FirstSeen, keep_first
 from stallwise.sources.file_log import FileLog
-from stallwise.sources.large_csv import read_split_products
+from stallwise.sources.large_csv import read_split_products, records
 from stallwise.sources.readers import read_products
 
 START = dt.datetime(2024, 1, 1)
@@ -161,3 +161,63 @@ def test_records_are_put_together_where_they_are(spark, tmp_path):
     write_csv(tmp_path / "csv" / "a.csv", [product(i) for i in range(5)])
     plan = read_split_products(spark, str(tmp_path / "csv"))._jdf.queryExecution().optimizedPlan().toString()
     assert "Python" not in plan
+
+
+def split_at_line_breaks(text):
+    """Records by reading sign for sign."""
+    found, quoted, record = [], False, ""
+    for sign in text + "\n":
+        quoted ^= sign == '"'
+        if sign == "\n" and not quoted:
+            found.append(record.removesuffix("\r"))
+            record = ""
+        else:
+            record += sign
+    last = [record.removesuffix("\n")] if quoted else []  # the line break that ends the file is not of the record
+    return [r for r in found + last if r]
+
+
+def test_any_text_is_cut_into_its_records(spark, tmp_path):
+    rng = random.Random(7)
+    (tmp_path / "csv").mkdir()
+    want = {}
+    for i, signs in enumerate([rng.randrange(300, 500) for _ in range(4)] + [5, 9, 9, 1]):
+        text = "".join(rng.choices(['"', "\n", "a", ",", "日", "\r\n"], [1, 4, 9, 1, 2, 1], k=signs))
+        (tmp_path / "csv" / f"{i}.csv").write_bytes((text + ("" if i % 2 else "\n")).encode())
+        want[f"{i}.csv"] = split_at_line_breaks(text)
+    settings = {"spark.sql.files.maxPartitionBytes": 90, "spark.sql.files.openCostInBytes": 0}
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        rows = records(spark, str(tmp_path / "csv")).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    rows.sort(key=lambda r: (r["file"], r["block"], r["place"]))
+    got = {name: [r["record"] for r in rows if r["file"].endswith("/" + name)] for name in want}
+    assert got == want
+    assert len({(r["file"], r["block"]) for r in rows}) > 12 and any("\n" in r["record"] for r in rows)
+
+
+def test_records_inside_a_range_are_not_shuffled(spark, tmp_path):
+    (tmp_path / "csv").mkdir()
+    write_csv(tmp_path / "csv" / "a.csv", [product(i, about_product="two\nlines") for i in range(5)])
+    found = records(spark, str(tmp_path / "csv"))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    # a shuffle for records that cross the end of a range, nothing that sorts or deals out the lines
+    assert plan.count("Exchange hashpartitioning") == 1 and "Window" not in plan and "Join" not in plan
+    assert found.count() == 6
+
+
+def test_a_header_that_crosses_ranges_is_checked(spark, tmp_path):
+    (tmp_path / "csv").mkdir()
+    (tmp_path / "csv" / "a.csv").write_bytes(b'"a\nb",c\n1,2\n')
+    (tmp_path / "csv" / "b.csv").write_bytes(b'"a' + b"\n" * 90 + b'b",c\n1,2\n')
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 40)
+    try:
+        with pytest.raises(ValueError, match="b.csv has another header"):
+            read_split_products(spark, str(tmp_path / "csv"))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
