@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from copy import copy
 from dataclasses import dataclass
 
 import numpy as np
@@ -20,7 +21,17 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from stallwise.functions import vectors as V
 from stallwise.operators.ordered import first_rows
-from stallwise.operators.retrieval import BLOCK_BYTES, DOCUMENT_ROWS, SCORE_DECIMALS, TOP_K, _unit_rows, top_k
+from stallwise.operators.retrieval import (
+    BLOCK_BYTES,
+    CORE_PARTITIONS,
+    DOCUMENT_ROWS,
+    LEAST_PARTITIONS,
+    QUERY_ROWS,
+    TOP_K,
+    _Best,
+    _unit_rows,
+    top_k,
+)
 from stallwise.session import materialise, scratch_path
 
 #: Vectors that the centroids are fitted on at most, and cells at most: what is broadcast is this many vectors.
@@ -142,59 +153,81 @@ def load_cells(spark: SparkSession, path: str) -> CellIndex:
     return CellIndex(spark.read.parquet(f"{path}/cells"), matrix, settings["id"], settings["vector"], settings["probes"])
 
 
-class _Kept:
+class _Kept(_Best):
     """The k best (score, id) of each query of a block; places without a hit have the score -inf."""
 
-    def __init__(self, queries: int, k: int, kind: np.dtype):
-        self.k, self.scores = k, np.full((queries, k), -np.inf)
-        self.ids = np.zeros((queries, k), kind)
-
-    def offer(self, rows: np.ndarray, scores: np.ndarray, ids: np.ndarray) -> None:
-        """Scores (rows x documents) for the queries ``rows``; of equal scores the smaller id is better."""
-        better = scores.max(axis=1) >= self.scores[rows, -1]
-        rows, scores = rows[better], scores[better]
-        if not len(rows):
+    def __init__(self, queries: np.ndarray, k: int, text: bool):
+        super().__init__(queries, k)
+        self.scores = np.full((len(queries), k), -np.inf)
+        self.ids = np.full((len(queries), k), "", object) if text else np.zeros((len(queries), k), "int64")
+
+    def offer(self, units: np.ndarray, small: np.ndarray, ids: np.ndarray, rows: np.ndarray | None = None) -> None:
+        """Documents as for ``_Best``, for the queries ``rows`` (ascending) or all; of equal scores the smaller id is better."""
+        if rows is not None:
+            some = copy(self)
+            some.queries, some.small, some.scores, some.ids = (x[rows] for x in (
+                self.queries, self.small, self.scores, self.ids))
+            some.offer(units, small, ids)
+            self.scores[rows], self.ids[rows] = some.scores, some.ids
             return
-        if scores.shape[1] > self.k:
-            top = np.argsort(-scores, axis=1, kind="stable")[:, :self.k]  # the ids rise
-            scores, ids = np.take_along_axis(scores, top, axis=1), ids[top]
-        else:
-            ids = np.broadcast_to(ids, scores.shape)
-        both = np.concatenate([self.scores[rows], scores], axis=1)
-        both_ids = np.concatenate([self.ids[rows].astype(object), ids.astype(object)], axis=1)
-        if self.ids.dtype != object:
-            both_ids = both_ids.astype(self.ids.dtype)
-        order = np.lexsort((both_ids, -both), axis=1)[:, :self.k]
-        self.scores[rows] = np.take_along_axis(both, order, axis=1)
-        self.ids[rows] = np.take_along_axis(both_ids, order, axis=1)
+        product, floor = self.small @ small, self.scores[:, -1] - self.margin
+        if len(ids) >= self.k and np.isneginf(floor).any():  # the k-th of these has no score under its own less the margin
+            floor = np.fmax(floor, np.partition(product, -self.k, axis=1)[:, -self.k] - 2 * self.margin)
+        self._near(product >= floor.astype("float32")[:, None], units, ids)
+
+
+@dataclass
+class _Looks:
+    """The queries that look at each cell, ascending: those from ``starts[cell]`` on, up to ``starts[cell + 1]``."""
+
+    queries: np.ndarray
+    starts: np.ndarray
+
+    @staticmethod
+    def of(near: np.ndarray, cells: int) -> _Looks:
+        order = np.argsort(near, axis=None, kind="stable")
+        starts = np.searchsorted(near.ravel()[order], np.arange(cells + 1))
+        return _Looks((order // near.shape[1]).astype("int32"), starts)
+
+    def at(self, cell: int) -> np.ndarray:
+        return self.queries[self.starts[cell]:self.starts[cell + 1]]
 
 
 def _probe(sent, k: int, out: pa.Schema):
-    """Task body: rows of some cells against the queries that look at each."""
+    """Task body: rows of some cells against the queries that look at each, or against all."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        query_ids, matrix, near = sent.value
-        looks = {int(c): np.flatnonzero((near == c).any(axis=1)) for c in np.unique(near)}
+        query_ids, matrix, looks = sent.value
         text = pa.types.is_string(out.field(1).type)
-        kept = _Kept(len(query_ids), k, np.dtype(object) if text else np.dtype("int64"))
-        if text:
-            kept.ids[:] = ""
+        slices = [slice(at, at + QUERY_ROWS) for at in range(0, len(query_ids), QUERY_ROWS)]
+        kept = [_Kept(matrix[part], k, text) for part in slices]
+        cuts = np.arange(len(slices) + 1) * QUERY_ROWS
         for batch in batches:
             cells = batch.column(2).to_numpy(zero_copy_only=False)
-            for cell in np.unique(cells):
-                rows = looks.get(int(cell))
-                if rows is None:
-                    continue
-                own = batch.take(pa.array(np.flatnonzero(cells == cell)))
+            for cell in [None] if looks is None else np.unique(cells):
+                own, rows, parts = batch, None, range(len(slices))
+                if looks is not None:
+                    rows = looks.at(cell)
+                    ends = np.searchsorted(rows, cuts)
+                    parts = np.flatnonzero(np.diff(ends))
+                    if not len(parts):
+                        continue
+                    own = batch.take(pa.array(np.flatnonzero(cells == cell)))
                 for start in range(0, own.num_rows, DOCUMENT_ROWS):
                     piece = own.slice(start, DOCUMENT_ROWS)
                     ids = np.asarray(piece.column(0).to_pylist(), dtype=object if text else "int64")
                     order = np.argsort(ids, kind="stable")
-                    scores = matrix[rows] @ _unit_rows(piece.column(1))[order].T
-                    kept.offer(rows, np.round(scores, SCORE_DECIMALS), ids[order])
-        query, place = np.nonzero(kept.scores > -np.inf)
-        yield pa.record_batch([pa.array([query_ids[q] for q in query], out.field(0).type),
-                               pa.array(kept.ids[query, place].tolist(), out.field(1).type),
-                               pa.array(kept.scores[query, place])], schema=out)
+                    ids, units = ids[order], _unit_rows(piece.column(1))[order]
+                    scored = ~np.isnan(units).any(axis=1)
+                    if not scored.all():
+                        ids, units = ids[scored], units[scored]
+                    small = np.ascontiguousarray(units.T, dtype="float32")
+                    for i in parts:
+                        kept[i].offer(units, small, ids, None if rows is None else rows[ends[i]:ends[i + 1]] - cuts[i])
+        for part, best in zip(slices, kept):
+            query, place = np.nonzero(best.scores > -np.inf)
+            yield pa.record_batch([pa.array(query_ids[part][query], out.field(0).type),
+                                   pa.array(best.ids[query, place].tolist(), out.field(1).type),
+                                   pa.array(best.scores[query, place])], schema=out)
 
     return run
 
@@ -205,14 +238,15 @@ def probe_top_k(queries: DataFrame, index: CellIndex, k: int = TOP_K, probes: in
 
     Scores are exact cosines and ties go to the smaller id, so with as many probes as cells the result is that of
     ``top_k``. Queries go out in blocks of bounded size; a block reads the folders of the cells that some query of it
-    looks at. Queries without a whole vector have no hits.
+    looks at, in as many partitions as the cores need. Queries without a whole vector have no hits.
     """
     spark = queries.sparkSession
-    probes = probes or index.probes
+    probes = min(probes or index.probes, len(index.centroids))
+    every = probes == len(index.centroids)
     width = index.centroids.shape[1]
     asked = queries.where(whole(query_vector, width)).select(
         F.col(query_id).alias("q"), F.col(query_vector).cast("array<float>").alias("v"))
-    blocks = max(1, math.ceil(asked.count() * (width * 8 + probes * 8) / block_bytes))
+    blocks = max(1, math.ceil(asked.count() * (width * 8 + (0 if every else probes * 8)) / block_bytes))
     if blocks > 1:
         asked = materialise(asked.withColumn("block", F.pmod(F.xxhash64("q"), F.lit(blocks)).cast("int")).repartition(
             "block"), "probe-queries")
@@ -228,12 +262,15 @@ def probe_top_k(queries: DataFrame, index: CellIndex, k: int = TOP_K, probes: in
         if not table.num_rows:
             return None, None
         matrix = _unit_rows(table.column("v").combine_chunks())
-        near = index.near(matrix, probes)
-        sent = spark.sparkContext.broadcast((table.column("q").to_pylist(), matrix, near))
-        cells = [int(c) for c in np.unique(near)]
-        rows = index.rows if len(cells) == len(index.centroids) else index.rows.where(F.col("cell").isin(cells))
-        part = rows.select(F.col(index.id).alias("id"), F.col(index.vector).cast("array<float>").alias("v"),
-                           "cell").mapInArrow(_probe(sent, k, out), schema)
+        looks, rows = None, index.rows
+        if not every:
+            near = index.near(matrix, probes)
+            looks, cells = _Looks.of(near, len(index.centroids)), [int(c) for c in np.unique(near)]
+            rows = rows if len(cells) == len(index.centroids) else rows.where(F.col("cell").isin(cells))
+        sent = spark.sparkContext.broadcast((np.array(table.column("q").to_pylist(), object), matrix, looks))
+        part = rows.select(F.col(index.id).alias("id"), F.col(index.vector).cast("array<float>").alias("v"), "cell").coalesce(
+            max(CORE_PARTITIONS * spark.sparkContext.defaultParallelism, LEAST_PARTITIONS)).mapInArrow(
+            _probe(sent, k, out), schema)
         return first_rows(part, ["query_id"], [F.desc("score"), F.col("doc_id")], k, "rank"), sent
 
     if blocks == 1:

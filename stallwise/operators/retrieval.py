@@ -111,7 +111,10 @@ class _Best:
         if self.ids is None or self.scores.shape[1] < self.k:
             self._whole(np.arange(len(self.queries)), units, ids)
             return
-        near = self.small @ small >= (self.scores[:, -1] - self.margin).astype("float32")[:, None]
+        self._near(self.small @ small >= (self.scores[:, -1] - self.margin).astype("float32")[:, None], units, ids)
+
+    def _near(self, near: np.ndarray, units: np.ndarray, ids: np.ndarray) -> None:
+        """``near`` tells the pairs that may enter."""
         places = np.flatnonzero(near)
         if not len(places):
             return
